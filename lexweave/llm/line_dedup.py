@@ -28,9 +28,15 @@ COUNTERS = 1 << 16
 FILTER_BITS = 1 << 20
 
 
+def _words(line: Column) -> Column:
+    """The words of a line, lower-cased, white space between them; repeats and empty strings included."""
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
+    return F.split(F.lower(F.when(other, F.translate(line, "\t\r\x0b\x0c", "    ")).otherwise(line)), " ", -1)
+
+
 def words_of(line: Column) -> Column:
-    """The distinct words of a line, lower-cased, white space between them."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(F.translate(line, "\t\r\x0b\x0c", "    ")), " ", -1)), "")
+    """The distinct words of a line."""
+    return F.array_remove(F.array_distinct(_words(line)), "")
 
 
 def _token(word: Column) -> Column:
@@ -39,7 +45,7 @@ def _token(word: Column) -> Column:
 
 def token_counts(documents: DataFrame) -> list[int]:
     """How often the tokens of each hashed counter occur, over all texts."""
-    words = documents.select(F.explode(F.split(F.lower(F.translate("text", "\n\t\r\x0b\x0c", "     ")), " ", -1)).alias("w"))
+    words = _lines(documents).select(F.explode(_words(F.col("line"))).alias("w"))
     rows = words.groupBy(F.pmod(_token(F.col("w")), F.lit(COUNTERS)).alias("c")).count().collect()  # at most COUNTERS rows
     out = [0] * COUNTERS
     for c, n in rows:
@@ -62,7 +68,9 @@ def _described(documents: DataFrame, counts: list[int], t: Fraction) -> DataFram
     shift = lambda c, n: F.call_function("shiftleft", c, F.lit(n))
     # A number that holds the rarity above 54 bits of the token's hash: its order is the order of rarity.
     key = lambda h: shift(F.get(rarity, F.pmod(h, F.lit(COUNTERS)).cast("int")), 54).bitwiseOR(F.shiftrightunsigned(h, 10))
-    keys = _lines(documents).select("doc_id", "line_no", F.sort_array(F.transform(words_of(F.col("line")), lambda w: key(_token(w)))).alias("keys")).where(F.size("keys") > 0)
+    empty = documents.sparkSession.range(1).select(_token(F.lit(""))).first()[0]
+    hashes = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), _token)), F.lit(empty))
+    keys = _lines(documents).select("doc_id", "line_no", F.sort_array(F.transform(hashes, key)).alias("keys")).where(F.size("keys") > 0)
     n = F.size("keys")
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
     ahead = n - _ceil(n * t.numerator, t.denominator) + 1
@@ -73,17 +81,24 @@ def _described(documents: DataFrame, counts: list[int], t: Fraction) -> DataFram
     )
 
 
+#: A posting's number holds the line's tokens, the place in its prefix, and whether it meets longer lines and is open.
+_SIZE = 22
+
+
 def _could_match(a: str, b: str, t: Fraction) -> Column:
     """The filters on a pair of postings of one token: length, position, parity."""
-    na, nb, pa, pb = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
+    part = lambda x, at, width: F.shiftright(F.col(f"{x}.about"), at).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    na, nb, pa, pb = part(a, 2, 20), part(b, 2, 20), part(a, _SIZE, 18), part(b, _SIZE, 18)
     p, q = t.numerator, t.denominator
     short, long = F.least(na, nb), F.greatest(na, nb)
     need = _ceil((na + nb) * p, p + q)
-    shorter = F.when(na < nb, F.col(f"{a}.meets_longer")).when(nb < na, F.col(f"{b}.meets_longer")).otherwise(F.lit(True))
+    meets = lambda x: part(x, 0, 1) == 1
+    shorter = F.when(na < nb, meets(a)).when(nb < na, meets(b)).otherwise(F.lit(True))
     return (
-        (short * q >= long * p) & shorter
+        (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= na + nb - 2 * need)
+        & (short * q >= long * p) & shorter
         & (F.least(pa, pb) + F.least(na - pa, nb - pb) >= need)
-        & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= na + nb - 2 * need)
+        & ((part(a, 1, 1) == 1) | (part(b, 1, 1) == 1))
     )
 
 
@@ -135,14 +150,10 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
     )
     meets = F.col("n") - _ceil(F.col("n") * 2 * t.numerator, t.numerator + t.denominator) + 1
 
-    def postings(of: DataFrame, *more: str) -> DataFrame:
-        return of.select("d", "n", "doc_id", "line_no", "bits", meets.alias("meets"), *more, F.posexplode("rare").alias("pos", "token")).select(
-            "token", "d", "n", "doc_id", "line_no", "bits", (F.col("pos") + 1).alias("pos"), (F.col("pos") < F.col("meets")).alias("meets_longer"), *more)
-
     # 1. The earliest class of each token, held against those that have it among their two rarest.
-    two = postings(classes.withColumn("rare", F.slice("rare", 1, 2)))
+    two = classes.select("d", "n", "doc_id", "line_no", "bits", F.explode(F.slice("rare", 1, 2)).alias("token"))
     place = F.struct("doc_id", "line_no")
-    firsts = two.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "d", "n", "bits", "pos")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", "h")
+    firsts = two.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "d", "n", "bits")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", "h")
     # Near copies may differ in either of the two tokens, so here only lengths and parities rule a pair out.
     need = _ceil((F.col("n") + F.col("h.n")) * t.numerator, t.numerator + t.denominator)
     star = (
@@ -153,12 +164,24 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
     found = settle(_verified(settle(star), texts, classes, t))
     # 2. What has no match yet, against all earlier classes that share a token of both prefixes.
     marked = classes.join(found.select(F.col("b").alias("d"), F.lit(False).alias("open")).distinct(), "d", "left").withColumn("open", F.coalesce("open", F.lit(True)))
-    posted = postings(marked, "open")
+    # Two numbers a posting beside token and class, equal on both sides of the join, so that one exchange serves both.
+    long = lambda c: c.cast("bigint")
+    shift = lambda c, n: F.call_function("shiftleft", long(c), F.lit(n))
+    about = shift(F.least(F.col("pos") + 1, F.lit((1 << 18) - 1)), _SIZE).bitwiseOR(shift(F.least("n", F.lit((1 << 20) - 1)), 2)).bitwiseOR(
+        shift(F.col("open").cast("int"), 1)).bitwiseOR(long((F.col("pos") < meets).cast("int")))
+    posted = marked.select("d", "n", "bits", "open", F.posexplode("rare").alias("pos", "token")).select("token", "d", "bits", about.alias("about"))
     pairs = (
         posted.alias("a").join(posted.alias("b"), F.col("a.token") == F.col("b.token"))
-        .where(F.col("b.open") & (F.struct("a.doc_id", "a.line_no") < F.struct("b.doc_id", "b.line_no")) & _could_match("a", "b", t))
+        .where((F.col("a.d") < F.col("b.d")) & _could_match("a", "b", t))
         .select(F.col("a.d").alias("a"), F.col("b.d").alias("b")).distinct()
     )
+    # The earlier line of a pair comes first; a pair whose later line has its match already is done with.
+    at = marked.select("d", F.struct("doc_id", "line_no").alias("at"), "open")
+    placed = pairs.join(at.select(F.col("d").alias("a"), F.col("at").alias("at_a"), F.col("open").alias("open_a")), "a").join(
+        at.select(F.col("d").alias("b"), F.col("at").alias("at_b"), F.col("open").alias("open_b")), "b")
+    first_a = F.col("at_a") < F.col("at_b")
+    pairs = placed.where(F.when(first_a, F.col("open_b")).otherwise(F.col("open_a"))).select(
+        F.when(first_a, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first_a, F.col("b")).otherwise(F.col("a")).alias("b"))
     more = _verified(settle(pairs), texts, classes, t)
     matches = found.union(more)
     by_place = matches.join(classes.select(F.col("d").alias("a"), F.col("doc_id").alias("kept_doc_id"), F.col("line_no").alias("kept_line_no")), "a")
