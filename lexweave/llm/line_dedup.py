@@ -19,13 +19,11 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import id_filter, settle
 
 SIMILARITY = Fraction(4, 5)
 #: Hashed token counters that order tokens by rarity: 65,536 numbers, whatever the input.
 COUNTERS = 1 << 16
-#: Bits of the filter over document ids that spares reading texts without candidates; fixed, 128 kB.
-FILTER_BITS = 1 << 20
 
 
 def _words(line: Column) -> Column:
@@ -104,15 +102,7 @@ def _could_match(a: str, b: str, t: Fraction) -> Column:
 
 def _words_of_classes(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """(d, words) of the classes wanted, from their earliest lines (d, doc_id, line_no)."""
-    place = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(FILTER_BITS))
-    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("bigint"), p.bitwiseAND(F.lit(63)).cast("int"))
-    words = [0] * (FILTER_BITS // 64)
-    set_bits = classes.select(F.explode(F.array(place(0), place(1))).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit(F.col("p"))).alias("b"))
-    for w, b in set_bits.collect():  # at most FILTER_BITS / 64 rows
-        words[w] = b
-    array = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
-    held = [F.get(array, F.shiftright(place(i), 6).cast("int")).bitwiseAND(bit(place(i))) != 0 for i in (0, 1)]
-    texts = documents.where(held[0] & held[1]).join(classes.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = documents.where(id_filter(classes, "doc_id")).join(classes.select("doc_id").distinct(), "doc_id", "left_semi")
     return (
         _lines(texts).join(classes.select("doc_id", "line_no", "d"), ["doc_id", "line_no"])
         .select("d", words_of(F.col("line")).alias("words")).where(F.size("words") > 0).groupBy("d").agg(F.first("words").alias("words"))
