@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import settle
 from .textblocks import slices
 
 MIN_WORDS = 25
@@ -69,8 +70,9 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     """
     units = document_units(documents)
     # Only digests that occur again matter; the aggregate is partial, so a unit's copies meet before the shuffle.
-    again = units.groupBy("digest").agg(F.min(F.struct("doc_id", "unit", "start")).alias("first"), F.max(F.struct("doc_id", "unit")).alias("last")).where(
-        (F.col("first.doc_id") != F.col("last.doc_id")) | (F.col("first.unit") != F.col("last.unit"))).select("digest", "first")
+    # Settled, so that Spark can split the partition of a very frequent unit in the join.
+    again = settle(units.groupBy("digest").agg(F.min(F.struct("doc_id", "unit", "start")).alias("first"), F.max(F.struct("doc_id", "unit")).alias("last")).where(
+        (F.col("first.doc_id") != F.col("last.doc_id")) | (F.col("first.unit") != F.col("last.unit"))).select("digest", "first"))
     later = units.join(again, "digest").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("unit") != F.col("first.unit")))
     # Neighbouring units have the same difference of unit and rank.
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy("unit", "start", "stop"))
