@@ -19,16 +19,18 @@ def find_spans(text: Column, pattern: str | Column) -> Column:
     expr = F.lit(pattern) if isinstance(pattern, str) else pattern
     hits = F.regexp_extract_all(text, expr, F.lit(0))
     gaps = F.split(text, expr, -1)
-    walk = F.aggregate(
+    # The fold keeps numbers only, as it copies what it has gathered at each match.
+    ends = F.aggregate(
         F.arrays_zip(hits.alias("hit"), gaps.alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(PLACE).alias("out")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
         lambda acc, z: F.when(z["hit"].isNull(), acc).otherwise(F.struct(
             (acc["at"] + F.length(z["gap"]) + F.length(z["hit"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.length(z["gap"])).alias("start"), (acc["at"] + F.length(z["gap"]) + F.length(z["hit"])).alias("end"), z["hit"].alias("original")))).alias("out"),
+            F.concat(acc["out"], F.array(acc["at"] + F.length(z["gap"]) + F.length(z["hit"]))).alias("out"),
         )),
         lambda acc: acc["out"],
     )
+    walk = F.transform(F.arrays_zip(hits.alias("hit"), ends.alias("end")), lambda z: F.struct(
+        (z["end"] - F.length(z["hit"])).alias("start"), z["end"].alias("end"), z["hit"].alias("original"))).cast(PLACE)
     # Most texts have no match: one search settles that, before anything is cut.
     return F.when(F.regexp_like(text, expr), walk).otherwise(F.array().cast(PLACE))
 

@@ -7,15 +7,16 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """difflib's ratio of two texts, to four digits; 1 if both are empty."""
     return pd.Series([round(SequenceMatcher(None, a or "", b or "").ratio(), 4) if a or b else 1.0 for a, b in zip(left, right)])
 
 
-@F.pandas_udf("array<struct<type:string,left:string,right:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("type", "left", "right")])))
 def line_diff(left: pd.Series, right: pd.Series) -> pd.Series:
     """Differing runs of stripped, non-empty lines: 800 characters a side, twelve at most."""
     def diff(a: str, b: str) -> list[dict]:

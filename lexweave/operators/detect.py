@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,10 +66,26 @@ def llm_degraded(reply: Column) -> Column:
     return F.from_json(bare, "array<struct<type:string>>").isNull()
 
 
+_WORD = re.compile(r"\b\S+\b")
+
+
 def text_tokens(documents: DataFrame) -> DataFrame:
-    """(doc_id, i, word, start, end): words of documents (doc_id, text), from a word character to a word character."""
-    found = find_spans(F.col("text"), r"(?U)\b\S+\b")
-    return documents.select("doc_id", F.posexplode(found).alias("i", "t")).select("doc_id", "i", F.col("t.original").alias("word"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    """(doc_id, i, word, start, end): words of documents (doc_id, text), from a word character to a word character.
+
+    Words come row by row, in Arrow batches: a long text has too many for one array of spans.
+    """
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text").to_pylist()):
+                found = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text or "")]
+                if found:
+                    word, start, end = zip(*found)
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc_id.as_py()] * n, batch.column("doc_id").type), pa.array(range(n), pa.int32()), pa.array(word, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
+                        names=["doc_id", "i", "word", "start", "end"])
+
+    return documents.select("doc_id", "text").mapInArrow(words, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, i int, word string, start int, end int")
 
 
 def _dimension(documents: DataFrame, words, default: tuple[str, ...]) -> DataFrame:
@@ -77,12 +95,13 @@ def _dimension(documents: DataFrame, words, default: tuple[str, ...]) -> DataFra
     return F.broadcast(documents.sparkSession.createDataFrame([(w,) for w in dict.fromkeys(words or default)], "phrase string"))
 
 
-def name_candidates(documents: DataFrame, names: DataFrame | Sequence[str] | None = None) -> DataFrame:
+def name_candidates(documents: DataFrame, names: DataFrame | Sequence[str] | None = None, gate: str = "[А-ЯЁ][а-яё]") -> DataFrame:
     """(doc_id, spans): runs of up to three neighbouring words that are names (given, family, patronymic), as written.
 
     names: a table or list of names; by default a small list with patronymics formed from it. Words of a run are at most two characters apart.
+    gate: a pattern that every text with such a name has; give another one for names in other letters.
     """
-    some = documents.where(F.col("text").rlike("[А-ЯЁA-Z]")).select("doc_id", "text")
+    some = documents.where(F.col("text").rlike(gate)).select("doc_id", "text")
     known = _dimension(documents, names, (*v.GIVEN_NAMES, *v.SURNAMES, *v.patronymics(), *[s + "а" for s in v.SURNAMES if s[-2:] in ("ов", "ев", "ёв", "ин")]))
     hits = text_tokens(some).where(F.col("word").rlike(r"(?U)^\p{Lu}")).join(known, F.col("word") == F.col("phrase")).drop("phrase")
     # Gaps and islands: an island ends where the next name isn't the next word or stands too far off; it is cut every three words.

@@ -9,6 +9,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexweave.functions.text import limit_text, normalize_text, rtf_to_text
 
@@ -20,7 +21,7 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _TEXT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(content: pd.Series) -> pd.Series:
     """Bytes as text: UTF-8, else cp1251, else cp866, which takes any byte."""
     def decode(raw: bytes | None) -> str | None:
@@ -74,7 +75,7 @@ def odt_text(raw: bytes) -> str:
     return "\n".join(x for x in lines if x)
 
 
-@F.pandas_udf("struct<text:string,error:string>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
 def zipped_text(content: pd.Series, suffix: pd.Series) -> pd.DataFrame:
     """Text of DOCX and ODT files, or why there is none."""
     out = []
