@@ -72,10 +72,12 @@ def _described(documents: DataFrame, counts: list[int], t: Fraction) -> DataFram
     n = F.size("keys")
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
     ahead = n - _ceil(n * t.numerator, t.denominator) + 1
+    # Once in order, 32 bits of a token's hash are enough to look it up; pairs are verified on words.
+    low = lambda k: F.shiftright(shift(k, 32), 32).cast("int")
     return keys.select(
         "doc_id", "line_no", F.xxhash64("keys").alias("d"), n.alias("n"),
         F.aggregate("keys", F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(bit(k))).alias("bits"),
-        F.slice("keys", 1, ahead).alias("rare"),
+        F.transform(F.slice("keys", 1, ahead), low).alias("rare"),
     )
 
 
@@ -102,9 +104,9 @@ def _could_match(a: str, b: str, t: Fraction) -> Column:
 
 def _words_of_classes(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """(d, words) of the classes wanted, from their earliest lines (d, doc_id, line_no)."""
-    texts = documents.where(id_filter(classes, "doc_id")).join(classes.select("doc_id").distinct(), "doc_id", "left_semi")
+    # Lines of documents that have none of the classes' earliest lines are dropped before the shuffle.
     return (
-        _lines(texts).join(classes.select("doc_id", "line_no", "d"), ["doc_id", "line_no"])
+        _lines(documents.where(id_filter(classes, "doc_id"))).join(classes.select("doc_id", "line_no", "d"), ["doc_id", "line_no"])
         .select("d", words_of(F.col("line")).alias("words")).where(F.size("words") > 0).groupBy("d").agg(F.first("words").alias("words"))
     )
 
@@ -133,33 +135,38 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
     t = similarity
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     lines = settle(_described(texts, token_counts(texts), t))
-    # A class of equal sets and its earliest line; copies meet in the partial aggregate.
-    classes = settle(
-        lines.groupBy("d", "n").agg(F.min(F.struct("doc_id", "line_no", "bits", "rare")).alias("m"))
-        .select("d", "n", "m.doc_id", "m.line_no", "m.bits", "m.rare")
+    # A class of equal sets is known by a digest; its earliest line stands for it. Only numbers are shuffled here.
+    firsts = settle(
+        lines.groupBy("d", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("d", "n", "at.doc_id", "at.line_no")
     )
     meets = F.col("n") - _ceil(F.col("n") * 2 * t.numerator, t.numerator + t.denominator) + 1
 
+    def earliest(of: DataFrame, classes: DataFrame) -> DataFrame:
+        """The rows of each class's earliest line, with the columns of classes."""
+        place = classes.withColumnsRenamed({"doc_id": "_doc_id", "line_no": "_line_no"}).drop("n")
+        return of.join(place, "d").where((F.col("doc_id") == F.col("_doc_id")) & (F.col("line_no") == F.col("_line_no"))).drop("_doc_id", "_line_no")
+
     # 1. The earliest class of each token, held against those that have it among their two rarest.
-    two = classes.select("d", "n", "doc_id", "line_no", "bits", F.explode(F.slice("rare", 1, 2)).alias("token"))
+    two = earliest(lines.select("d", "n", "doc_id", "line_no", "bits", F.slice("rare", 1, 2).alias("rare")), firsts).select(
+        "d", "n", "doc_id", "line_no", "bits", F.explode("rare").alias("token"))
     place = F.struct("doc_id", "line_no")
-    firsts = two.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "d", "n", "bits")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", "h")
+    heads = two.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "d", "n", "bits")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", "h")
     # Near copies may differ in either of the two tokens, so here only lengths and parities rule a pair out.
     need = _ceil((F.col("n") + F.col("h.n")) * t.numerator, t.numerator + t.denominator)
     star = (
-        two.join(firsts, "token").where(F.struct("h.doc_id", "h.line_no") < place)
+        two.join(heads, "token").where(F.struct("h.doc_id", "h.line_no") < place)
         .where((F.least("n", "h.n") * t.denominator >= F.greatest("n", "h.n") * t.numerator) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("h.bits"))) <= F.col("n") + F.col("h.n") - 2 * need))
         .select(F.col("h.d").alias("a"), F.col("d").alias("b")).distinct()
     )
-    found = settle(_verified(settle(star), texts, classes, t))
+    found = settle(_verified(settle(star), texts, firsts, t))
     # 2. What has no match yet, against all earlier classes that share a token of both prefixes.
-    marked = classes.join(found.select(F.col("b").alias("d"), F.lit(False).alias("open")).distinct(), "d", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    marked = settle(firsts.join(found.select(F.col("b").alias("d"), F.lit(False).alias("open")).distinct(), "d", "left").withColumn("open", F.coalesce("open", F.lit(True))))
     # Two numbers a posting beside token and class, equal on both sides of the join, so that one exchange serves both.
     long = lambda c: c.cast("bigint")
     shift = lambda c, n: F.call_function("shiftleft", long(c), F.lit(n))
     about = shift(F.least(F.col("pos") + 1, F.lit((1 << 18) - 1)), _SIZE).bitwiseOR(shift(F.least("n", F.lit((1 << 20) - 1)), 2)).bitwiseOR(
         shift(F.col("open").cast("int"), 1)).bitwiseOR(long((F.col("pos") < meets).cast("int")))
-    posted = marked.select("d", "n", "bits", "open", F.posexplode("rare").alias("pos", "token")).select("token", "d", "bits", about.alias("about"))
+    posted = earliest(lines, marked).select("d", "n", "bits", "open", F.posexplode("rare").alias("pos", "token")).select("token", "d", "bits", about.alias("about"))
     pairs = (
         posted.alias("a").join(posted.alias("b"), F.col("a.token") == F.col("b.token"))
         .where((F.col("a.d") < F.col("b.d")) & _could_match("a", "b", t))
@@ -172,20 +179,20 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
     first_a = F.col("at_a") < F.col("at_b")
     pairs = placed.where(F.when(first_a, F.col("open_b")).otherwise(F.col("open_a"))).select(
         F.when(first_a, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first_a, F.col("b")).otherwise(F.col("a")).alias("b"))
-    more = _verified(settle(pairs), texts, classes, t)
+    more = _verified(settle(pairs), texts, firsts, t)
     matches = found.union(more)
-    by_place = matches.join(classes.select(F.col("d").alias("a"), F.col("doc_id").alias("kept_doc_id"), F.col("line_no").alias("kept_line_no")), "a")
+    by_place = matches.join(firsts.select(F.col("d").alias("a"), F.col("doc_id").alias("kept_doc_id"), F.col("line_no").alias("kept_line_no")), "a")
     near = by_place.groupBy("b").agg(F.min(F.struct("kept_doc_id", "kept_line_no", "similarity")).alias("near"))
     # Where each class's lines go: all but the earliest are copies; the earliest goes if it has an earlier match.
-    known = settle(classes.select("d", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no")).join(near.withColumnRenamed("b", "d"), "d", "left"))
+    known = settle(firsts.select("d", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no")).join(near.withColumnRenamed("b", "d"), "d", "left"))
     is_first = (F.col("doc_id") == F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no"))
-    gone = lines.select("d", "doc_id", "line_no").distinct().join(known, "d").where(~is_first | F.col("near").isNotNull())
+    gone = lines.select("d", "doc_id", "line_no").join(known, "d").where(~is_first | F.col("near").isNotNull())
     return gone.select(
         "doc_id", "line_no",
         F.when(is_first, F.col("near.kept_doc_id")).otherwise(F.col("first_doc_id")).alias("kept_doc_id"),
         F.when(is_first, F.col("near.kept_line_no")).otherwise(F.col("first_line_no")).alias("kept_line_no"),
         F.when(is_first, F.col("near.similarity")).otherwise(F.lit(1.0)).alias("similarity"),
-    )
+    ).distinct()
 
 
 def dedup_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -195,9 +202,10 @@ def dedup_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> Data
     """
     gone = settle(repeated_lines(documents, similarity)).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     joined = documents.join(gone, "doc_id", "left")
-    numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    # The set as a map of line numbers: looked up by value, not searched line by line.
-    left = F.transform(F.filter(numbered, lambda x: ~F.array_contains("_gone", x["i"])), lambda x: x["line"])
+    # The numbers of the lines that stay, found by hashing, then the lines themselves.
+    lines = F.split("text", "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    left = F.element_at(F.transform(F.array(F.struct(lines.alias("lines"), stay.alias("stay"))), lambda z: F.transform(z["stay"], lambda i: F.get(z["lines"], i))), 1)
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     empty = F.col("_gone").isNotNull() & ~text.rlike(r"[^\t\n\x0b\f\r ]")
     return joined.withColumn("_text", text).where(~empty).select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in documents.columns])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, quality_crf, substring_dedup, url_filter
 from .common import table
+from .oracle_sql import ORACLE_SQL as ORACLE_SQL
 
 
 def tokenizer_path() -> str:
@@ -80,5 +81,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_substring_dedup, op10_packing, pipeline,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
