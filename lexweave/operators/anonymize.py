@@ -31,7 +31,7 @@ def candidates(documents: DataFrame, profile: str = "rules", dictionaries: bool
         if profile == "tokens":  # the other profile's names for these types
             own = F.transform(own, lambda s: s.withField("entity_type", F.when(s["entity_type"] == "PER", "PERSON").otherwise("VEHICLE_MAKE_MODEL")))
         parts.append(own)
-    parts.append(detect.regex_candidates(F.col("text"), profile))
+    parts.append(detect.regex_candidates("text", profile))
     if llm:
         parts.append(detect.llm_candidates(F.col(llm), F.col("text")))
     if profile == "rules" and dictionaries:

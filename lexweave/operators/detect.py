@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import vocabulary as v
 from lexweave.functions.patterns import PATTERNS, TOKEN_TYPES, PatternSpec
-from lexweave.functions.spans import find_spans
+from lexweave.functions.spans import column, find_spans
 from lexweave.functions.text import context_window
 
 #: What a candidate holds; ordinal settles ties between candidates.
@@ -31,7 +31,7 @@ def span(start, end, entity_type, original, source: str, confidence, ordinal, id
         lit(ordinal, "int").cast("int").alias("ordinal"))
 
 
-def regex_candidates(text: Column, profile: str = "rules", specs: Sequence[PatternSpec] | None = None) -> Column:
+def regex_candidates(text: str | Column, profile: str = "rules", specs: Sequence[PatternSpec] | None = None) -> Column:
     """Matches of the profile's patterns (or of given ones), pattern by pattern; confidence 1.
 
     A text without digits, @ and Cyrillic capitals can match none of them and is left at once.
@@ -43,7 +43,7 @@ def regex_candidates(text: Column, profile: str = "rules", specs: Sequence[Patte
 
     parts = [found(n, spec) for n, spec in enumerate(PATTERNS[profile] if specs is None else specs)]
     every = F.concat(*parts) if parts else F.array().cast(NO_SPANS)
-    return every if given else F.when(text.rlike(r"(?U)[0-9@]|\d|[А-ЯЁа-яё]"), every).otherwise(F.array().cast(NO_SPANS))
+    return every if given else F.when(column(text).rlike(r"(?U)[0-9@]|\d|[А-ЯЁа-яё]"), every).otherwise(F.array().cast(NO_SPANS))
 
 
 def llm_candidates(reply: Column, text: Column) -> Column:
@@ -130,21 +130,23 @@ def vehicle_candidates(documents: DataFrame, vehicles: DataFrame | Sequence[str]
         F.explode(F.filter(F.array(gram(1, "word", end="end"), gram(2, "word", "word1", end="end1"), gram(3, "word", "word1", "word2", end="end2")), lambda g: g["end"].isNotNull())).alias("g"),
     ).select("doc_id", "i", "start", "g.*")
     hits = grams.join(known, "phrase").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("shorter"), "end"))).alias("hits"))
-    places = F.expr("array<int>()") if not context else _starts(F.col("lowered"), tuple(context))
-    with_text = hits.join(some, "doc_id").withColumn("lowered", F.lower("text")).withColumn("near", places)
-    fits = F.filter("hits", lambda h: F.exists("near", lambda p: (p >= h["start"] - window) & (p <= h["end"] + window)))
+    with_text = hits.join(some, "doc_id").withColumn("lowered", F.lower("text"))
+    words, longest = v.alternatives(tuple(context)), max(map(len, context))
+
+    def near_word(h: Column) -> Column:
+        """A context word begins between `window` characters before the phrase and as many after it."""
+        left = F.greatest(h["start"] - window, F.lit(0))
+        reach = h["end"] + window - left
+        around = F.substring(F.col("lowered"), left + 1, reach + longest)
+        return F.regexp_like(around, F.concat(F.lit("(?s)^.{0,"), reach.cast("string"), F.lit("}?(?:" + words + ")")))
+
+    fits = F.filter("hits", near_word)
     kind = "array<struct<start:int,shorter:int,end:int>>"
     greedy = F.aggregate(fits.cast(kind), F.array().cast(kind), lambda acc, h: F.when((F.size(acc) == 0) | (h["start"] >= F.element_at(acc, -1)["end"]), F.concat(acc, F.array(h))).otherwise(acc))
     spans = F.transform(greedy, lambda h, i: span(h["start"], h["end"], "МАРКА_ТС", F.substring(F.col("text"), h["start"] + 1, h["end"] - h["start"]), "dict", 0.9, F.lit(1_000_000) + i))
     return with_text.select("doc_id", spans.alias("spans")).where(F.size("spans") > 0)
 
 
-def _starts(text: Column, words: tuple[str, ...]) -> Column:
-    """Where any of the words begins, overlapping ones included."""
-    parts = [F.transform(find_spans(text, rf"\Q{w}\E"), lambda s: s["start"]) for w in words]
-    return F.array_sort(F.concat(*parts))
-
-
 def near_context(text: Column, start: Column, end: Column, pattern: str) -> Column:
     """Whether the text around a span has what vocabulary.context() made a pattern of."""
     return F.regexp_like(context_window(text, start, end), F.lit(pattern))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import patterns as p
 from lexweave.functions import vocabulary as v
-from lexweave.functions.spans import find_spans, overlaps
+from lexweave.functions.spans import column, find_spans, overlaps
 from lexweave.functions.text import clean_entity, context_window, normal_key
 from lexweave.operators.detect import NO_SPANS, span
 
@@ -166,7 +166,7 @@ def decide_address(text: Column, start: Column, end: Column, original: Column, c
 _MATCH = "array<struct<start:int,longer:int,end:int,score:double>>"
 
 
-def person_matches(text: Column) -> Column:
+def person_matches(text: str | Column) -> Column:
     """Two or three name words, or a name word and initials, in a row: array<struct<start, longer, end, score>>, by start, longest first.
 
     Leading words of a role (plaintiff, director...) are left out, but never the last one.
@@ -190,7 +190,7 @@ def person_matches(text: Column) -> Column:
 
         return F.when(F.size(t) > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))), at)))
 
-    every = _let(F.struct(find_spans(text, _NAME_PART).alias("tokens"), text.alias("text")), of)
+    every = _let(F.struct(find_spans(text, _NAME_PART).alias("tokens"), column(text).alias("text")), of)
     empty = F.array().cast(_MATCH)
     # Of equal spans the surest.
     sorted_ = F.array_sort(F.array_distinct(F.coalesce(every, empty).cast(_MATCH)))
@@ -205,7 +205,7 @@ def _supplement(text: Column, matches: Column, kind: str, decide, taken: Column,
     return F.aggregate(made.cast(NO_SPANS), F.array().cast(NO_SPANS), lambda acc, s: F.when(overlaps(s["start"], s["end"], acc), acc).otherwise(F.concat(acc, F.array(s))))
 
 
-def _scored(text: Column, patterns: list[tuple[str, float]]) -> Column:
+def _scored(text: str | Column, patterns: list[tuple[str, float]]) -> Column:
     def found(pattern: str, score: float) -> Column:
         return F.transform(find_spans(text, pattern), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("longer"), s["end"].alias("end"), F.lit(score).alias("score")))
 
@@ -340,9 +340,9 @@ def refine(documents: DataFrame, text: str = "text", ner: str | None = None) ->
     cut = lambda s, e: F.substring(x, s + 1, e - s)
     listed = lambda s: normal_key(clean_entity(s)).isin(*v.WHITELIST)
     out = documents.withColumns({
-        "_people": F.when(some, person_matches(x)).otherwise(F.array().cast(_MATCH)),
-        "_orgs": F.when(some, _scored(x, list(ORG_PATTERNS))).otherwise(F.array().cast(_MATCH)),
-        "_places": F.when(some, _scored(x, list(ADDRESS_PATTERNS))).otherwise(F.array().cast(_MATCH)),
+        "_people": F.when(some, person_matches(text)).otherwise(F.array().cast(_MATCH)),
+        "_orgs": F.when(some, _scored(text, list(ORG_PATTERNS))).otherwise(F.array().cast(_MATCH)),
+        "_places": F.when(some, _scored(text, list(ADDRESS_PATTERNS))).otherwise(F.array().cast(_MATCH)),
         "_given": given,
     })
     kind = lambda c: F.when(c["entity_type"] == "LOC", "АДРЕС").otherwise(c["entity_type"])

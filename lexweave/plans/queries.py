@@ -47,7 +47,7 @@ def anonymize_documents(spark, sf_dir):
 
 def _counts(name: str, pattern: str, sql_pattern: str) -> None:
     def f(spark, sf_dir):
-        documents = _table(spark, sf_dir, "documents").select("doc_id", F.size(find_spans(F.col("text"), pattern)).cast("long").alias("hits"))
+        documents = _table(spark, sf_dir, "documents").select("doc_id", F.size(find_spans("text", pattern)).cast("long").alias("hits"))
         return documents.where("hits > 0")
 
     f.__name__ = name
@@ -82,7 +82,7 @@ _SQL_ALL_SPANS = f"{_sql_spans('БАНК_КАРТА', _SQL_CARD, 1)} UNION ALL {
 @query(f"SELECT doc_id, entity_type, original, start_at, CAST(start_at + length(original) AS BIGINT) AS end_at FROM ({_SQL_ALL_SPANS})")
 def detect_spans_offsets(spark, sf_dir):
     specs = [s for s in RULES_PATTERNS if s.entity_type in ("EMAIL", "БАНК_КАРТА", "ТЕЛЕФОН")]
-    return _spans(_table(spark, sf_dir, "documents"), detect.regex_candidates(F.col("text"), specs=specs))
+    return _spans(_table(spark, sf_dir, "documents"), detect.regex_candidates("text", specs=specs))
 
 
 def _spans(documents: DataFrame, spans) -> DataFrame:
@@ -97,7 +97,7 @@ SELECT doc_id, entity_type, original, start_at, CAST(end_at AS BIGINT) AS end_at
     AND (length(o.original) > length(s.original) OR (length(o.original) = length(s.original) AND o.ord < s.ord)))""")
 def resolve_overlapping_spans(spark, sf_dir):
     specs = [s for s in RULES_PATTERNS if s.entity_type in ("EMAIL", "БАНК_КАРТА", "ТЕЛЕФОН")]
-    return _spans(_table(spark, sf_dir, "documents"), resolve_overlaps(detect.regex_candidates(F.col("text"), specs=specs)))
+    return _spans(_table(spark, sf_dir, "documents"), resolve_overlaps(detect.regex_candidates("text", specs=specs)))
 
 
 @query(f"""SELECT entity_type, CAST(count(*) AS BIGINT) AS mentions, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents, CAST(count(DISTINCT original) AS BIGINT) AS originals
@@ -109,7 +109,7 @@ def entities_by_type(spark, sf_dir):
 @query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_SQL_CARD}')) + len(regexp_extract_all(text, '{_SQL_EMAIL}')) AS BIGINT) AS regex, CAST(0 AS BIGINT) AS dict, CAST(0 AS BIGINT) AS llm FROM documents")
 def spans_by_source(spark, sf_dir):
     specs = [s for s in RULES_PATTERNS if s.entity_type in ("EMAIL", "БАНК_КАРТА")]
-    found = _table(spark, sf_dir, "documents").select("doc_id", detect.regex_candidates(F.col("text"), specs=specs).alias("s"))
+    found = _table(spark, sf_dir, "documents").select("doc_id", detect.regex_candidates("text", specs=specs).alias("s"))
     counts = found.select("doc_id", render.spans_by_source(F.col("s")).alias("n"))
     return counts.select("doc_id", *[F.col(f"n.{c}").cast("long").alias(c) for c in ("regex", "dict", "llm")])
 

@@ -21,7 +21,7 @@ def anonymize_stream(documents: DataFrame) -> DataFrame:
     Rules and patterns work on one document at a time, so there is no state; dictionaries are joined in foreachBatch if wanted.
     """
     out = rules.refine(documents.withColumn("text", F.coalesce("text", F.lit(""))))
-    every = F.concat(F.col("rule_spans").cast(detect.NO_SPANS), detect.regex_candidates(F.col("text")).cast(detect.NO_SPANS))
+    every = F.concat(F.col("rule_spans").cast(detect.NO_SPANS), detect.regex_candidates("text").cast(detect.NO_SPANS))
     out = out.withColumn("_spans", render.numbered(resolve_overlaps(every)))
     return out.withColumns({"anonymized_text": replace_spans(F.col("text"), F.col("_spans"), lambda s: s["placeholder"]), "total_replacements": F.size("_spans")}).drop(
         "_spans", "rule_spans", "review_candidates", "whitelist_skipped")
