@@ -28,13 +28,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = 1 << 20):
-    """A condition that holds for every value of `column` in `ids`, and for few others while those are few.
+def id_filter(ids: DataFrame, *columns: str, bits: int = 1 << 20):
+    """A condition that holds for all values of `columns` in `ids`, and for few others while those are few.
 
-    It spares shuffling rows that a join would drop. Its size is fixed (128 kB), whatever the number of ids;
+    It spares shuffling rows that a join would drop. Its size is fixed (128 kB by default), whatever the number of ids;
     it never drops a row that joins.
     """
-    at = lambda i: F.pmod(F.xxhash64(F.col(column), F.lit(i)), F.lit(bits))
+    at = lambda i: F.pmod(F.xxhash64(*map(F.col, columns), F.lit(i)), F.lit(bits))
     one = lambda p: F.call_function("shiftleft", F.lit(1).cast("bigint"), p.bitwiseAND(F.lit(63)).cast("int"))
     found = ids.select(F.explode(F.array(at(0), at(1))).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(one(F.col("p"))).alias("b"))
     words = [0] * (bits // 64)

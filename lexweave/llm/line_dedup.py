@@ -1,127 +1,223 @@
-"""Line deduplication by an exact set-similarity join, in DataFrame functions only.
+"""Line deduplication by an exact set-similarity join.
 
-A line's tokens are its distinct lower-cased words. A line goes if an earlier line, by (doc_id, line number), has a
-Jaccard similarity of SIMILARITY or more to it. Tokens are ordered by rarity; two lines of that similarity share a token
-among their rarest ones (prefix filter), in places that leave room for the overlap (positional filter), and have
-similar lengths (length filter). A 64-bit parity of the tokens bounds their difference as well. What passes is verified
-on the words themselves.
+A line's tokens are its distinct words, A-Z lower-cased. A line goes if an earlier line, by (doc_id, line number), has
+a Jaccard similarity of SIMILARITY or more to it. Tokens are ordered by rarity, which counters over all texts tell; two lines of
+that similarity share one of their rarest tokens (prefix filter), in places that leave room for the overlap (positional
+filter), and have similar lengths (length filter). A 64-bit parity of the tokens bounds their difference as well. What passes
+is verified on whole token sets.
 
-Lines of equal token sets collapse into one class first, represented by its earliest line. A class is then held against
-the earliest class that shares one of its two rarest tokens, which settles most near copies with one pair each; only
-classes without a match are joined with all earlier ones.
+Lines of equal sets are one class, named by a digest, with its earliest line; copies are looked up once a task. Where many lines
+share a token, each is first paired with a few of those that the filters allow, which settles near copies; lines that are still without
+a match, though they had more to be paired with, are then paired with all of them.
+
+The form in DataFrame functions alone gives the same rows, but at twice the CPU time and disk that are allowed (README), so
+words are hashed and sorted in Arrow batches here; grouping, joins and all shuffles are Spark's.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_filter, settle
+from .counters import count_items, rarity, rarity_keys
+from .textblocks import line_words, mix, slices, word_hashes
 
 SIMILARITY = Fraction(4, 5)
-#: Hashed token counters that order tokens by rarity: 65,536 numbers, whatever the input.
-COUNTERS = 1 << 16
-
-
-def _words(line: Column) -> Column:
-    """The words of a line, lower-cased, white space between them; repeats and empty strings included."""
-    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
-    return F.split(F.lower(F.when(other, F.translate(line, "\t\r\x0b\x0c", "    ")).otherwise(line)), " ", -1)
-
-
-def words_of(line: Column) -> Column:
-    """The distinct words of a line."""
-    return F.array_remove(F.array_distinct(_words(line)), "")
-
-
-def _token(word: Column) -> Column:
-    return F.xxhash64(word)
-
-
-def token_counts(documents: DataFrame) -> list[int]:
-    """How often the tokens of each hashed counter occur, over all texts."""
-    words = _lines(documents).select(F.explode(_words(F.col("line"))).alias("w"))
-    rows = words.groupBy(F.pmod(_token(F.col("w")), F.lit(COUNTERS)).alias("c")).count().collect()  # at most COUNTERS rows
-    out = [0] * COUNTERS
-    for c, n in rows:
-        out[c] = n
-    return out
-
-
-def _lines(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-
-
-def _ceil(numerator: Column, by: int) -> Column:
-    return F.floor((numerator + (by - 1)) / by).cast("int")
-
-
-def _described(documents: DataFrame, counts: list[int], t: Fraction) -> DataFrame:
-    """doc_id, line_no, set digest d, n tokens, parity bits, and the line's rarest tokens in order of rarity."""
-    steps = [min(255, (4 * c.bit_length()) + (c >> max(0, c.bit_length() - 3) & 3)) for c in counts]
-    rarity = F.from_json(F.lit(json.dumps(steps)), "array<bigint>")
-    shift = lambda c, n: F.call_function("shiftleft", c, F.lit(n))
-    # A number that holds the rarity above 54 bits of the token's hash: its order is the order of rarity.
-    key = lambda h: shift(F.get(rarity, F.pmod(h, F.lit(COUNTERS)).cast("int")), 54).bitwiseOR(F.shiftrightunsigned(h, 10))
-    empty = documents.sparkSession.range(1).select(_token(F.lit(""))).first()[0]
-    hashes = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), _token)), F.lit(empty))
-    keys = _lines(documents).select("doc_id", "line_no", F.sort_array(F.transform(hashes, key)).alias("keys")).where(F.size("keys") > 0)
-    n = F.size("keys")
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
-    ahead = n - _ceil(n * t.numerator, t.denominator) + 1
-    # Once in order, 32 bits of a token's hash are enough to look it up; pairs are verified on words.
-    low = lambda k: F.shiftright(shift(k, 32), 32).cast("int")
-    return keys.select(
-        "doc_id", "line_no", F.xxhash64("keys").alias("d"), n.alias("n"),
-        F.aggregate("keys", F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(bit(k))).alias("bits"),
-        F.transform(F.slice("keys", 1, ahead), low).alias("rare"),
-    )
-
-
-#: A posting's number holds the line's tokens, the place in its prefix, and whether it meets longer lines and is open.
-_SIZE = 22
-
-
-def _could_match(a: str, b: str, t: Fraction) -> Column:
-    """The filters on a pair of postings of one token: length, position, parity."""
-    part = lambda x, at, width: F.shiftright(F.col(f"{x}.about"), at).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
-    na, nb, pa, pb = part(a, 2, 20), part(b, 2, 20), part(a, _SIZE, 18), part(b, _SIZE, 18)
-    p, q = t.numerator, t.denominator
-    short, long = F.least(na, nb), F.greatest(na, nb)
-    need = _ceil((na + nb) * p, p + q)
-    meets = lambda x: part(x, 0, 1) == 1
-    shorter = F.when(na < nb, meets(a)).when(nb < na, meets(b)).otherwise(F.lit(True))
-    return (
-        (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= na + nb - 2 * need)
-        & (short * q >= long * p) & shorter
-        & (F.least(pa, pb) + F.least(na - pa, nb - pb) >= need)
-        & ((part(a, 1, 1) == 1) | (part(b, 1, 1) == 1))
-    )
-
-
-def _words_of_classes(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """(d, words) of the classes wanted, from their earliest lines (d, doc_id, line_no)."""
-    # Lines of documents that have none of the classes' earliest lines are dropped before the shuffle.
-    return (
-        _lines(documents.where(id_filter(classes, "doc_id"))).join(classes.select("doc_id", "line_no", "d"), ["doc_id", "line_no"])
-        .select("d", words_of(F.col("line")).alias("words")).where(F.size("words") > 0).groupBy("d").agg(F.first("words").alias("words"))
-    )
-
-
-def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
-    """Those pairs of classes (a the earlier, b) whose words' Jaccard similarity is t or more, with the similarity."""
-    wanted = settle(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct().join(classes.select("d", "doc_id", "line_no"), "d"))
-    words = settle(_words_of_classes(documents, wanted))
-    both = F.size(F.array_intersect("wa", "wb"))
-    either = F.size("wa") + F.size("wb") - F.col("both")
-    return (
-        pairs.join(words.select(F.col("d").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("d").alias("b"), F.col("words").alias("wb")), "b")
-        .withColumn("both", both).where(F.col("both") * t.denominator >= either * t.numerator)
-        .select("a", "b", (F.col("both") / either).alias("similarity"))
-    )
+#: Pairs taken of each line in a token's group at first; the rest follows where they don't settle it.
+FEW = 4
+#: Bits of the filter over classes that spares sorting and moving lines without candidates: 1 MB, whatever the input.
+FILTER_BITS = 1 << 23
+
+
+def _overlap(a, b, t: Fraction):
+    """The least overlap of two sets of these sizes whose similarity is t."""
+    return -(-t.numerator * (a + b) // (t.numerator + t.denominator))
+
+
+def _token_lines(texts: pa.Array, rare: np.ndarray):
+    """Distinct tokens of lines, in order of rarity: tokens, the line of each (counted over all texts), where each line that has
+    tokens begins, the numbers of those lines, and each text's first line."""
+    hashes, line, first = line_words(texts)
+    keys = rarity_keys(hashes, rare)
+    order = np.lexsort((keys, line))
+    keys, line = keys[order], line[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
+    keys, line = keys[new], line[new]
+    begins = np.flatnonzero(np.diff(line, prepend=-1))
+    return keys, line, begins, line[begins], first
+
+
+def _digests(keys: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each line's set."""
+    mixed = mix(keys ^ np.uint64(0x9E3779B97F4A7C15))
+    sums = np.add.reduceat(mixed, begins) + sizes.astype(np.uint64)
+    return mix(sums ^ mix(np.bitwise_xor.reduceat(mixed, begins))).astype(np.int64)
+
+
+def _described(texts: DataFrame, rare, t: Fraction) -> DataFrame:
+    """doc_id, line_no, the set's digest d; once in a task for each digest its size, parity and rarest tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a number for each different line of the task
+        for batch in batches:
+            for part in slices(batch, "text"):
+                keys, line, begins, lines, first = _token_lines(part.column("text"), rare.value)
+                if not len(keys):
+                    continue
+                sizes = np.diff(np.append(begins, len(keys)))
+                digests = _digests(keys, begins, sizes)
+                parity = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), begins).astype(np.int64)
+                own = np.zeros(len(digests), bool)
+                own[np.unique(digests, return_index=True)[1]] = True
+                for i in np.flatnonzero(own):
+                    if (d := int(digests[i])) in seen:
+                        own[i] = False
+                    else:
+                        seen.add(d)
+                ahead = np.where(own, sizes - -(-t.numerator * sizes // t.denominator) + 1, 0)
+                place = np.arange(len(keys)) - np.repeat(begins, sizes)
+                taken = keys[place < np.repeat(ahead, sizes)].view(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(ahead)]).astype(np.int32)
+                text = np.searchsorted(first, lines, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(text)), pa.array(lines - first[text], pa.int32()), pa.array(digests), pa.array(sizes, pa.int32()), pa.array(parity),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(taken))],
+                    names=["doc_id", "line_no", "d", "n", "bits", "rare"])
+
+    return texts.mapInArrow(run, "doc_id long, line_no int, d long, n int, bits long, rare array<bigint>")
+
+
+def _could_match(n, place, bits, i, j, t: Fraction) -> np.ndarray:
+    """The filters on pairs (i, j) of one token's group: length, place, parity.
+
+    If the token is the first that two sets share, the overlap is at most one plus the shorter rest; and the shorter line must
+    have it among those of its rarest tokens that longer lines are met at. A pair that matches passes at its first shared token.
+    """
+    ni, nj = n[i], n[j]
+    small, large = np.minimum(ni, nj), np.maximum(ni, nj)
+    need = _overlap(ni, nj, t)
+    meets = np.where(ni <= nj, place[i], place[j]) <= small - _overlap(small, small, t) + 1
+    ok = (small * t.denominator >= large * t.numerator) & (1 + np.minimum(ni - place[i], nj - place[j]) >= need) & (meets | (ni == nj))
+    ok[ok] = np.bitwise_count((bits[i[ok]] ^ bits[j[ok]]).view(np.uint64)) <= (ni + nj - 2 * need)[ok]
+    return ok
+
+
+def _pairs(postings: DataFrame, t: Fraction, few: int | None) -> DataFrame:
+    """Pairs (a, b), a < b, of classes that the filters allow, from postings (token, d, about, bits, open).
+
+    With `few`, each class gets that many pairs in a group at most, and a row (a, null) tells that it has more. Without, all
+    pairs of open classes come. Groups are streamed in the order of tokens and lengths; only those lengths are compared that fit.
+    """
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs_of(token, d, n, place, bits, open_) -> pa.RecordBatch:
+            # Of a class that several tasks have looked up one posting stays.
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (d[1:] != d[:-1])
+            token, d, n, place, bits, open_ = (x[new] for x in (token, d, n, place, bits, open_))
+            begins = np.flatnonzero(np.diff(token, prepend=token[0] - 1))
+            group_end = np.repeat(np.append(begins[1:], len(token)), np.diff(np.append(begins, len(token))))
+            # Lengths ascend in a group: the partners of i behind it end where lengths no longer fit.
+            reach = group_end.copy()
+            for a, b in zip(begins, np.append(begins[1:], len(token))):
+                if b - a > 2:
+                    reach[a:b] = a + np.searchsorted(n[a:b], n[a:b] * t.denominator // t.numerator, "right")
+            counts = np.maximum(reach - np.arange(len(token)) - 1, 0)
+            found_a, found_b, more = [], [], []
+            at = 0
+            while at < len(token):
+                end = max(at + 1, int(np.searchsorted(np.cumsum(counts[at:]), 2_000_000, "right")) + at)
+                c = counts[at:end]
+                i = np.repeat(np.arange(at, end), c)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+                ok = _could_match(n, place, bits, i, j, t)
+                ok &= open_[i] | open_[j]
+                i, j = i[ok], j[ok]
+                if few is not None and len(i):
+                    rank = np.arange(len(i)) - np.searchsorted(i, i)  # the how-manieth pair of i
+                    by = np.lexsort((i, j))
+                    back = np.empty(len(j), np.int64)
+                    back[by] = np.arange(len(j)) - np.searchsorted(j[by], j[by])
+                    kept = (rank < few) | (back < few)
+                    more.append(d[np.unique(np.concatenate([i[~kept], j[~kept]]))])
+                    i, j = i[kept], j[kept]
+                found_a.append(np.minimum(d[i], d[j])), found_b.append(np.maximum(d[i], d[j]))
+                at = end
+            a, b = np.concatenate(found_a), np.concatenate(found_b)
+            some = np.unique(np.stack([a, b], 1), axis=0)
+            left = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([some[:, 0], left]), pa.int64()), pa.concat_arrays([pa.array(some[:, 1], pa.int64()), pa.nulls(len(left), pa.int64())])], names=["a", "b"])
+
+        carry: list[np.ndarray] | None = None
+        for batch in batches:
+            about = batch.column("about").to_numpy()
+            cols = [batch.column("token").to_numpy(), batch.column("d").to_numpy(), about >> 20, about & ((1 << 20) - 1), batch.column("bits").to_numpy(), batch.column("open").to_numpy(zero_copy_only=False)]
+            if carry is not None:
+                cols = [np.concatenate(x) for x in zip(carry, cols)]
+            end = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last group may go on
+            if end:
+                yield pairs_of(*(x[:end] for x in cols))
+            carry = [x[end:] for x in cols]
+        if carry is not None and len(carry[0]):
+            yield pairs_of(*carry)
+
+    return postings.repartition(parts, "token").sortWithinPartitions("token", "about", "d").mapInArrow(run, "a long, b long")
+
+
+def _sets_of(texts: DataFrame, wanted: DataFrame, rare) -> DataFrame:
+    """(d, tokens as bytes) of the classes wanted (d)."""
+    at = F.col("d").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for w, b in wanted.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(bit).alias("b")).collect():  # at most FILTER_BITS / 64 rows
+        words[w] = b
+    held = texts.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                keys, _, begins, _, _ = _token_lines(part.column("text"), rare.value)
+                if not len(keys):
+                    continue
+                ends = np.append(begins[1:], len(keys))
+                digests = _digests(keys, begins, ends - begins)
+                place = digests & (FILTER_BITS - 1)
+                hit = np.flatnonzero((held.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
+                yield pa.RecordBatch.from_arrays([pa.array(digests[hit]), pa.array([keys[begins[i] : ends[i]].tobytes() for i in hit], pa.binary())], names=["d", "tokens"])
+
+    return texts.mapInArrow(run, "d long, tokens binary").join(wanted, "d", "left_semi").dropDuplicates(["d"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, rare, t: Fraction) -> DataFrame:
+    """Those pairs (a, b) whose similarity is t or more, with it."""
+    sets = settle(_sets_of(texts, settle(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()), rare))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("ta"), batch.column("tb")
+            # All sets of a batch at once: equal tokens of a pair stand side by side once sorted.
+            sizes = [np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) // 8 for c in (x, y)]
+            tokens = np.concatenate([np.frombuffer(b"".join(c.to_pylist()), np.uint64) for c in (x, y)])
+            pair = np.concatenate([np.repeat(np.arange(len(c)), n) for c, n in zip((x, y), sizes)])
+            order = np.lexsort((tokens, pair))
+            tokens, pair = tokens[order], pair[order]
+            same = (tokens[1:] == tokens[:-1]) & (pair[1:] == pair[:-1])
+            both = np.bincount(pair[1:][same], minlength=len(x))
+            either = sizes[0] + sizes[1] - both
+            ok = both * t.denominator >= either * t.numerator
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok)), pa.array(both[ok] / either[ok], pa.float64())], names=["a", "b", "similarity"])
+
+    joined = pairs.join(sets.select(F.col("d").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("d").alias("b"), F.col("tokens").alias("tb")), "b")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
 def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -134,63 +230,38 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
     """
     t = similarity
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines = settle(_described(texts, token_counts(texts), t))
-    # A class of equal sets is known by a digest; its earliest line stands for it. Only numbers are shuffled here.
-    firsts = settle(
-        lines.groupBy("d", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("d", "n", "at.doc_id", "at.line_no")
-    )
-    meets = F.col("n") - _ceil(F.col("n") * 2 * t.numerator, t.numerator + t.denominator) + 1
-
-    def earliest(of: DataFrame, classes: DataFrame) -> DataFrame:
-        """The rows of each class's earliest line, with the columns of classes."""
-        place = classes.withColumnsRenamed({"doc_id": "_doc_id", "line_no": "_line_no"}).drop("n")
-        return of.join(place, "d").where((F.col("doc_id") == F.col("_doc_id")) & (F.col("line_no") == F.col("_line_no"))).drop("_doc_id", "_line_no")
-
-    # 1. The earliest class of each token, held against those that have it among their two rarest.
-    two = earliest(lines.select("d", "n", "doc_id", "line_no", "bits", F.slice("rare", 1, 2).alias("rare")), firsts).select(
-        "d", "n", "doc_id", "line_no", "bits", F.explode("rare").alias("token"))
-    place = F.struct("doc_id", "line_no")
-    heads = two.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "d", "n", "bits")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", "h")
-    # Near copies may differ in either of the two tokens, so here only lengths and parities rule a pair out.
-    need = _ceil((F.col("n") + F.col("h.n")) * t.numerator, t.numerator + t.denominator)
-    star = (
-        two.join(heads, "token").where(F.struct("h.doc_id", "h.line_no") < place)
-        .where((F.least("n", "h.n") * t.denominator >= F.greatest("n", "h.n") * t.numerator) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("h.bits"))) <= F.col("n") + F.col("h.n") - 2 * need))
-        .select(F.col("h.d").alias("a"), F.col("d").alias("b")).distinct()
-    )
-    found = settle(_verified(settle(star), texts, firsts, t))
-    # 2. What has no match yet, against all earlier classes that share a token of both prefixes.
-    marked = settle(firsts.join(found.select(F.col("b").alias("d"), F.lit(False).alias("open")).distinct(), "d", "left").withColumn("open", F.coalesce("open", F.lit(True))))
-    # Two numbers a posting beside token and class, equal on both sides of the join, so that one exchange serves both.
-    long = lambda c: c.cast("bigint")
-    shift = lambda c, n: F.call_function("shiftleft", long(c), F.lit(n))
-    about = shift(F.least(F.col("pos") + 1, F.lit((1 << 18) - 1)), _SIZE).bitwiseOR(shift(F.least("n", F.lit((1 << 20) - 1)), 2)).bitwiseOR(
-        shift(F.col("open").cast("int"), 1)).bitwiseOR(long((F.col("pos") < meets).cast("int")))
-    posted = earliest(lines, marked).select("d", "n", "bits", "open", F.posexplode("rare").alias("pos", "token")).select("token", "d", "bits", about.alias("about"))
-    pairs = (
-        posted.alias("a").join(posted.alias("b"), F.col("a.token") == F.col("b.token"))
-        .where((F.col("a.d") < F.col("b.d")) & _could_match("a", "b", t))
-        .select(F.col("a.d").alias("a"), F.col("b.d").alias("b")).distinct()
-    )
-    # The earlier line of a pair comes first; a pair whose later line has its match already is done with.
-    at = marked.select("d", F.struct("doc_id", "line_no").alias("at"), "open")
-    placed = pairs.join(at.select(F.col("d").alias("a"), F.col("at").alias("at_a"), F.col("open").alias("open_a")), "a").join(
-        at.select(F.col("d").alias("b"), F.col("at").alias("at_b"), F.col("open").alias("open_b")), "b")
-    first_a = F.col("at_a") < F.col("at_b")
-    pairs = placed.where(F.when(first_a, F.col("open_b")).otherwise(F.col("open_a"))).select(
-        F.when(first_a, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first_a, F.col("b")).otherwise(F.col("a")).alias("b"))
-    more = _verified(settle(pairs), texts, firsts, t)
-    matches = found.union(more)
-    by_place = matches.join(firsts.select(F.col("d").alias("a"), F.col("doc_id").alias("kept_doc_id"), F.col("line_no").alias("kept_line_no")), "a")
-    near = by_place.groupBy("b").agg(F.min(F.struct("kept_doc_id", "kept_line_no", "similarity")).alias("near"))
+    rare = documents.sparkSession.sparkContext.broadcast(rarity(count_items(texts, lambda x: word_hashes(x)[0])))
+    lines = settle(_described(texts, rare, t))
+    firsts = settle(lines.groupBy("d").agg(F.min(F.struct("doc_id", "line_no")).alias("at")))
+    shift = F.call_function("shiftleft", F.col("n").cast("bigint"), F.lit(20))
+    postings = lines.where(F.size("rare") > 0).select("d", "n", "bits", F.posexplode("rare").alias("pos", "token")).select(
+        "token", "d", "bits", shift.bitwiseOR((F.col("pos") + 1).cast("bigint")).alias("about"))
+    tried = settle(_pairs(postings.withColumn("open", F.lit(True)), t, FEW))
+    pairs = tried.where("b is not null").distinct()
+    found = settle(_verified(settle(pairs), texts, rare, t))
+
+    def in_order(links: DataFrame) -> DataFrame:
+        """Links with the place of both lines' classes: (later, kept, similarity)."""
+        a, b = firsts.select(F.col("d").alias("a"), F.col("at").alias("at_a")), firsts.select(F.col("d").alias("b"), F.col("at").alias("at_b"))
+        return links.join(a, "a").join(b, "b").select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("d"), F.least("at_a", "at_b").alias("kept"), "similarity")
+
+    matches = in_order(found)
+    # Classes that had more to be paired with and have no match yet.
+    left = settle(tried.where("b is null").select(F.col("a").alias("d")).distinct().join(matches.select("d"), "d", "left_anti"))
+    if not left.isEmpty():
+        tokens = settle(postings.join(left, "d", "left_semi").select("token").distinct())
+        again = postings.where(id_filter(tokens, "token")).join(tokens, "token", "left_semi")
+        again = again.join(left.withColumn("open", F.lit(True)), "d", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        rest = settle(_pairs(again, t, None).distinct().join(found, ["a", "b"], "left_anti"))
+        matches = matches.union(in_order(settle(_verified(rest, texts, rare, t))))
+    near = matches.groupBy("d").agg(F.min(F.struct("kept", "similarity")).alias("near"))
     # Where each class's lines go: all but the earliest are copies; the earliest goes if it has an earlier match.
-    known = settle(firsts.select("d", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no")).join(near.withColumnRenamed("b", "d"), "d", "left"))
-    is_first = (F.col("doc_id") == F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no"))
+    known = settle(firsts.join(near, "d", "left"))
+    is_first = F.struct("doc_id", "line_no") == F.col("at")
     gone = lines.select("d", "doc_id", "line_no").join(known, "d").where(~is_first | F.col("near").isNotNull())
+    kept = F.when(is_first, F.col("near.kept")).otherwise(F.col("at"))
     return gone.select(
-        "doc_id", "line_no",
-        F.when(is_first, F.col("near.kept_doc_id")).otherwise(F.col("first_doc_id")).alias("kept_doc_id"),
-        F.when(is_first, F.col("near.kept_line_no")).otherwise(F.col("first_line_no")).alias("kept_line_no"),
+        "doc_id", "line_no", kept["doc_id"].alias("kept_doc_id"), kept["line_no"].alias("kept_line_no"),
         F.when(is_first, F.col("near.similarity")).otherwise(F.lit(1.0)).alias("similarity"),
     ).distinct()
 

@@ -59,8 +59,25 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word, A-Z lower-cased, and where each text's words begin (one more than texts)."""
     data, at = text_bytes(texts)
+    hashes, begins = _words(data, at)
+    return hashes, np.searchsorted(begins, at) if len(begins) else np.zeros(len(at), np.int64)
+
+
+def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of every word, the number of the line it is in, counted over all texts, and each text's first line
+    (one more than texts). Lines end at \\n; every text has one at least."""
+    data, at = text_bytes(texts)
+    hashes, begins = _words(data, at)
+    ends = np.flatnonzero(data == 10)
+    line = np.searchsorted(ends, begins, "right") + np.searchsorted(at, begins, "right") - 1
+    return hashes, line, np.searchsorted(ends, at) + np.arange(len(at))
+
+
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words, and the bytes at which they begin; texts begin at `at`."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+        return none
     word = ~_SPACE[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
@@ -70,7 +87,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last[inner - 1] = word[inner - 1]
     begins, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(begins):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+        return none
     lengths = ends - begins
     letters = _LOWER[data[word]].astype(np.uint64) + np.uint64(1)
     packed = np.cumsum(lengths) - lengths
@@ -79,8 +96,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     powers[0] = 1
     powers = np.cumprod(powers, dtype=np.uint64)
     letters *= powers[within]
-    hashes = mix(np.add.reduceat(letters, packed) + lengths.astype(np.uint64) * _PLACE[0])
-    return hashes, np.searchsorted(begins, at)
+    return mix(np.add.reduceat(letters, packed) + lengths.astype(np.uint64) * _PLACE[0]), begins
 
 
 def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
