@@ -31,7 +31,7 @@ from .textblocks import line_words, mix, slices, word_hashes
 SIMILARITY = Fraction(4, 5)
 #: Pairs taken of each line in a token's group at first; the rest follows where they don't settle it.
 FEW = 4
-#: Bits of the filter over classes that spares sorting and moving lines without candidates: 1 MB, whatever the input.
+#: Bits of the filter over lines that spares sorting and moving lines without candidates: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
 
 
@@ -40,10 +40,13 @@ def _overlap(a, b, t: Fraction):
     return -(-t.numerator * (a + b) // (t.numerator + t.denominator))
 
 
-def _token_lines(texts: pa.Array, rare: np.ndarray):
+def _token_lines(texts: pa.Array, rare: np.ndarray, listed=None):
     """Distinct tokens of lines, in order of rarity: tokens, the line of each (counted over all texts), where each line that has
-    tokens begins, the numbers of those lines, and each text's first line."""
+    tokens begins, the numbers of those lines, and each text's first line. With listed(line, first), of the lines it holds for."""
     hashes, line, first = line_words(texts)
+    if listed is not None:
+        kept = listed(line, first)
+        hashes, line = hashes[kept], line[kept]
     keys = rarity_keys(hashes, rare)
     order = np.lexsort((keys, line))
     keys, line = keys[order], line[order]
@@ -83,7 +86,8 @@ def _described(texts: DataFrame, rare, t: Fraction) -> DataFrame:
                         seen.add(d)
                 ahead = np.where(own, sizes - -(-t.numerator * sizes // t.denominator) + 1, 0)
                 place = np.arange(len(keys)) - np.repeat(begins, sizes)
-                taken = keys[place < np.repeat(ahead, sizes)].view(np.int64)
+                # Once in order, 32 bits of a token are enough to look it up; pairs are verified on more.
+                taken = keys[place < np.repeat(ahead, sizes)].astype(np.uint32).view(np.int32)
                 offsets = np.concatenate([[0], np.cumsum(ahead)]).astype(np.int32)
                 text = np.searchsorted(first, lines, "right") - 1
                 yield pa.RecordBatch.from_arrays(
@@ -91,7 +95,7 @@ def _described(texts: DataFrame, rare, t: Fraction) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(taken))],
                     names=["doc_id", "line_no", "d", "n", "bits", "rare"])
 
-    return texts.mapInArrow(run, "doc_id long, line_no int, d long, n int, bits long, rare array<bigint>")
+    return texts.mapInArrow(run, "doc_id long, line_no int, d long, n int, bits long, rare array<int>")
 
 
 def _could_match(n, place, bits, i, j, t: Fraction) -> np.ndarray:
@@ -173,9 +177,27 @@ def _pairs(postings: DataFrame, t: Fraction, few: int | None) -> DataFrame:
     return postings.repartition(parts, "token").sortWithinPartitions("token", "about", "d").mapInArrow(run, "a long, b long")
 
 
+def _line_place(doc_id, line_no):
+    """Where a line has its bit in the filter; for columns and for arrays alike."""
+    return ((doc_id % (1 << 30)) * 1_000_003 + line_no) % FILTER_BITS
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """Tokens as six bytes each."""
+    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(tokens: list[bytes]) -> np.ndarray:
+    flat = np.frombuffer(b"".join(tokens), np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(flat), 8), np.uint8)
+    wide[:, :6] = flat
+    return wide.view(np.uint64).ravel()
+
+
 def _sets_of(texts: DataFrame, wanted: DataFrame, rare) -> DataFrame:
-    """(d, tokens as bytes) of the classes wanted (d)."""
-    at = F.col("d").bitwiseAND(F.lit(FILTER_BITS - 1))
+    """(d, tokens as bytes) of the classes wanted (d, and doc_id, line_no of one of its lines)."""
+    # Negative remainders differ between columns and arrays.
+    at = F.pmod(_line_place(F.pmod("doc_id", F.lit(1 << 30)), F.col("line_no")), F.lit(FILTER_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
     words = np.zeros(FILTER_BITS // 64, np.int64)
     for w, b in wanted.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(bit).alias("b")).collect():  # at most FILTER_BITS / 64 rows
@@ -185,28 +207,35 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, rare) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                keys, _, begins, _, _ = _token_lines(part.column("text"), rare.value)
+                ids = part.column("doc_id").to_numpy()
+
+                def listed(line: np.ndarray, first: np.ndarray) -> np.ndarray:
+                    text = np.searchsorted(first, line, "right") - 1
+                    place = _line_place(ids[text], line - first[text])
+                    return (held.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+                keys, _, begins, _, _ = _token_lines(part.column("text"), rare.value, listed)
                 if not len(keys):
                     continue
                 ends = np.append(begins[1:], len(keys))
                 digests = _digests(keys, begins, ends - begins)
-                place = digests & (FILTER_BITS - 1)
-                hit = np.flatnonzero((held.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(digests[hit]), pa.array([keys[begins[i] : ends[i]].tobytes() for i in hit], pa.binary())], names=["d", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array([_packed(keys[a:b]) for a, b in zip(begins, ends)], pa.binary())], names=["d", "tokens"])
 
-    return texts.mapInArrow(run, "d long, tokens binary").join(wanted, "d", "left_semi").dropDuplicates(["d"])
+    return texts.mapInArrow(run, "d long, tokens binary").join(wanted.select("d"), "d", "left_semi").dropDuplicates(["d"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, rare, t: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, rare, t: Fraction) -> DataFrame:
     """Those pairs (a, b) whose similarity is t or more, with it."""
-    sets = settle(_sets_of(texts, settle(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()), rare))
+    classes = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
+    # Not settled: both sides of the join below read the one shuffle of the sets.
+    sets = _sets_of(texts, settle(classes.join(firsts, "d").select("d", "at.doc_id", "at.line_no")), rare)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("ta"), batch.column("tb")
             # All sets of a batch at once: equal tokens of a pair stand side by side once sorted.
-            sizes = [np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) // 8 for c in (x, y)]
-            tokens = np.concatenate([np.frombuffer(b"".join(c.to_pylist()), np.uint64) for c in (x, y)])
+            sizes = [np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) // 6 for c in (x, y)]
+            tokens = np.concatenate([_unpacked(c.to_pylist()) for c in (x, y)])
             pair = np.concatenate([np.repeat(np.arange(len(c)), n) for c, n in zip((x, y), sizes)])
             order = np.lexsort((tokens, pair))
             tokens, pair = tokens[order], pair[order]
@@ -238,7 +267,7 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
         "token", "d", "bits", shift.bitwiseOR((F.col("pos") + 1).cast("bigint")).alias("about"))
     tried = settle(_pairs(postings.withColumn("open", F.lit(True)), t, FEW))
     pairs = tried.where("b is not null").distinct()
-    found = settle(_verified(settle(pairs), texts, rare, t))
+    found = settle(_verified(settle(pairs), texts, firsts, rare, t))
 
     def in_order(links: DataFrame) -> DataFrame:
         """Links with the place of both lines' classes: (later, kept, similarity)."""
@@ -253,7 +282,7 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
         again = postings.where(id_filter(tokens, "token")).join(tokens, "token", "left_semi")
         again = again.join(left.withColumn("open", F.lit(True)), "d", "left").withColumn("open", F.coalesce("open", F.lit(False)))
         rest = settle(_pairs(again, t, None).distinct().join(found, ["a", "b"], "left_anti"))
-        matches = matches.union(in_order(settle(_verified(rest, texts, rare, t))))
+        matches = matches.union(in_order(settle(_verified(rest, texts, firsts, rare, t))))
     near = matches.groupBy("d").agg(F.min(F.struct("kept", "similarity")).alias("near"))
     # Where each class's lines go: all but the earliest are copies; the earliest goes if it has an earlier match.
     known = settle(firsts.join(near, "d", "left"))

@@ -59,8 +59,8 @@ s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(ra
 
 OP6 = f"""WITH RECURSIVE {_SHINGLES},
 x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
-i AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS both FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM i WHERE 100 * both >= 80 * (na + nb - both) UNION SELECT b, a FROM i WHERE 100 * both >= 80 * (na + nb - both)),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS hits FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i WHERE 100 * hits >= 80 * (na + nb - hits) UNION SELECT b, a FROM i WHERE 100 * hits >= 80 * (na + nb - hits)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, CAST(c.component_id AS BIGINT) AS component_id FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.doc_id"""
 

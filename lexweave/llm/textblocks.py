@@ -1,7 +1,7 @@
 """Words and word shingles of whole texts as 64-bit numbers, vectorised over Arrow batches.
 
 Everything works on the UTF-8 bytes of a batch at once: word borders come from a
-table of white-space bytes, each word's hash is a polynomial over its bytes, each
+table of white-space bytes, each word's hash mixes its bytes, eight at a time, each
 shingle's hash combines the hashes of its words. Two different words or shingles
 share a hash with a chance of about 2**-64.
 """
@@ -21,7 +21,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _PLACE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -89,14 +89,17 @@ def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(begins):
         return none
     lengths = ends - begins
-    letters = _LOWER[data[word]].astype(np.uint64) + np.uint64(1)
-    packed = np.cumsum(lengths) - lengths
-    within = np.arange(len(letters)) - np.repeat(packed, lengths)
-    powers = np.full(int(lengths.max()), _BASE, np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=np.uint64)
-    letters *= powers[within]
-    return mix(np.add.reduceat(letters, packed) + lengths.astype(np.uint64) * _PLACE[0]), begins
+    # Eight bytes of every word at a time, read as one number wherever they begin.
+    padded = np.zeros(len(data) + 8, np.uint8)
+    np.take(_LOWER, data, out=padded[:-8])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    hashes = mix((lengths.astype(np.uint64) * _PLACE[0]) ^ (eight[begins] & _MASK[np.minimum(lengths, 8)]))
+    done, more = 8, np.flatnonzero(lengths > 8)
+    while len(more):
+        left = lengths[more] - done
+        hashes[more] = mix(hashes[more] ^ (eight[begins[more] + done] & _MASK[np.minimum(left, 8)]))
+        done, more = done + 8, more[left > 8]
+    return hashes, begins
 
 
 def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
