@@ -19,6 +19,15 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def find_sql(t: str, p: str) -> str:
+    """find_spans as SQL, of the SQL expressions of a text and a pattern."""
+    hits = f"regexp_extract_all({t}, {p}, 0)"
+    ends = (f"aggregate(arrays_zip({hits}, split({t}, {p}, -1)), named_struct('at', 0, 'out', CAST(array() AS array<int>)), (acc, z) -> IF(z.`0` IS NULL, acc, named_struct("
+            "'at', acc.at + length(z.`1`) + length(z.`0`), 'out', concat(acc.out, array(acc.at + length(z.`1`) + length(z.`0`))))), acc -> acc.out)")
+    found = f"transform(arrays_zip({hits}, {ends}), z -> named_struct('start', z.`1` - length(z.`0`), 'end', z.`1`, 'original', z.`0`))"
+    return f"CASE WHEN regexp_like({t}, {p}) THEN CAST({found} AS {PLACE}) ELSE CAST(array() AS {PLACE}) END"
+
+
 def find_spans(text: str | Column, pattern: str | Column) -> Column:
     """All matches of a pattern, left to right, not overlapping: array<struct<start,end,original>>.
 
@@ -26,12 +35,7 @@ def find_spans(text: str | Column, pattern: str | Column) -> Column:
     constant pattern the same expression is parsed from SQL, which takes far fewer calls to build.
     """
     if isinstance(text, str) and isinstance(pattern, str):
-        t, p = f"`{text}`", _literal(pattern)
-        hits = f"regexp_extract_all({t}, {p}, 0)"
-        ends = (f"aggregate(arrays_zip({hits}, split({t}, {p}, -1)), named_struct('at', 0, 'out', CAST(array() AS array<int>)), (acc, z) -> IF(z.`0` IS NULL, acc, named_struct("
-                "'at', acc.at + length(z.`1`) + length(z.`0`), 'out', concat(acc.out, array(acc.at + length(z.`1`) + length(z.`0`))))), acc -> acc.out)")
-        found = f"transform(arrays_zip({hits}, {ends}), z -> named_struct('start', z.`1` - length(z.`0`), 'end', z.`1`, 'original', z.`0`))"
-        return F.expr(f"CASE WHEN regexp_like({t}, {p}) THEN CAST({found} AS {PLACE}) ELSE CAST(array() AS {PLACE}) END")
+        return F.expr(find_sql(f"`{text}`", _literal(pattern)))
     text = column(text)
     expr = F.lit(pattern) if isinstance(pattern, str) else pattern
     hits = F.regexp_extract_all(text, expr, F.lit(0))

@@ -107,3 +107,16 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.select("doc_id", "anonymized_text").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {tuple(r) for r in anonymize_stream(rows).select("doc_id", "anonymized_text").collect()}
+
+
+def test_sql_functions(spark):
+    from lexweave.functions import sql
+    from lexweave.functions.patterns import PatternSpec
+
+    docs(spark, ALL, "ничего", "it's 044525225").createOrReplaceTempView("some_documents")
+    sql.register(spark)
+    rows = spark.sql("SELECT doc_id, s.* FROM (SELECT doc_id, pii_spans(text) AS spans FROM some_documents) LATERAL VIEW explode(spans) AS s WHERE s.entity_type = 'БИК' ORDER BY doc_id").collect()
+    assert [(r["doc_id"], r["original"]) for r in rows] == [(0, "044525225"), (2, "044525225")]
+    assert ALL[rows[0]["start"] : rows[0]["end"]] == "044525225"
+    sql.register(spark, [PatternSpec("QUOTE", "it's")])
+    assert [r[0] for r in spark.sql("SELECT pii_count(text) FROM some_documents ORDER BY doc_id").collect()] == [0, 0, 1]
