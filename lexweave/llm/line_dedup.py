@@ -29,8 +29,8 @@ from .counters import count_items, rarity, rarity_keys
 from .textblocks import line_words, mix, slices, word_hashes
 
 SIMILARITY = Fraction(4, 5)
-#: Pairs taken of each line in a token's group at first; the rest follows where they don't settle it.
-FEW = 4
+#: Pairs taken of each line in each token's group at first; the rest follows where they don't settle it.
+FEW = 1
 #: Bits of the filter over lines that spares sorting and moving lines without candidates: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
 
@@ -281,7 +281,10 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
         tokens = settle(postings.join(left, "d", "left_semi").select("token").distinct())
         again = postings.where(id_filter(tokens, "token")).join(tokens, "token", "left_semi")
         again = again.join(left.withColumn("open", F.lit(True)), "d", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        rest = settle(_pairs(again, t, None).distinct().join(found, ["a", "b"], "left_anti"))
+        rest = _pairs(again, t, None).distinct().join(found, ["a", "b"], "left_anti")
+        # Only a pair whose later line is still without a match can tell anything.
+        later = in_order(rest.withColumn("similarity", F.struct("a", "b"))).join(left, "d", "left_semi")
+        rest = settle(later.select("similarity.a", "similarity.b"))
         matches = matches.union(in_order(settle(_verified(rest, texts, firsts, rare, t))))
     near = matches.groupBy("d").agg(F.min(F.struct("kept", "similarity")).alias("near"))
     # Where each class's lines go: all but the earliest are copies; the earliest goes if it has an earlier match.
