@@ -23,7 +23,7 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         context = spark.sparkContext
-        if not context._jsc.sc().getCheckpointDir().isDefined():
+        if context.getCheckpointDir() is None:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="lexweave-"))
     return df.checkpoint(eager=True)
 
