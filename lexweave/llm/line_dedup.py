@@ -30,7 +30,7 @@ from .textblocks import line_words, mix, slices, word_hashes
 
 SIMILARITY = Fraction(4, 5)
 #: Pairs taken of each line in each token's group at first; the rest follows where they don't settle it.
-FEW = 1
+FEW = 2
 #: Bits of the filter over lines that spares sorting and moving lines without candidates: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
 
@@ -65,7 +65,7 @@ def _digests(keys: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 def _described(texts: DataFrame, rare, t: Fraction) -> DataFrame:
-    """doc_id, line_no, the set's digest d; once in a task for each digest its size, parity and rarest tokens."""
+    """doc_id, line_no, the set's digest d; once in a task for each digest its parities and rarest tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a number for each different line of the task
@@ -77,6 +77,10 @@ def _described(texts: DataFrame, rare, t: Fraction) -> DataFrame:
                 sizes = np.diff(np.append(begins, len(keys)))
                 digests = _digests(keys, begins, sizes)
                 parity = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), begins).astype(np.int64)
+                # A wider parity for pairs that have met: each token flips one of 256 bits.
+                wide = np.zeros((len(keys), 4), np.uint64)
+                wide[np.arange(len(keys)), ((keys >> np.uint64(12)) & np.uint64(3)).astype(np.int64)] = np.uint64(1) << ((keys >> np.uint64(6)) & np.uint64(63))
+                wide = np.bitwise_xor.reduceat(wide, begins, axis=0)
                 own = np.zeros(len(digests), bool)
                 own[np.unique(digests, return_index=True)[1]] = True
                 for i in np.flatnonzero(own):
@@ -91,11 +95,11 @@ def _described(texts: DataFrame, rare, t: Fraction) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(ahead)]).astype(np.int32)
                 text = np.searchsorted(first, lines, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(text)), pa.array(lines - first[text], pa.int32()), pa.array(digests), pa.array(sizes, pa.int32()), pa.array(parity),
+                    [part.column("doc_id").take(pa.array(text)), pa.array(lines - first[text], pa.int32()), pa.array(digests), pa.array(sizes, pa.int32()), pa.array(parity), pa.array([w.tobytes() if o else None for w, o in zip(wide, own)], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(taken))],
-                    names=["doc_id", "line_no", "d", "n", "bits", "rare"])
+                    names=["doc_id", "line_no", "d", "n", "bits", "wide", "rare"])
 
-    return texts.mapInArrow(run, "doc_id long, line_no int, d long, n int, bits long, rare array<int>")
+    return texts.mapInArrow(run, "doc_id long, line_no int, d long, n int, bits long, wide binary, rare array<int>")
 
 
 def _could_match(n, place, bits, i, j, t: Fraction) -> np.ndarray:
@@ -177,6 +181,20 @@ def _pairs(postings: DataFrame, t: Fraction, few: int | None) -> DataFrame:
     return postings.repartition(parts, "token").sortWithinPartitions("token", "about", "d").mapInArrow(run, "a long, b long")
 
 
+def _worth_verifying(pairs: DataFrame, parities: DataFrame, t: Fraction) -> DataFrame:
+    """Those pairs (a, b) whose wide parities (d, n, wide) allow a match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 4) for c in ("wa", "wb"))
+            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= na + nb - 2 * _overlap(na, nb, t)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    x, y = (parities.select(F.col("d").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
+
+
 def _line_place(doc_id, line_no):
     """Where a line has its bit in the filter; for columns and for arrays alike."""
     return ((doc_id % (1 << 30)) * 1_000_003 + line_no) % FILTER_BITS
@@ -266,7 +284,8 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
     postings = lines.where(F.size("rare") > 0).select("d", "n", "bits", F.posexplode("rare").alias("pos", "token")).select(
         "token", "d", "bits", shift.bitwiseOR((F.col("pos") + 1).cast("bigint")).alias("about"))
     tried = settle(_pairs(postings.withColumn("open", F.lit(True)), t, FEW))
-    pairs = tried.where("b is not null").distinct()
+    parities = lines.where("wide is not null").select("d", "n", "wide").dropDuplicates(["d"])
+    pairs = _worth_verifying(tried.where("b is not null").distinct(), parities, t)
     found = settle(_verified(settle(pairs), texts, firsts, rare, t))
 
     def in_order(links: DataFrame) -> DataFrame:
@@ -279,12 +298,12 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
     left = settle(tried.where("b is null").select(F.col("a").alias("d")).distinct().join(matches.select("d"), "d", "left_anti"))
     if not left.isEmpty():
         tokens = settle(postings.join(left, "d", "left_semi").select("token").distinct())
-        again = postings.where(id_filter(tokens, "token")).join(tokens, "token", "left_semi")
+        again = postings.where(id_filter(tokens, "token", bits=FILTER_BITS)).join(tokens, "token", "left_semi")
         again = again.join(left.withColumn("open", F.lit(True)), "d", "left").withColumn("open", F.coalesce("open", F.lit(False)))
         rest = _pairs(again, t, None).distinct().join(found, ["a", "b"], "left_anti")
         # Only a pair whose later line is still without a match can tell anything.
         later = in_order(rest.withColumn("similarity", F.struct("a", "b"))).join(left, "d", "left_semi")
-        rest = settle(later.select("similarity.a", "similarity.b"))
+        rest = settle(_worth_verifying(later.select("similarity.a", "similarity.b"), parities, t))
         matches = matches.union(in_order(settle(_verified(rest, texts, firsts, rare, t))))
     near = matches.groupBy("d").agg(F.min(F.struct("kept", "similarity")).alias("near"))
     # Where each class's lines go: all but the earliest are copies; the earliest goes if it has an earlier match.
