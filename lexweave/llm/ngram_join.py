@@ -55,15 +55,16 @@ def _shingles(texts: pa.Array) -> np.ndarray:
 
 
 def _point(shingles: np.ndarray) -> bytes:
-    """A set's group counts, a byte each; empty for a set so large that a byte doesn't hold one: no bound rules it out."""
+    """A set's group counts, a byte each; four bytes each for a set so large that a byte doesn't hold one."""
     counts = np.bincount((shingles >> np.uint64(33)) % np.uint64(GROUPS), minlength=GROUPS)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
 
 def _unpacked(points: list[bytes]) -> np.ndarray:
-    """Points as rows of numbers; where there is none, a row of the greatest number."""
-    free = b"\xff" * GROUPS
-    return np.frombuffer(b"".join(x or free for x in points), np.uint8).reshape(-1, GROUPS)
+    """Points as rows of numbers: of bytes, unless one of them needs more."""
+    if all(len(x) == GROUPS for x in points):
+        return np.frombuffer(b"".join(points), np.uint8).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(x, np.uint8 if len(x) == GROUPS else np.uint32) for x in points]).astype(np.uint32)
 
 
 def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:

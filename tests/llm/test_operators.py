@@ -111,6 +111,26 @@ def test_op6_cross_components_in_cells(spark):
     assert out == {0: 0, 1: 1, 2: 1}
 
 
+def test_op6_very_long_near_copies(spark):
+    """Sets whose group counts pass a byte: their bound must not rule them out."""
+    words_of = [f"u{i}" for i in range(100_004)]
+    texts = [" ".join(words_of), " ".join(words_of[:-1] + ["tail"]), " ".join(f"v{i}" for i in range(100_004)), "one two three four five"]
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(frame(spark, texts)).collect()}
+    assert out == {0: (100_000, 0), 1: (100_000, 0), 2: (100_000, 2), 3: (1, 3)}
+
+
+def test_op6_rtree_of_very_long_sets():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 90_000).astype(np.uint64)
+    sets = [np.concatenate([base[k * 10 :], rng.integers(0, 2**63, k * 10).astype(np.uint64)]) for k in range(200)]
+    sets += [rng.integers(0, 2**63, n).astype(np.uint64) for n in (90_000, 40_000, 300)]
+    points = ngram_join._unpacked([ngram_join._point(s) for s in sets])
+    sizes = np.array([len(s) for s in sets])
+    assert (points.sum(1, dtype=np.int64) == sizes).all()
+    found = ngram_join.RTree(points, sizes).search(points[0], 90_000)
+    assert set(range(200)) <= set(found.tolist()) and not {201, 202} & set(found.tolist())
+
+
 def line_sets(text):
     for i, line in enumerate((text or "").split("\n") if text is not None else []):
         s = frozenset(w for w in re.sub("[\t\r\x0b\x0c]", " ", line).lower().split(" ") if w)
