@@ -6,9 +6,8 @@ that similarity share one of their rarest tokens (prefix filter), in places that
 filter), and have similar lengths (length filter). A 64-bit parity of the tokens bounds their difference as well. What passes
 is verified on whole token sets.
 
-Lines of equal sets are one class, named by a digest, with its earliest line; copies are looked up once a task. Where many lines
-share a token, each is first paired with a few of those that the filters allow, which settles near copies; lines that are still without
-a match, though they had more to be paired with, are then paired with all of them.
+Lines of equal sets are one class, named by a digest, with its earliest line; copies are looked up once a task. All pairs that the
+filters allow are verified, however many lines share a token.
 
 The form in DataFrame functions alone gives the same rows, but at twice the CPU time and disk that are allowed (README), so
 words are hashed and sorted in Arrow batches here; grouping, joins and all shuffles are Spark's.
@@ -24,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, settle
+from .common import settle
 from .counters import count_items, rarity, rarity_keys
 from .textblocks import line_words, mix, slices, word_hashes
 
 SIMILARITY = Fraction(4, 5)
-#: Pairs taken of each line in each token's group at first; the rest follows where they don't settle it.
-FEW = 2
+#: Pairs of a token's group that are filtered at once.
+AT_ONCE = 2_000_000
 #: Bits of the filter over lines that spares sorting and moving lines without candidates: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
 
@@ -117,20 +116,19 @@ def _could_match(n, place, bits, i, j, t: Fraction) -> np.ndarray:
     return ok
 
 
-def _pairs(postings: DataFrame, t: Fraction, few: int | None) -> DataFrame:
-    """Pairs (a, b), a < b, of classes that the filters allow, from postings (token, d, about, bits, open).
+def _pairs(postings: DataFrame, t: Fraction) -> DataFrame:
+    """All pairs (a, b), a < b, of classes that the filters allow, from postings (token, d, about, bits).
 
-    With `few`, each class gets that many pairs in a group at most, and a row (a, null) tells that it has more. Without, all
-    pairs of open classes come. Groups are streamed in the order of tokens and lengths; only those lengths are compared that fit.
+    Groups are streamed in the order of tokens and lengths; only those lengths are compared that fit.
     """
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs_of(token, d, n, place, bits, open_) -> pa.RecordBatch:
+        def pairs_of(token, d, n, place, bits) -> Iterator[pa.RecordBatch]:
             # Of a class that several tasks have looked up one posting stays.
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (d[1:] != d[:-1])
-            token, d, n, place, bits, open_ = (x[new] for x in (token, d, n, place, bits, open_))
+            token, d, n, place, bits = (x[new] for x in (token, d, n, place, bits))
             begins = np.flatnonzero(np.diff(token, prepend=token[0] - 1))
             group_end = np.repeat(np.append(begins[1:], len(token)), np.diff(np.append(begins, len(token))))
             # Lengths ascend in a group: the partners of i behind it end where lengths no longer fit.
@@ -139,44 +137,32 @@ def _pairs(postings: DataFrame, t: Fraction, few: int | None) -> DataFrame:
                 if b - a > 2:
                     reach[a:b] = a + np.searchsorted(n[a:b], n[a:b] * t.denominator // t.numerator, "right")
             counts = np.maximum(reach - np.arange(len(token)) - 1, 0)
-            found_a, found_b, more = [], [], []
+            sums = np.concatenate([[0], np.cumsum(counts)])
             at = 0
             while at < len(token):
-                end = max(at + 1, int(np.searchsorted(np.cumsum(counts[at:]), 2_000_000, "right")) + at)
+                end = max(at + 1, int(np.searchsorted(sums, sums[at] + AT_ONCE, "right")) - 1)
                 c = counts[at:end]
                 i = np.repeat(np.arange(at, end), c)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
                 ok = _could_match(n, place, bits, i, j, t)
-                ok &= open_[i] | open_[j]
                 i, j = i[ok], j[ok]
-                if few is not None and len(i):
-                    rank = np.arange(len(i)) - np.searchsorted(i, i)  # the how-manieth pair of i
-                    by = np.lexsort((i, j))
-                    back = np.empty(len(j), np.int64)
-                    back[by] = np.arange(len(j)) - np.searchsorted(j[by], j[by])
-                    kept = (rank < few) | (back < few)
-                    more.append(d[np.unique(np.concatenate([i[~kept], j[~kept]]))])
-                    i, j = i[kept], j[kept]
-                found_a.append(np.minimum(d[i], d[j])), found_b.append(np.maximum(d[i], d[j]))
+                if len(i):
+                    some = np.unique(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], names=["a", "b"])
                 at = end
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            some = np.unique(np.stack([a, b], 1), axis=0)
-            left = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([some[:, 0], left]), pa.int64()), pa.concat_arrays([pa.array(some[:, 1], pa.int64()), pa.nulls(len(left), pa.int64())])], names=["a", "b"])
 
         carry: list[np.ndarray] | None = None
         for batch in batches:
             about = batch.column("about").to_numpy()
-            cols = [batch.column("token").to_numpy(), batch.column("d").to_numpy(), about >> 20, about & ((1 << 20) - 1), batch.column("bits").to_numpy(), batch.column("open").to_numpy(zero_copy_only=False)]
+            cols = [batch.column("token").to_numpy(), batch.column("d").to_numpy(), about >> 20, about & ((1 << 20) - 1), batch.column("bits").to_numpy()]
             if carry is not None:
                 cols = [np.concatenate(x) for x in zip(carry, cols)]
             end = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last group may go on
             if end:
-                yield pairs_of(*(x[:end] for x in cols))
+                yield from pairs_of(*(x[:end] for x in cols))
             carry = [x[end:] for x in cols]
         if carry is not None and len(carry[0]):
-            yield pairs_of(*carry)
+            yield from pairs_of(*carry)
 
     return postings.repartition(parts, "token").sortWithinPartitions("token", "about", "d").mapInArrow(run, "a long, b long")
 
@@ -271,7 +257,7 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
     """One row a line that goes: doc_id, line_no (from 0), kept_doc_id, kept_line_no, similarity.
 
     kept_...: the earliest line of an equal token set; for a line whose token set is the first of its kind, the earliest
-    line found that is similar enough. Lines without words (blank ones) are never repeats. Null texts have no lines; rows
+    line that is similar enough. Lines without words (blank ones) are never repeats. Null texts have no lines; rows
     without an id are left out; of rows with equal ids the lines of equal numbers count as one occurrence. An empty
     table gives an empty one.
     """
@@ -283,29 +269,16 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
     shift = F.call_function("shiftleft", F.col("n").cast("bigint"), F.lit(20))
     postings = lines.where(F.size("rare") > 0).select("d", "n", "bits", F.posexplode("rare").alias("pos", "token")).select(
         "token", "d", "bits", shift.bitwiseOR((F.col("pos") + 1).cast("bigint")).alias("about"))
-    tried = settle(_pairs(postings.withColumn("open", F.lit(True)), t, FEW))
     parities = lines.where("wide is not null").select("d", "n", "wide").dropDuplicates(["d"])
-    pairs = _worth_verifying(tried.where("b is not null").distinct(), parities, t)
-    found = settle(_verified(settle(pairs), texts, firsts, rare, t))
+    pairs = settle(_worth_verifying(_pairs(postings, t).distinct(), parities, t))
+    found = settle(_verified(pairs, texts, firsts, rare, t))
 
     def in_order(links: DataFrame) -> DataFrame:
         """Links with the place of both lines' classes: (later, kept, similarity)."""
         a, b = firsts.select(F.col("d").alias("a"), F.col("at").alias("at_a")), firsts.select(F.col("d").alias("b"), F.col("at").alias("at_b"))
         return links.join(a, "a").join(b, "b").select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("d"), F.least("at_a", "at_b").alias("kept"), "similarity")
 
-    matches = in_order(found)
-    # Classes that had more to be paired with and have no match yet.
-    left = settle(tried.where("b is null").select(F.col("a").alias("d")).distinct().join(matches.select("d"), "d", "left_anti"))
-    if not left.isEmpty():
-        tokens = settle(postings.join(left, "d", "left_semi").select("token").distinct())
-        again = postings.where(id_filter(tokens, "token", bits=FILTER_BITS)).join(tokens, "token", "left_semi")
-        again = again.join(left.withColumn("open", F.lit(True)), "d", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        rest = _pairs(again, t, None).distinct().join(found, ["a", "b"], "left_anti")
-        # Only a pair whose later line is still without a match can tell anything.
-        later = in_order(rest.withColumn("similarity", F.struct("a", "b"))).join(left, "d", "left_semi")
-        rest = settle(_worth_verifying(later.select("similarity.a", "similarity.b"), parities, t))
-        matches = matches.union(in_order(settle(_verified(rest, texts, firsts, rare, t))))
-    near = matches.groupBy("d").agg(F.min(F.struct("kept", "similarity")).alias("near"))
+    near = in_order(found).groupBy("d").agg(F.min(F.struct("kept", "similarity")).alias("near"))
     # Where each class's lines go: all but the earliest are copies; the earliest goes if it has an earlier match.
     known = settle(firsts.join(near, "d", "left"))
     is_first = F.struct("doc_id", "line_no") == F.col("at")

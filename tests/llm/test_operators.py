@@ -160,6 +160,26 @@ def test_op3_against_brute_force(spark, corpus):
     assert line_dedup.repeated_lines(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("threshold", ["10MB", "256k"])
+def test_op3_every_partner_in_hot_groups(spark, threshold):
+    """Lines that share their rarest words: each goes for the earliest of all that are similar, not for one of a few."""
+    texts = [" ".join([*(f"h{i}" for i in range(9)), f"own{k}"]) for k in range(150)]
+    every = [frozenset(x.split()) for x in texts]
+    want = {}
+    for k, s in enumerate(every):
+        near = [i for i in range(k) if 5 * len(s & every[i]) >= 4 * len(s | every[i])]
+        same = [i for i in range(k) if s == every[i]]
+        if near:
+            want[k] = (same or near)[0]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        rows = line_dedup.repeated_lines(frame(spark, texts)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r["doc_id"]: r["kept_doc_id"] for r in rows} == want and len(rows) == len(want)
+
+
 def brute_passages(texts, least):
     seen, out = {}, []
     for d, t in enumerate(texts):
