@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import line_dedup, mixing, ngram_join, packing, quality_crf
-from lexweave.llm.common import table
+from lexweave.llm.common import settle, table
 from lexweave.llm.queries import tokenizer_path
 
 #: Of the tokens that are left, this share is taken, by weight; no document is taken twice.
@@ -31,9 +31,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the least id."""
-    found = ngram_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: one of the least id. Rows are numbered, as ids may come more than once."""
+    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = ngram_join.jaccard_components(rows.where("doc_id is not null").select(F.col("_row").alias("doc_id"), "text"))
+    # Texts without words link with nothing; of one id one stays.
+    group = [F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"), F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("empty")]
+    placed = found.withColumnRenamed("doc_id", "_row").join(rows.select("_row", "doc_id"), "_row")
+    kept = placed.groupBy(*group).agg(F.min(F.struct("doc_id", "_row")).alias("least")).select("least._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns).union(rows.where("doc_id is null").select(*docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

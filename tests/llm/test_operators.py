@@ -457,3 +457,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(range(40)) <= kept[2]
     assert kept[3] < kept[2] and kept[4] == kept[3]
     assert p.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_near_duplicates_of_repeated_rows(spark, tmp_path):
+    """One row of each group stays; a text isn't lost because its id comes with another text as well."""
+    import corpus_pipeline as p
+
+    long, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, long), (1, long), (2, long), (3, other), (3, third), (3, third + " x"), (4, other), (5, ""), (5, ""), (6, None), (None, long), (None, long)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCUMENTS)
+    out = p.near_duplicate_stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0, (r["text"] or "")[:2]) for r in out.collect()))
+    assert got == [(0, "a0"), (0, "a0"), (1, "a0"), (3, "b0"), (3, "c0"), (5, ""), (6, "")]
