@@ -145,6 +145,7 @@ def _pairs(postings: DataFrame, t: Fraction) -> DataFrame:
                 i = np.repeat(np.arange(at, end), c)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
                 ok = _could_match(n, place, bits, i, j, t)
+                ok &= d[i] != d[j]  # two words of a line may share 32 bits
                 i, j = i[ok], j[ok]
                 if len(i):
                     some = np.unique(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])], 1), axis=0)

@@ -180,6 +180,13 @@ def test_op3_every_partner_in_hot_groups(spark, threshold):
     assert {r["doc_id"]: r["kept_doc_id"] for r in rows} == want and len(rows) == len(want)
 
 
+def test_op3_no_line_pairs_with_itself(spark):
+    """A class that stands twice in a group, as two of its words share 32 bits."""
+    rows = [(1, 5, 10 << 20 | 1, 7), (1, 7, 10 << 20 | 1, 7), (1, 5, 10 << 20 | 2, 7)]
+    postings = spark.createDataFrame(rows, "token int, d long, about long, bits long")
+    assert {tuple(r) for r in line_dedup._pairs(postings, Fraction(4, 5)).collect()} == {(5, 7)}
+
+
 def brute_passages(texts, least):
     seen, out = {}, []
     for d, t in enumerate(texts):
