@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,20 +15,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where the setting is unset a temporary folder takes its place, but only on a local master: on a cluster
+    executors can't see each other's folders, so there it is an error.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexweave-"))
+    return context.getCheckpointDir()
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the shared folder of spark.checkpoint.dir.
+    """The same rows with their lineage cut, kept in the shared folder.
 
-    Lost executors don't matter to it: the files are in shared storage. Where the
-    setting is unset (tests on one machine), a temporary folder takes its place.
+    Lost executors don't matter to it: the files are in shared storage.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="lexweave-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Intermediate tables as Parquet in the shared folder, which can be deleted once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/lexweave-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows of df, written and read again; columns that aren't needed later aren't read."""
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, name: str) -> None:
+        """Deletes a table; what has been read from it must have been kept elsewhere."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_filter(ids: DataFrame, *columns: str, bits: int = 1 << 20):
     """A condition that holds for all values of `columns` in `ids`, and for few others while those are few.
 

@@ -1,294 +1,170 @@
-"""Line deduplication by an exact set-similarity join.
-
-A line's tokens are its distinct words, A-Z lower-cased. A line goes if an earlier line, by (doc_id, line number), has
-a Jaccard similarity of SIMILARITY or more to it. Tokens are ordered by rarity, which counters over all texts tell; two lines of
-that similarity share one of their rarest tokens (prefix filter), in places that leave room for the overlap (positional
-filter), and have similar lengths (length filter). A 64-bit parity of the tokens bounds their difference as well. What passes
-is verified on whole token sets.
-
-Lines of equal sets are one class, named by a digest, with its earliest line; copies are looked up once a task. All pairs that the
-filters allow are verified, however many lines share a token.
-
-The form in DataFrame functions alone gives the same rows, but at twice the CPU time and disk that are allowed (README), so
-words are hashed and sorted in Arrow batches here; grouping, joins and all shuffles are Spark's.
+"""Line deduplication by an exact set-similarity join, in DataFrame functions.
+
+A line's tokens are its distinct words in lower case. A line goes if an earlier line, by (doc_id, line number), has a
+Jaccard similarity of SIMILARITY or more to it. Tokens are ordered by rarity, which hashed counters over all texts
+tell; two lines of that similarity share one of their rarest tokens (prefix filter), in places that leave room for
+the overlap (positional filter), and have similar lengths (length filter). A 64-bit parity of the tokens bounds their
+difference as well. What passes is verified on the words of whole lines.
+
+Lines of equal text are one class, represented by its earliest line, so copies never meet each other. Near copies would:
+all pairs of a group of thousands. Therefore each class is first compared with the earliest class of the same
+least, and of the same greatest, token hash. Where that is a match, the join looks only for still earlier ones, of
+which a group of near copies has few. No pair of a class with its earliest match is left out by this.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import math
 from fractions import Fraction
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
-from .counters import count_items, rarity, rarity_keys
-from .textblocks import line_words, mix, slices, word_hashes
+from .common import Scratch, id_filter
 
 SIMILARITY = Fraction(4, 5)
-#: Pairs of a token's group that are filtered at once.
-AT_ONCE = 2_000_000
-#: Bits of the filter over lines that spares sorting and moving lines without candidates: 1 MB, whatever the input.
-FILTER_BITS = 1 << 23
+#: Hashed counters of words: the table that orders tokens by rarity has so many entries, whatever the input.
+COUNTERS = 1 << 18
+_AT = ("doc_id", "line_no")
+
+
+def _spaced(text: Column) -> Column:
+    """The text with all white space as blanks; most texts have no other, which a search for each tells soonest."""
+    other = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\f"))
+    return F.replace(F.when(other, F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text), F.lit("\n"), F.lit(" "))
+
+
+def _words(text: str) -> Column:
+    """The words in lower case, with an empty one wherever a blank stands at an end or next to another."""
+    return F.split(F.lower(_spaced(F.col(text))), " ", -1)
+
+
+def _hashes(text: str) -> Column:
+    """The set of the words' 64-bit hashes."""
+    return F.array_remove(F.array_distinct(F.transform(_words(text), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """doc_id, line_no (from 0), line."""
+    return texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def _overlap(a, b, t: Fraction):
+def _rarity(texts: DataFrame) -> Column:
+    """A constant array: for each counter a byte that grows with the number of words that it counts in all texts."""
+    words = texts.select(F.explode(_words("text")).alias("word"))
+    counted = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(COUNTERS - 1)).alias("at")).agg(F.count("*").alias("n"))
+    rare = [0] * COUNTERS
+    for at, n in counted.collect():  # at most COUNTERS rows
+        rare[at] = min(int(math.log2(n + 1) * 4), 127)
+    return F.from_json(F.lit(json.dumps(rare, separators=(",", ":"))), "array<tinyint>")
+
+
+def _need(a: str, b: str, t: Fraction) -> str:
     """The least overlap of two sets of these sizes whose similarity is t."""
-    return -(-t.numerator * (a + b) // (t.numerator + t.denominator))
-
-
-def _token_lines(texts: pa.Array, rare: np.ndarray, listed=None):
-    """Distinct tokens of lines, in order of rarity: tokens, the line of each (counted over all texts), where each line that has
-    tokens begins, the numbers of those lines, and each text's first line. With listed(line, first), of the lines it holds for."""
-    hashes, line, first = line_words(texts)
-    if listed is not None:
-        kept = listed(line, first)
-        hashes, line = hashes[kept], line[kept]
-    keys = rarity_keys(hashes, rare)
-    order = np.lexsort((keys, line))
-    keys, line = keys[order], line[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
-    keys, line = keys[new], line[new]
-    begins = np.flatnonzero(np.diff(line, prepend=-1))
-    return keys, line, begins, line[begins], first
-
-
-def _digests(keys: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each line's set."""
-    mixed = mix(keys ^ np.uint64(0x9E3779B97F4A7C15))
-    sums = np.add.reduceat(mixed, begins) + sizes.astype(np.uint64)
-    return mix(sums ^ mix(np.bitwise_xor.reduceat(mixed, begins))).astype(np.int64)
-
-
-def _described(texts: DataFrame, rare, t: Fraction) -> DataFrame:
-    """doc_id, line_no, the set's digest d; once in a task for each digest its parities and rarest tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a number for each different line of the task
-        for batch in batches:
-            for part in slices(batch, "text"):
-                keys, line, begins, lines, first = _token_lines(part.column("text"), rare.value)
-                if not len(keys):
-                    continue
-                sizes = np.diff(np.append(begins, len(keys)))
-                digests = _digests(keys, begins, sizes)
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), begins).astype(np.int64)
-                # A wider parity for pairs that have met: each token flips one of 256 bits.
-                wide = np.zeros((len(keys), 4), np.uint64)
-                wide[np.arange(len(keys)), ((keys >> np.uint64(12)) & np.uint64(3)).astype(np.int64)] = np.uint64(1) << ((keys >> np.uint64(6)) & np.uint64(63))
-                wide = np.bitwise_xor.reduceat(wide, begins, axis=0)
-                own = np.zeros(len(digests), bool)
-                own[np.unique(digests, return_index=True)[1]] = True
-                for i in np.flatnonzero(own):
-                    if (d := int(digests[i])) in seen:
-                        own[i] = False
-                    else:
-                        seen.add(d)
-                ahead = np.where(own, sizes - -(-t.numerator * sizes // t.denominator) + 1, 0)
-                place = np.arange(len(keys)) - np.repeat(begins, sizes)
-                # Once in order, 32 bits of a token are enough to look it up; pairs are verified on more.
-                taken = keys[place < np.repeat(ahead, sizes)].astype(np.uint32).view(np.int32)
-                offsets = np.concatenate([[0], np.cumsum(ahead)]).astype(np.int32)
-                text = np.searchsorted(first, lines, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(text)), pa.array(lines - first[text], pa.int32()), pa.array(digests), pa.array(sizes, pa.int32()), pa.array(parity), pa.array([w.tobytes() if o else None for w, o in zip(wide, own)], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(taken))],
-                    names=["doc_id", "line_no", "d", "n", "bits", "wide", "rare"])
-
-    return texts.mapInArrow(run, "doc_id long, line_no int, d long, n int, bits long, wide binary, rare array<int>")
-
-
-def _could_match(n, place, bits, i, j, t: Fraction) -> np.ndarray:
-    """The filters on pairs (i, j) of one token's group: length, place, parity.
-
-    If the token is the first that two sets share, the overlap is at most one plus the shorter rest; and the shorter line must
-    have it among those of its rarest tokens that longer lines are met at. A pair that matches passes at its first shared token.
-    """
-    ni, nj = n[i], n[j]
-    small, large = np.minimum(ni, nj), np.maximum(ni, nj)
-    need = _overlap(ni, nj, t)
-    meets = np.where(ni <= nj, place[i], place[j]) <= small - _overlap(small, small, t) + 1
-    ok = (small * t.denominator >= large * t.numerator) & (1 + np.minimum(ni - place[i], nj - place[j]) >= need) & (meets | (ni == nj))
-    ok[ok] = np.bitwise_count((bits[i[ok]] ^ bits[j[ok]]).view(np.uint64)) <= (ni + nj - 2 * need)[ok]
-    return ok
+    return f"(({t.numerator} * ({a} + {b}) + {t.numerator + t.denominator - 1}) div {t.numerator + t.denominator})"
+
+
+def _described(texts: DataFrame, t: Fraction) -> DataFrame:
+    """Each line with words: its place, two digests of its text, the size n of its token set, the least and greatest
+    token hash, the parity of all tokens and the tokens of its prefix, rarest first."""
+    rare = _rarity(texts)
+    key = lambda h: F.shiftleft(
+        F.get(rare, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    lines = _lines(texts).where(F.col("line").rlike(r"\S")).select(
+        *_AT, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _hashes("line").alias("hashes"))
+    keyed = lines.select(
+        *_AT, "h1", "h2", F.array_min("hashes").alias("low"), F.array_max("hashes").alias("high"), F.sort_array(F.transform("hashes", key)).alias("keys"))
+    bit = lambda sofar, k: sofar.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int")))
+    size = "cast(size(keys) as bigint)"
+    prefix = F.expr(f"slice(keys, 1, cast({size} - (({size} * {t.numerator} + {t.denominator - 1}) div {t.denominator}) + 1 as int))")
+    return keyed.select(
+        *_AT, "h1", "h2", "low", "high", F.expr(size).alias("n"), F.aggregate("keys", F.lit(0).cast("bigint"), bit).alias("bits"),
+        F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("rare"))
+
+
+def _lengths_match(a: str, b: str, t: Fraction) -> str:
+    return f"least({a}.n, {b}.n) * {t.denominator} >= greatest({a}.n, {b}.n) * {t.numerator}"
+
+
+def _parities_match(a: str, b: str, t: Fraction) -> str:
+    """Two sets differ by at least as many tokens as their parities differ by bits."""
+    return f"bit_count({a}.bits ^ {b}.bits) <= {a}.n + {b}.n - 2 * {_need(f'{a}.n', f'{b}.n', t)}"
+
+
+def _by_sketch(classes: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs of a class and the earliest one with the same least, or greatest, token hash."""
+    keyed = classes.select(*_AT, "n", "bits", F.explode(F.array("low", "high")).alias("sketch"))
+    # Partial aggregates: of a large group one row leaves each task.
+    heads = keyed.groupBy("sketch").agg(F.min(F.struct(*_AT, "n", "bits")).alias("head"), F.count("*").alias("members")).where("members > 1")
+    heads = heads.select("sketch", "head.*")
+    return keyed.alias("y").join(heads.alias("x"), F.expr(
+        "y.sketch = x.sketch and (x.doc_id < y.doc_id or (x.doc_id = y.doc_id and x.line_no < y.line_no)) and "
+        + _lengths_match("x", "y", t) + " and " + _parities_match("x", "y", t))
+    ).selectExpr("y.doc_id", "y.line_no", "x.doc_id as x_doc_id", "x.line_no as x_line_no").distinct()
 
 
-def _pairs(postings: DataFrame, t: Fraction) -> DataFrame:
-    """All pairs (a, b), a < b, of classes that the filters allow, from postings (token, d, about, bits).
+def _by_prefix(classes: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs of a class and one before its limit that share a token of their prefixes and pass all filters.
 
-    Groups are streamed in the order of tokens and lengths; only those lengths are compared that fit.
+    At the first token that two sets share, the overlap is at most one plus the shorter rest; a pair that matches passes there.
     """
-    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs_of(token, d, n, place, bits) -> Iterator[pa.RecordBatch]:
-            # Of a class that several tasks have looked up one posting stays.
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (d[1:] != d[:-1])
-            token, d, n, place, bits = (x[new] for x in (token, d, n, place, bits))
-            begins = np.flatnonzero(np.diff(token, prepend=token[0] - 1))
-            group_end = np.repeat(np.append(begins[1:], len(token)), np.diff(np.append(begins, len(token))))
-            # Lengths ascend in a group: the partners of i behind it end where lengths no longer fit.
-            reach = group_end.copy()
-            for a, b in zip(begins, np.append(begins[1:], len(token))):
-                if b - a > 2:
-                    reach[a:b] = a + np.searchsorted(n[a:b], n[a:b] * t.denominator // t.numerator, "right")
-            counts = np.maximum(reach - np.arange(len(token)) - 1, 0)
-            sums = np.concatenate([[0], np.cumsum(counts)])
-            at = 0
-            while at < len(token):
-                end = max(at + 1, int(np.searchsorted(sums, sums[at] + AT_ONCE, "right")) - 1)
-                c = counts[at:end]
-                i = np.repeat(np.arange(at, end), c)
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-                ok = _could_match(n, place, bits, i, j, t)
-                ok &= d[i] != d[j]  # two words of a line may share 32 bits
-                i, j = i[ok], j[ok]
-                if len(i):
-                    some = np.unique(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], names=["a", "b"])
-                at = end
-
-        carry: list[np.ndarray] | None = None
-        for batch in batches:
-            about = batch.column("about").to_numpy()
-            cols = [batch.column("token").to_numpy(), batch.column("d").to_numpy(), about >> 20, about & ((1 << 20) - 1), batch.column("bits").to_numpy()]
-            if carry is not None:
-                cols = [np.concatenate(x) for x in zip(carry, cols)]
-            end = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last group may go on
-            if end:
-                yield from pairs_of(*(x[:end] for x in cols))
-            carry = [x[end:] for x in cols]
-        if carry is not None and len(carry[0]):
-            yield from pairs_of(*carry)
-
-    return postings.repartition(parts, "token").sortWithinPartitions("token", "about", "d").mapInArrow(run, "a long, b long")
-
-
-def _worth_verifying(pairs: DataFrame, parities: DataFrame, t: Fraction) -> DataFrame:
-    """Those pairs (a, b) whose wide parities (d, n, wide) allow a match."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 4) for c in ("wa", "wb"))
-            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= na + nb - 2 * _overlap(na, nb, t)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    x, y = (parities.select(F.col("d").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "ab")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
-
-
-def _line_place(doc_id, line_no):
-    """Where a line has its bit in the filter; for columns and for arrays alike."""
-    return ((doc_id % (1 << 30)) * 1_000_003 + line_no) % FILTER_BITS
-
-
-def _packed(tokens: np.ndarray) -> bytes:
-    """Tokens as six bytes each."""
-    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpacked(tokens: list[bytes]) -> np.ndarray:
-    flat = np.frombuffer(b"".join(tokens), np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(flat), 8), np.uint8)
-    wide[:, :6] = flat
-    return wide.view(np.uint64).ravel()
-
-
-def _sets_of(texts: DataFrame, wanted: DataFrame, rare) -> DataFrame:
-    """(d, tokens as bytes) of the classes wanted (d, and doc_id, line_no of one of its lines)."""
-    # Negative remainders differ between columns and arrays.
-    at = F.pmod(_line_place(F.pmod("doc_id", F.lit(1 << 30)), F.col("line_no")), F.lit(FILTER_BITS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    for w, b in wanted.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(bit).alias("b")).collect():  # at most FILTER_BITS / 64 rows
-        words[w] = b
-    held = texts.sparkSession.sparkContext.broadcast(words.view(np.uint64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids = part.column("doc_id").to_numpy()
-
-                def listed(line: np.ndarray, first: np.ndarray) -> np.ndarray:
-                    text = np.searchsorted(first, line, "right") - 1
-                    place = _line_place(ids[text], line - first[text])
-                    return (held.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-
-                keys, _, begins, _, _ = _token_lines(part.column("text"), rare.value, listed)
-                if not len(keys):
-                    continue
-                ends = np.append(begins[1:], len(keys))
-                digests = _digests(keys, begins, ends - begins)
-                yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array([_packed(keys[a:b]) for a, b in zip(begins, ends)], pa.binary())], names=["d", "tokens"])
-
-    return texts.mapInArrow(run, "d long, tokens binary").join(wanted.select("d"), "d", "left_semi").dropDuplicates(["d"])
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, rare, t: Fraction) -> DataFrame:
-    """Those pairs (a, b) whose similarity is t or more, with it."""
-    classes = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
-    # Not settled: both sides of the join below read the one shuffle of the sets.
-    sets = _sets_of(texts, settle(classes.join(firsts, "d").select("d", "at.doc_id", "at.line_no")), rare)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("ta"), batch.column("tb")
-            # All sets of a batch at once: equal tokens of a pair stand side by side once sorted.
-            sizes = [np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) // 6 for c in (x, y)]
-            tokens = np.concatenate([_unpacked(c.to_pylist()) for c in (x, y)])
-            pair = np.concatenate([np.repeat(np.arange(len(c)), n) for c, n in zip((x, y), sizes)])
-            order = np.lexsort((tokens, pair))
-            tokens, pair = tokens[order], pair[order]
-            same = (tokens[1:] == tokens[:-1]) & (pair[1:] == pair[:-1])
-            both = np.bincount(pair[1:][same], minlength=len(x))
-            either = sizes[0] + sizes[1] - both
-            ok = both * t.denominator >= either * t.numerator
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok)), pa.array(both[ok] / either[ok], pa.float64())], names=["a", "b", "similarity"])
-
-    joined = pairs.join(sets.select(F.col("d").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("d").alias("b"), F.col("tokens").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
+    postings = classes.select(*_AT, "x_doc_id", "x_line_no", "n", "bits", F.posexplode("rare").alias("pos", "token"))
+    # A class's own limit never lies behind it, so the second line only says to Spark that both sides are one shuffle.
+    return postings.alias("y").join(postings.alias("x"), F.expr(
+        "y.token = x.token and (x.doc_id < y.x_doc_id or (x.doc_id = y.x_doc_id and x.line_no < y.x_line_no))"
+        " and (x.x_doc_id < y.x_doc_id or (x.x_doc_id = y.x_doc_id and x.x_line_no < y.x_line_no))"
+        f" and {_lengths_match('x', 'y', t)} and least(x.n - x.pos, y.n - y.pos) >= {_need('x.n', 'y.n', t)} and {_parities_match('x', 'y', t)}")
+    ).selectExpr("y.doc_id", "y.line_no", "x.doc_id as x_doc_id", "x.line_no as x_line_no").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, t: Fraction) -> DataFrame:
+    """For each line of `pairs` the earliest partner with a similarity of t or more, from whole word sets: x_doc_id, x_line_no,
+    similarity. The lines' texts are read again; only the sets of listed lines are moved."""
+    listed = pairs.select(*_AT).union(pairs.select("x_doc_id", "x_line_no")).distinct()
+    sets = _lines(texts).where(id_filter(listed, *_AT)).join(listed, [*_AT], "left_semi").select(*_AT, _hashes("line").alias("a"))
+    both = pairs.join(sets.toDF("x_doc_id", "x_line_no", "b"), ["x_doc_id", "x_line_no"]).join(sets, [*_AT])
+    # A generator between, as a filter on the counts would otherwise count once more by itself.
+    counts = F.struct(F.size(F.array_intersect("a", "b")).alias("shared"), (F.size("a") + F.size("b")).alias("sizes"))
+    matches = both.select(*_AT, "x_doc_id", "x_line_no", F.inline(F.array(counts))).where(f"shared * {t.denominator} >= (sizes - shared) * {t.numerator}")
+    return matches.groupBy(*_AT).agg(F.min(F.struct("x_doc_id", "x_line_no", (F.col("shared") / (F.col("sizes") - F.col("shared"))).alias("similarity"))).alias("x")).select(*_AT, "x.*")
+
+
+def _limited(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Classes with the place before which a match is still to be found: that of the match found, or the class's own."""
+    may = id_filter(found, *_AT)
+    own = classes.where(~may).select("*", F.col("doc_id").alias("x_doc_id"), F.col("line_no").alias("x_line_no"))
+    met = classes.where(may).join(found.drop("similarity"), [*_AT], "left").select(
+        *classes.columns, F.coalesce("x_doc_id", "doc_id").alias("x_doc_id"), F.coalesce("x_line_no", "line_no").alias("x_line_no"))
+    return own.union(met)
 
 
 def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     """One row a line that goes: doc_id, line_no (from 0), kept_doc_id, kept_line_no, similarity.
 
-    kept_...: the earliest line of an equal token set; for a line whose token set is the first of its kind, the earliest
-    line that is similar enough. Lines without words (blank ones) are never repeats. Null texts have no lines; rows
-    without an id are left out; of rows with equal ids the lines of equal numbers count as one occurrence. An empty
-    table gives an empty one.
+    kept_...: the earliest line that is similar enough; it may have gone for a still earlier one. Lines without words
+    (blank ones) are never repeats. Null texts have no lines; rows without an id are left out; of rows with equal ids
+    the lines of equal numbers and texts count as one occurrence. An empty table gives an empty one. Lines are
+    split at \\n; a line of any length is taken whole. Columns beside doc_id and text play no part.
     """
     t = similarity
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    rare = documents.sparkSession.sparkContext.broadcast(rarity(count_items(texts, lambda x: word_hashes(x)[0])))
-    lines = settle(_described(texts, rare, t))
-    firsts = settle(lines.groupBy("d").agg(F.min(F.struct("doc_id", "line_no")).alias("at")))
-    shift = F.call_function("shiftleft", F.col("n").cast("bigint"), F.lit(20))
-    postings = lines.where(F.size("rare") > 0).select("d", "n", "bits", F.posexplode("rare").alias("pos", "token")).select(
-        "token", "d", "bits", shift.bitwiseOR((F.col("pos") + 1).cast("bigint")).alias("about"))
-    parities = lines.where("wide is not null").select("d", "n", "wide").dropDuplicates(["d"])
-    pairs = settle(_worth_verifying(_pairs(postings, t).distinct(), parities, t))
-    found = settle(_verified(pairs, texts, firsts, rare, t))
-
-    def in_order(links: DataFrame) -> DataFrame:
-        """Links with the place of both lines' classes: (later, kept, similarity)."""
-        a, b = firsts.select(F.col("d").alias("a"), F.col("at").alias("at_a")), firsts.select(F.col("d").alias("b"), F.col("at").alias("at_b"))
-        return links.join(a, "a").join(b, "b").select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("d"), F.least("at_a", "at_b").alias("kept"), "similarity")
-
-    near = in_order(found).groupBy("d").agg(F.min(F.struct("kept", "similarity")).alias("near"))
-    # Where each class's lines go: all but the earliest are copies; the earliest goes if it has an earlier match.
-    known = settle(firsts.join(near, "d", "left"))
-    is_first = F.struct("doc_id", "line_no") == F.col("at")
-    gone = lines.select("d", "doc_id", "line_no").join(known, "d").where(~is_first | F.col("near").isNotNull())
-    kept = F.when(is_first, F.col("near.kept")).otherwise(F.col("at"))
-    return gone.select(
-        "doc_id", "line_no", kept["doc_id"].alias("kept_doc_id"), kept["line_no"].alias("kept_line_no"),
-        F.when(is_first, F.col("near.similarity")).otherwise(F.lit(1.0)).alias("similarity"),
-    ).distinct()
+    scratch = Scratch(documents.sparkSession)
+    payload = ("n", "bits", "low", "high", "rare")
+    classes = _described(texts, t).groupBy("h1", "h2").agg(F.min(F.struct(*_AT)).alias("at"), F.count("*").alias("members"), *(F.any_value(c).alias(c) for c in payload))
+    classes = scratch.keep(classes.select("h1", "h2", "at.*", "members", *payload), "classes")
+    early = scratch.keep(_verified(scratch.keep(_by_sketch(classes, t), "sketch"), texts, t), "early")
+    earlier = scratch.keep(_verified(scratch.keep(_by_prefix(_limited(classes.select(*_AT, "n", "bits", "rare"), early), t), "prefix"), texts, t), "earlier")
+    near = early.union(earlier).groupBy(*_AT).agg(F.min(F.struct("x_doc_id", "x_line_no", "similarity")).alias("near"))
+    # Only classes that lose a line; the filter spares moving most other lines.
+    known = classes.select("h1", "h2", *_AT, "members").join(near, [*_AT], "left").where("members > 1 or near is not null")
+    known = scratch.keep(known.select("h1", "h2", F.struct(*_AT).alias("first"), "near"), "known")
+    for name in ("sketch", "early", "prefix", "earlier", "classes"):
+        scratch.drop(name)
+    lines = _lines(texts).select(F.struct(*_AT).alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).where(id_filter(known, "h1", "h2"))
+    gone = lines.join(known, ["h1", "h2"]).where("at <> first or near is not null")
+    kept = F.coalesce(F.col("near"), F.struct(F.col("first.doc_id").alias("x_doc_id"), F.col("first.line_no").alias("x_line_no"), F.lit(1.0).alias("similarity")))
+    return gone.select("at.*", kept["x_doc_id"].alias("kept_doc_id"), kept["x_line_no"].alias("kept_line_no"), kept["similarity"].alias("similarity")).distinct()
 
 
 def dedup_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -296,12 +172,12 @@ def dedup_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> Data
 
     A document that lost all its lines with words goes; one that had none stays.
     """
-    gone = settle(repeated_lines(documents, similarity)).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
+    gone = repeated_lines(documents, similarity).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     joined = documents.join(gone, "doc_id", "left")
     # The numbers of the lines that stay, found by hashing, then the lines themselves.
     lines = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     left = F.element_at(F.transform(F.array(F.struct(lines.alias("lines"), stay.alias("stay"))), lambda z: F.transform(z["stay"], lambda i: F.get(z["lines"], i))), 1)
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    empty = F.col("_gone").isNotNull() & ~text.rlike(r"[^\t\n\x0b\f\r ]")
+    empty = F.col("_gone").isNotNull() & ~text.rlike(r"\S")
     return joined.withColumn("_text", text).where(~empty).select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in documents.columns])

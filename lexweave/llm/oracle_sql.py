@@ -54,6 +54,20 @@ c AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, l, s, epoch ORDE
 SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch, tokens, CAST(least(tokens, wanted - sofar) AS BIGINT) AS taken FROM c WHERE sofar < wanted"""
 
 
+OP3 = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[\\t\\x0B\\f\\r ]'), lambda x: x <> ''))) AS ws FROM l),
+s AS (SELECT ws, len(ws) AS n, min({'d': doc_id, 'i': line_no}) AS place, row_number() OVER () AS k FROM w WHERE len(ws) > 0 GROUP BY ws),
+u AS (SELECT k, n, unnest(ws) AS word FROM s),
+f AS (SELECT word, count(*) AS df FROM u GROUP BY word),
+r AS (SELECT k, n, word, row_number() OVER (PARTITION BY k ORDER BY df, word) AS pos FROM u JOIN f USING (word)),
+p AS (SELECT k, n, word FROM r WHERE pos <= n - (4 * n + 4) // 5 + 1),
+c AS (SELECT DISTINCT a.k AS a, b.k AS b FROM p a JOIN p b ON a.word = b.word AND a.k <> b.k AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+o AS (SELECT a, b, x.n + y.n AS sizes, len(list_intersect(x.ws, y.ws)) AS shared FROM c JOIN s x ON x.k = a JOIN s y ON y.k = b),
+m AS (SELECT a AS k, y.place, shared / (sizes - shared) AS similarity FROM o JOIN s y ON y.k = b WHERE 5 * shared >= 4 * (sizes - shared) UNION ALL SELECT k, place, 1.0 FROM s),
+e AS (SELECT k, min({'place': place, 'similarity': similarity}) AS x FROM m GROUP BY k)
+SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no, x.place.d AS kept_doc_id, CAST(x.place.i AS INTEGER) AS kept_line_no, CAST(x.similarity AS DOUBLE) AS similarity
+FROM w JOIN s USING (ws) JOIN e USING (k) WHERE x.place < {'d': doc_id, 'i': line_no}"""
+
 _SHINGLES = f"""w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)"""
 
@@ -78,5 +92,5 @@ c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), k AS (SELECT a, count
 SELECT vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, CAST(component_id AS BIGINT) AS component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id"""
 
 ORACLE_SQL = {
-    "op2_chat_format": OP2, "op4_mixing": mixing_sql(mixing.PLAN), "op6_ngram_join": OP6, "op7_url_filter": OP7, "op8_embedding_dedup": OP8,
+    "op2_chat_format": OP2, "op3_line_dedup": OP3, "op4_mixing": mixing_sql(mixing.PLAN), "op6_ngram_join": OP6, "op7_url_filter": OP7, "op8_embedding_dedup": OP8,
 }
