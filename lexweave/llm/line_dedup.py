@@ -172,12 +172,13 @@ def dedup_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> Data
 
     A document that lost all its lines with words goes; one that had none stays.
     """
-    gone = repeated_lines(documents, similarity).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    joined = documents.join(gone, "doc_id", "left")
+    own = {"id": "_lexweave_id", "gone": "_lexweave_gone", "text": "_lexweave_text"}  # names that no table has
+    gone = repeated_lines(documents, similarity).groupBy(F.col("doc_id").alias(own["id"])).agg(F.collect_set("line_no").alias(own["gone"]))
+    joined = documents.join(gone, F.col("doc_id").cast("long") == F.col(own["id"]), "left")
     # The numbers of the lines that stay, found by hashing, then the lines themselves.
     lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own["gone"]))
     left = F.element_at(F.transform(F.array(F.struct(lines.alias("lines"), stay.alias("stay"))), lambda z: F.transform(z["stay"], lambda i: F.get(z["lines"], i))), 1)
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    empty = F.col("_gone").isNotNull() & ~text.rlike(r"\S")
-    return joined.withColumn("_text", text).where(~empty).select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in documents.columns])
+    cut = joined.withColumn(own["text"], F.when(F.col(own["gone"]).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    empty = F.col(own["gone"]).isNotNull() & ~F.col(own["text"]).rlike(r"\S")
+    return cut.where(~F.coalesce(empty, F.lit(False))).select(*[F.col(own["text"]).alias("text") if c == "text" else F.col(c) for c in documents.columns])

@@ -12,8 +12,6 @@ is simply run again. Each such portion leaves less than one sequence of padding.
 
 from __future__ import annotations
 
-import base64
-import heapq
 import json
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,8 +27,6 @@ from .textblocks import slices
 SEQUENCE = 1024
 #: Tokens packed together; more bring less padding and take more memory.
 PORTION = 1_000_000
-#: How many of the cheapest sequences are looked at for one that takes a piece whole.
-LOOK = 24
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -71,7 +67,13 @@ def _encoder(path: str) -> Callable[[str], np.ndarray]:
     if ids != sorted(ids) or len(ranks) != 256 + len(merges):
         return slow
     fast = tiktoken.Encoding("from_file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    quick = lambda text: np.array(fast.encode(text, allowed_special="all"), np.uint32)
+
+    def quick(text: str) -> np.ndarray:
+        try:
+            return np.array(fast.encode(text, allowed_special="all"), np.uint32)
+        except ValueError:  # its search gives up on some texts, as on a million blanks in a row
+            return slow(text)
+
     probe = "Sphinx of  black quartz,\n\njudge my vow's 12345 ñandú — مرحبا 漢字 " + "".join(special)
     return quick if np.array_equal(quick(probe), slow(probe)) else slow
 
@@ -79,7 +81,9 @@ def _encoder(path: str) -> Callable[[str], np.ndarray]:
 def assign(lengths: list[int], size: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) for documents of these lengths.
 
-    Every sequence but the last few is full; the sequences' number is the least possible.
+    Of the sequences that have room for all of a piece it goes to the one of the lowest cost, of equal ones to the first. Where
+    none has, the one of the lowest cost that has any room takes what it can, and the rest is a piece of its own. The
+    sequences' number is the least possible.
     """
     out, tails = [], []
     sequences = 0
@@ -91,24 +95,16 @@ def assign(lengths: list[int], size: int = SEQUENCE) -> list[tuple[int, int, int
             tails.append((n % size, i, n - n % size))
     tails.sort(key=lambda t: (-t[0], t[1]))
     open_ = -(-sum(t[0] for t in tails) // size)
-    heap = [(0.0, sequences + k, 0) for k in range(open_)]  # cost, sequence, tokens used; in order, so a heap
+    spent, used = np.zeros(open_), np.zeros(open_, np.int64)
     work = [*reversed(tails)]
     while work:
         n, i, start = work.pop()
-        passed = []
-        while heap and len(passed) < LOOK and size - heap[0][2] < n:
-            passed.append(heapq.heappop(heap))
-        if heap and size - heap[0][2] >= n:
-            chosen = heapq.heappop(heap)
-        else:
-            chosen, passed = passed[0], passed[1:]
-        for p in passed:
-            heapq.heappush(heap, p)
-        spent, sequence, used = chosen
-        part = min(n, size - used)
-        out.append((i, start, part, sequence, used))
-        if used + part < size:
-            heapq.heappush(heap, (spent + cost(part), sequence, used + part))
+        fits = used <= size - n
+        k = int(np.argmin(np.where(fits if fits.any() else used < size, spent, np.inf)))
+        part = min(n, size - int(used[k]))
+        out.append((i, start, part, sequences + k, int(used[k])))
+        spent[k] += cost(part)
+        used[k] += part
         if part < n:
             work.append((n - part, i, start + part))
     return out

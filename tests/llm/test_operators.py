@@ -181,10 +181,51 @@ def test_op3_every_partner_in_hot_groups(spark, threshold):
 
 
 def test_op3_no_line_pairs_with_itself(spark):
-    """A class that stands twice in a group, as two of its words share 32 bits."""
-    rows = [(1, 5, 10 << 20 | 1, 7), (1, 7, 10 << 20 | 1, 7), (1, 5, 10 << 20 | 2, 7)]
-    postings = spark.createDataFrame(rows, "token int, d long, about long, bits long")
-    assert {tuple(r) for r in line_dedup._pairs(postings, Fraction(4, 5)).collect()} == {(5, 7)}
+    """A class that stands twice in a group, as two of its words share 31 bits."""
+    rows = [(1, 0, 1, 0, 10, 7, [5, 5, 6]), (2, 3, 2, 3, 10, 7, [5, 5, 6])]
+    classes = spark.createDataFrame(rows, "doc_id long, line_no int, x_doc_id long, x_line_no int, n long, bits long, rare array<int>")
+    assert {tuple(r) for r in line_dedup._by_prefix(classes, Fraction(4, 5)).collect()} == {(2, 3, 1, 0)}
+
+
+@pytest.mark.parametrize("threshold", ["-1", "64k", "256k", "10m"])
+def test_op3_groups_stay_whole(spark, threshold):
+    """The same links however joins are planned: near copies of many groups, and copies of all of them."""
+    rng = random.Random(11)
+    texts = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(20)]
+        for k in range(12):
+            w = list(base)
+            for j in rng.sample(range(20), k % 3):
+                w[j] = f"e{g}x{k}y{j}"
+            texts.append(" ".join(w))
+    sets = [frozenset(t.split()) for t in texts]
+    want = {}
+    for k, s in enumerate(sets):
+        near = [i for i in range(k) if 5 * len(s & sets[i]) >= 4 * len(s | sets[i])]
+        if near:
+            want[k] = near[0]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        rows = line_dedup.repeated_lines(frame(spark, texts)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r["doc_id"]: r["kept_doc_id"] for r in rows} == want and len(rows) == len(want)
+
+
+def test_op3_odd_rows(spark):
+    """Null ids and texts, repeated rows, other white space, case, one very long line, clashing columns, empty tables."""
+    long = " ".join(f"u{i}" for i in range(60_000))
+    rows = [(1, "A b\tC  d e\n\n \t"), (1, "A b\tC  d e\n\n \t"), (2, " e d c B a"), (None, "a b c d e"), (3, None), (4, ""), (5, long), (6, long + " tail"), (7, "É é x y z"), (8, "é É x y z")]
+    docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, line_no int, _text string, _gone int")
+    found = {(r["doc_id"], r["line_no"]): (r["kept_doc_id"], r["kept_line_no"], round(r["similarity"], 4)) for r in line_dedup.repeated_lines(docs).collect()}
+    assert found == {(2, 0): (1, 0, 1.0), (6, 0): (5, 0, round(60_000 / 60_001, 4)), (8, 0): (7, 0, 1.0)}
+    kept = line_dedup.dedup_lines(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["line_no"], r["_text"], r["_gone"]) for r in kept.collect()) == sorted(
+        (i or 0, t or "", 1, "x", 2) for i, t in rows if i not in (2, 6, 8))
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
 def brute_passages(texts, least):
@@ -275,6 +316,50 @@ def test_op10_balance():
         costs[q] += packing.cost(n)
     assert sum(totals.values()) == sum(lengths) and max(totals.values()) <= 1024 and len(totals) == -(-sum(n % 1024 for n in lengths) // 1024) + sum(n // 1024 for n in lengths)
     assert len(pieces) < 2 * len(lengths)
+    open_ = [c for q, c in costs.items() if q >= sum(n // 1024 for n in lengths)]
+    assert max(open_) < 1.5 * np.mean(open_)
+
+
+def test_op10_rule_by_brute_force():
+    """Every tail, longest first, in the cheapest of all sequences with room for it, not of a few."""
+    rng = random.Random(4)
+    for _ in range(30):
+        lengths = [rng.randrange(1, 1500) for _ in range(rng.randrange(1, 120))]
+        whole = sum(n // 1024 for n in lengths)
+        tails = sorted(((n % 1024, i, n - n % 1024) for i, n in enumerate(lengths) if n % 1024), key=lambda t: (-t[0], t[1]))
+        room = {whole + k: 1024 for k in range(-(-sum(t[0] for t in tails) // 1024))}
+        costs = dict.fromkeys(room, 0.0)
+        want = []
+        while tails:
+            n, i, start = tails.pop(0)
+            able = [q for q in room if room[q] >= n] or [q for q in room if room[q]]
+            q = min(able, key=lambda q: (costs[q], q))
+            part = min(n, room[q])
+            want.append((i, start, part, q, 1024 - room[q]))
+            costs[q] += packing.cost(part)
+            room[q] -= part
+            if part < n:
+                tails.insert(0, (n - part, i, start + part))
+        assert [p for p in packing.assign(lengths) if p[3] >= whole] == want
+
+
+def test_op10_any_text(spark):
+    """Texts that the fast encoder gives up on, and that it agrees on the driver's documents with the slow one."""
+    import os
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    odd = [" " * 1_500_000, "\n" * 1_200_000 + "x", "a" * 300_000]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), tokenizer_path()).collect()
+    for i, text in enumerate(odd):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        own = sorted((r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i)
+        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n, _ in own] == [c for _, _, c in own] and sum(n for _, n, _ in own) == len(ids)
+    if os.path.isdir("/root/testdata/sf0.001"):
+        encode = packing._encoder(tokenizer_path())
+        for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+            assert encode(r[0] or "").tolist() == t.encode(r[0] or "", add_special_tokens=False).ids
 
 
 def test_op5_fingerprints(spark, corpus):
