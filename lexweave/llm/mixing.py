@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import settle
 
 LEVELS = ("domain", "lang", "source")
+#: Bytes of text that count as one token.
+TOKEN_BYTES = 4
 #: Documents that a slice of a leaf's shuffled order has on average.
 SLICE = 100
 #: A table of leaves of so many rows is broadcast (some 10 MB); a larger one is joined by shuffle.
@@ -54,7 +56,7 @@ PLAN = MixPlan(
 
 def tokens_of(text: Column) -> Column:
     """Estimated tokens of a text: its UTF-8 bytes by four, rounded up."""
-    return F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4).cast("long")
+    return F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / TOKEN_BYTES).cast("long")
 
 
 def domain_of(source: Column) -> Column:
@@ -119,8 +121,11 @@ def mix(documents: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
     lang or source is the name "". Empty texts have no tokens: they come along where a prefix passes them; a
     leaf without any tokens gives nothing. Repeated rows are documents of their own. An empty table gives an empty one.
     """
-    named = documents.drop("domain", "epoch", "tokens", "taken").withColumns({
-        "_l": F.coalesce("lang", F.lit("")), "_s": F.coalesce("source", F.lit("")), "tokens": tokens_of(F.col("text"))}
+    # The input's columns go by numbers meanwhile, so that none of them can clash with a name used here.
+    kept = [c for c in documents.columns if c not in ("domain", "epoch", "tokens", "taken")]
+    named = documents.select(
+        *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept)], "doc_id",
+        F.coalesce("lang", F.lit("")).alias("_l"), F.coalesce("source", F.lit("")).alias("_s"), tokens_of(F.col("text")).alias("tokens"),
     ).withColumn("domain", domain_of(F.col("_s")))
     leaves = settle(
         named.groupBy("domain", F.col("_l").alias("lang"), F.col("_s").alias("source"))
@@ -155,4 +160,14 @@ def mix(documents: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
         W.partitionBy(*leaf, "epoch").orderBy("_order", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("before")
     last = reached.where(F.col("_slice") == F.col("border")).withColumn("_sofar", sofar).where(F.col("_sofar") < F.col("wanted")).withColumn(
         "taken", F.least(F.col("tokens"), F.col("wanted") - F.col("_sofar"))).drop("_sofar")
-    return whole.union(last).drop("_l", "_s", "_order", "_slice", "slices", "wanted", "border", "before")
+    return whole.union(last).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(kept)], "domain", "epoch", "tokens", "taken")
+
+
+def cut_to(text, tokens):
+    """The longest beginning of a text that has no more than so many tokens; a character is never split."""
+    bytes_ = (tokens * TOKEN_BYTES).cast("int")
+    # Characters of the first bytes; one that the border splits may count as up to three.
+    most = F.length(F.make_valid_utf8(F.substring(text.cast("binary"), F.lit(1), bytes_).cast("string")))
+    begun = [F.left(text, most - k) for k in range(4)]
+    fits = [F.when(F.octet_length(t) <= bytes_, t) for t in begun]
+    return F.when(F.octet_length(text) <= bytes_, text).otherwise(F.coalesce(*fits, F.left(text, F.lit(0))))

@@ -214,39 +214,44 @@ def fit(documents: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUME
     """The field fitted on labelled documents whose crc32(doc_id as text) mod 5 is not 0.
 
     labels: doc_id, quality. Rows with a null id or label are left out; of a document's repeated labels
-    the lowest counts. None if either label is missing.
+    the lowest counts. The sample: labelled documents that are there, in the order of md5(doc_id as text); of the first
+    max_documents whole ones are taken as long as they have max_lines lines together, and those that would pass that
+    are passed over. Lines are counted first, so no more than the sample's features reach the driver. None if either
+    label is missing.
     """
     known = (
         labels.where("doc_id is not null and quality in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
-        .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_documents)
     )
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    text = F.coalesce("text", F.lit(""))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    sizes = texts.select("doc_id", lines.alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n")).join(known, "doc_id")
+    chosen, total = [], 0
+    for r in sizes.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_documents).collect():
+        if total + r["n"] <= max_lines:
+            chosen.append((r["doc_id"], r["quality"], len(chosen)))
+            total += r["n"]
+    if len({c[1] for c in chosen}) < 2:
+        return None
+    sample = documents.sparkSession.createDataFrame(chosen, "doc_id long, quality int, at int")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 own, size, first = line_features(part.column("text"))
-                for i in range(part.num_rows):
-                    # A training text counts with its first max_lines lines, which bounds what is collected.
-                    a, b = first[i], min(first[i + 1], first[i] + max_lines)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").slice(i, 1), part.column("quality").slice(i, 1), pa.array([own[a:b].tobytes()]), pa.array([size[a:b].tobytes()])],
-                        names=["doc_id", "quality", "own", "size"],
-                    )
-
-    rows = texts.mapInArrow(features, "doc_id long, quality int, own binary, size binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["own"]))
-    owns, sizes, first, label, total = [], [], [0], [], 0
-    for r in rows:
-        size = np.frombuffer(r["size"], np.float32)
-        if total and total + len(size) > max_lines:
-            continue
-        owns.append(np.frombuffer(r["own"], np.float32).reshape(-1, OWN))
-        sizes.append(size)
-        total += len(size)
-        first.append(total)
-        label.append(r["quality"])
+                rows = list(zip(first[:-1], first[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("at"), part.column("quality"), pa.array([own[a:b].tobytes() for a, b in rows]), pa.array([size[a:b].tobytes() for a, b in rows])],
+                    names=["at", "quality", "own", "size"],
+                )
+
+    rows = texts.join(F.broadcast(sample), "doc_id").mapInArrow(features, "at int, quality int, own binary, size binary").collect()
+    rows.sort(key=lambda r: (r["at"], r["own"]))
+    owns = [np.frombuffer(r["own"], np.float32).reshape(-1, OWN) for r in rows]
+    sizes = [np.frombuffer(r["size"], np.float32) for r in rows]
+    first = np.cumsum([0, *map(len, sizes)]).tolist()
+    label = [r["quality"] for r in rows]
     label = np.array(label)
     if not len(label) or label.min() == label.max():
         return None

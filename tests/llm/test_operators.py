@@ -459,6 +459,27 @@ def test_op4_budgets(spark, corpus):
     assert mixing.mix(docs.limit(0), plan).count() == 0
 
 
+def test_op4_odd_rows(spark):
+    """Columns that clash with names used inside, null levels, repeated rows, empty texts, a very long one."""
+    rows = [(1, "abcd" * 10, "en", None), (1, "abcd" * 10, "en", None), (2, None, None, "s"), (3, "", "en", "s"), (4, "é" * 200_000, "de", "s"), (None, "abcd", "en", "s")]
+    clash = ["slices", "wanted", "border", "before", "here", "to", "_l", "_s", "_order", "_slice", "_0", "available", "a.b"]
+    docs = spark.createDataFrame([(*r, *range(len(clash))) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` int" for c in clash))
+    out = mixing.mix(docs, mixing.MixPlan(budget_share=1.0, max_epochs=1))
+    assert out.columns == [*docs.columns, "domain", "epoch", "tokens", "taken"]
+    got = [r.asDict() for r in out.collect()]
+    assert all([r[c] for c in clash] == list(range(len(clash))) for r in got)
+    assert Counter(r["doc_id"] for r in got if r["tokens"]) == {1: 2, 4: 1, None: 1} and sum(r["taken"] for r in got) == 20 + 100_000 + 1
+
+
+def test_op4_cut_to(spark):
+    rows = [("héllo wörld", 1), ("héllo", 9), ("", 1), ("😀😀", 1), ("a😀😀", 1), ("aé漢😀", 2), (None, 1), ("abc", 0)]
+    out = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(rows)], "i int, t string, n long").select("i", mixing.cut_to(F.col("t"), F.col("n")).alias("c"))
+    for r in out.collect():
+        t, n = rows[r["i"]]
+        want = None if t is None else next(t[:k] for k in range(len(t), -1, -1) if len(t[:k].encode()) <= 4 * n)
+        assert r["c"] == want
+
+
 def test_op4_shortages_go_to_siblings_first(spark):
     rows = [("hub", "en", "src0", 1, 100.0), ("hub", "en", "b", 1, 1000.0), ("hub", "de", "c", 1, 1000.0), ("even", "en", "d", 1, 5000.0)]
     leaves = spark.createDataFrame([(d, lang, s, n, int(a)) for d, lang, s, n, a in rows], "domain string, lang string, source string, docs long, available long")
