@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import line_dedup, mixing, ngram_join, packing, quality_crf
-from lexweave.llm.common import settle, table
+from lexweave.llm.common import settle, shared_folder, table
 from lexweave.llm.queries import tokenizer_path
 
 #: Of the tokens that are left, this share is taken, by weight; no document is taken twice.
@@ -42,8 +42,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mixture takes of each source."""
-    return mixing.mix(docs, MIX).where("taken > 0").select(*docs.columns)
+    """What the mixture takes of each source; where it takes a document in part, the text is cut there, and n_chars with it.
+
+    Empty and null texts that the prefix passes come along; repeated rows are documents of their own.
+    """
+    taken = mixing.mix(docs, MIX).where("taken > 0 or tokens = 0")
+    text = F.when(F.col("taken") < F.col("tokens"), mixing.cut_to(F.col("text"), F.col("taken"))).otherwise(F.col("text"))
+    chars = F.when(F.col("taken") < F.col("tokens"), F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return taken.withColumns({"text": text, "n_chars": chars}).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,12 +71,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="lexweave-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
