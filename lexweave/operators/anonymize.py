@@ -1,4 +1,4 @@
-"""The whole transform: detect, resolve, render. Narrow in its plan but for dictionaries, which join words."""
+"""The whole transform: detect, resolve, render. Narrow in its plan, but for dictionaries too large for every task."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from lexweave.operators import detect, render, rules
 
 
 def candidates(documents: DataFrame, profile: str = "rules", dictionaries: bool = True, names=None, vehicles=None, ner: str | None = None, llm: str | None = None) -> DataFrame:
-    """documents (doc_id, text, ...) with `candidates`, and for profile rules review_candidates and whitelist_skipped.
+    """documents (text, ...) with `candidates`, and for profile rules review_candidates and whitelist_skipped. Ids play no part.
 
     names, vehicles: tables or lists in place of the small default dictionaries. ner: a column of recogniser candidates. llm: a column of replies of a
     language model. Null texts are empty.
@@ -23,11 +23,8 @@ def candidates(documents: DataFrame, profile: str = "rules", dictionaries: bool
         out = rules.refine(out, "text", ner)
         parts.append(F.col("rule_spans"))
     if dictionaries:
-        found = detect.vehicle_candidates(out.select("doc_id", "text"), vehicles).withColumnRenamed("spans", "_vehicles")
-        named = detect.name_candidates(out.select("doc_id", "text"), names).withColumnRenamed("spans", "_names")
-        out = out.join(found, "doc_id", "left").join(named, "doc_id", "left")
-        none = F.array().cast(detect.NO_SPANS)
-        own = F.concat(F.coalesce("_vehicles", none), F.coalesce("_names", none))
+        out = detect.with_names(detect.with_vehicles(out, "_vehicles", vehicles), "_names", names)
+        own = F.concat("_vehicles", "_names")
         if profile == "tokens":  # the other profile's names for these types
             own = F.transform(own, lambda s: s.withField("entity_type", F.when(s["entity_type"] == "PER", "PERSON").otherwise("VEHICLE_MAKE_MODEL")))
         parts.append(own)

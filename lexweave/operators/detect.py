@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexweave.functions import vocabulary as v
 from lexweave.functions.patterns import PATTERNS, TOKEN_TYPES, PatternSpec
 from lexweave.functions.spans import column, find_spans
 from lexweave.functions.text import context_window
+from lexweave.session import settle
 
 #: What a candidate holds; ordinal settles ties between candidates.
 SPAN = "struct<start:int,end:int,entity_type:string,original:string,source:string,confidence:double,identity_key:string,ordinal:int>"
 NO_SPANS = f"array<{SPAN}>"
-#: A dictionary table of at most so many rows is broadcast; a larger one is joined by shuffle.
+#: A dictionary table of at most so many phrases (some 20 MB) is held by every task; a larger one is joined by shuffle.
 MAX_BROADCAST_ROWS = 200_000
 
 
@@ -32,18 +34,26 @@ def span(start, end, entity_type, original, source: str, confidence, ordinal, id
 
 
 def regex_candidates(text: str | Column, profile: str = "rules", specs: Sequence[PatternSpec] | None = None) -> Column:
-    """Matches of the profile's patterns (or of given ones), pattern by pattern; confidence 1.
+    """Matches of the profile's patterns (or of given ones); confidence 1.
 
-    A text without digits, @ and Cyrillic capitals can match none of them and is left at once.
+    A text without digits, @ and Cyrillic letters can match none of the profile's and is left at once, and one without
+    Cyrillic letters isn't searched for what has some.
     """
-    given = specs is not None
+    every = tuple(PATTERNS[profile] if specs is None else specs)
+    none = F.array().cast(NO_SPANS)
 
-    def found(n: int, spec: PatternSpec) -> Column:
+    def found(n: int) -> Column:
+        spec = every[n]
         return F.transform(find_spans(text, spec.pattern), lambda s, i: span(s["start"], s["end"], spec.entity_type, s["original"], "regex", 1.0, F.lit(2_000_000 + n * 10_000) + i))
 
-    parts = [found(n, spec) for n, spec in enumerate(PATTERNS[profile] if specs is None else specs)]
-    every = F.concat(*parts) if parts else F.array().cast(NO_SPANS)
-    return every if given else F.when(column(text).rlike(r"(?U)[0-9@]|\d|[А-ЯЁа-яё]"), every).otherwise(F.array().cast(NO_SPANS))
+    def joined(numbers: list[int]) -> Column:
+        return F.concat(*map(found, numbers)) if numbers else none
+
+    if specs is not None:
+        return joined([*range(len(every))])
+    cyrillic = F.when(column(text).rlike("[А-ЯЁа-яё]"), joined([n for n, s in enumerate(every) if s.cyrillic])).otherwise(none)
+    other = F.when(column(text).rlike(r"(?U)[@\d]|[А-ЯЁа-яё]"), joined([n for n, s in enumerate(every) if not s.cyrillic])).otherwise(none)
+    return F.concat(other, cyrillic)
 
 
 def llm_candidates(reply: Column, text: Column) -> Column:
@@ -69,82 +79,121 @@ def llm_degraded(reply: Column) -> Column:
 _WORD = re.compile(r"\b\S+\b")
 
 
-def text_tokens(documents: DataFrame) -> DataFrame:
-    """(doc_id, i, word, start, end): words of documents (doc_id, text), from a word character to a word character.
-
-    Words come row by row, in Arrow batches: a long text has too many for one array of spans.
+def _name_runs(text: str, known) -> list[dict]:
+    """Runs of up to three neighbouring words that are names, at most two characters apart."""
+    runs: list[list[tuple[str, int, int]]] = []
+    before = -2
+    for i, m in enumerate(_WORD.finditer(text)):
+        word = m.group()
+        if word[0].isupper() and word in known:
+            if i != before + 1 or m.start() - runs[-1][-1][2] > 2 or len(runs[-1]) == 3:
+                runs.append([])
+            runs[-1].append((word, m.start(), m.end()))
+            before = i
+    return [_found(r[0][1], r[-1][2], "PER", " ".join(w for w, _, _ in r), 0.8, 1_500_000 + r[0][1] % 400_000) for r in runs]
+
+
+def _vehicle_runs(text: str, known, near: re.Pattern, window: int) -> list[dict]:
+    """Phrases of one to three words, the longest at each place, with a context word that begins within the window."""
+    words = [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
+    context, out = None, []
+    for i, (_, start, _) in enumerate(words):
+        if out and start < out[-1]["end"]:
+            continue
+        for n in (3, 2, 1):
+            end = words[min(i + n, len(words)) - 1][2]
+            if i + n <= len(words) and " ".join(w for w, _, _ in words[i : i + n]) in known:
+                context = [m.start() for m in near.finditer(text)] if context is None else context
+                at = bisect_left(context, start - window)
+                if at < len(context) and context[at] <= end + window:
+                    out.append(_found(start, end, "МАРКА_ТС", text[start:end], 0.9, 1_000_000 + len(out)))
+                    break
+    return out
+
+
+def _found(start: int, end: int, entity_type: str, original: str, confidence: float, ordinal: int) -> dict:
+    return {"start": start, "end": end, "entity_type": entity_type, "original": original, "source": "dict", "confidence": confidence, "identity_key": None, "ordinal": ordinal}
+
+
+def _own_phrases(text: str) -> set[str]:
+    """Everything in a text that a dictionary could hold: words as written, and phrases of up to three in lower case."""
+    words = _WORD.findall(text)
+    lower = [w.lower() for w in words]
+    return {*words, *(" ".join(lower[i : i + n]) for n in (1, 2, 3) for i in range(len(lower) - n + 1))}
+
+
+def _with_dictionary(documents: DataFrame, name: str, gate: Column, words, default: tuple[str, ...], runs) -> DataFrame:
+    """documents with a column of spans that runs(text, phrases) finds in the row's own text.
+
+    Spans never leave their row, so equal or null ids can't mix texts up. A dictionary of at most MAX_BROADCAST_ROWS
+    phrases goes to every task; of a larger table each row is first joined with those phrases that its text holds.
     """
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    none = F.array().cast(NO_SPANS)
+    text = F.when(gate, F.col("text"))
+    if not isinstance(words, DataFrame):
+        phrases = frozenset(words or default)
+    else:
+        table = words.select(F.col(f"`{words.columns[0]}`").cast("string").alias("phrase")).where("phrase is not null").distinct()
+        some = table.limit(MAX_BROADCAST_ROWS + 1).collect()
+        phrases = frozenset(r[0] for r in some) if len(some) <= MAX_BROADCAST_ROWS else None
+    if phrases is not None:
+        held = documents.sparkSession.sparkContext.broadcast(phrases)
+
+        @F.pandas_udf(NO_SPANS)
+        def find(texts: pd.Series) -> pd.Series:
+            return pd.Series([None if t is None else runs(t, held.value) for t in texts])
+
+        return documents.withColumn(name, F.coalesce(find(text), none))
+    row, own = "_lexweave_row", "_lexweave_phrases"
+    numbered = settle(documents.withColumn(row, F.monotonically_increasing_id()))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text").to_pylist()):
-                found = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text or "")]
-                if found:
-                    word, start, end = zip(*found)
-                    n = len(found)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc_id.as_py()] * n, batch.column("doc_id").type), pa.array(range(n), pa.int32()), pa.array(word, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
-                        names=["doc_id", "i", "word", "start", "end"])
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held = [*_own_phrases(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(held), pa.int64()), pa.array(held, pa.string())], names=[row, "phrase"])
 
-    return documents.select("doc_id", "text").mapInArrow(words, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, i int, word string, start int, end int")
+    there = numbered.where(gate).select(row, "text").mapInArrow(explode, f"{row} long, phrase string").join(table, "phrase")
+    own_phrases = there.groupBy(row).agg(F.collect_set("phrase").alias(own))  # no more than a text's own phrases
 
+    @F.pandas_udf(NO_SPANS)
+    def find(texts: pd.Series, held: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or h is None else runs(t, frozenset(h)) for t, h in zip(texts, held)])
 
-def _dimension(documents: DataFrame, words, default: tuple[str, ...]) -> DataFrame:
-    if isinstance(words, DataFrame):
-        out = words.select(F.col(words.columns[0]).alias("phrase")).where("phrase is not null").distinct()
-        return F.broadcast(out) if out.count() <= MAX_BROADCAST_ROWS else out
-    return F.broadcast(documents.sparkSession.createDataFrame([(w,) for w in dict.fromkeys(words or default)], "phrase string"))
+    return numbered.join(own_phrases, row, "left").withColumn(name, F.coalesce(find(text, F.col(own)), none)).drop(row, own)
 
 
-def name_candidates(documents: DataFrame, names: DataFrame | Sequence[str] | None = None, gate: str = "[А-ЯЁ][а-яё]") -> DataFrame:
-    """(doc_id, spans): runs of up to three neighbouring words that are names (given, family, patronymic), as written.
+def with_names(documents: DataFrame, name: str, names: DataFrame | Sequence[str] | None = None, gate: str = "[А-ЯЁ][а-яё]") -> DataFrame:
+    """documents (text, ...) with a column of spans: runs of up to three neighbouring names (given, family, patronymic), as written.
 
-    names: a table or list of names; by default a small list with patronymics formed from it. Words of a run are at most two characters apart.
-    gate: a pattern that every text with such a name has; give another one for names in other letters.
+    names: a table or list of names; by default a small list with patronymics formed from it. gate: a pattern that every
+    text with such a name has; give another one for names in other letters. A null text has no spans.
     """
-    some = documents.where(F.col("text").rlike(gate)).select("doc_id", "text")
-    known = _dimension(documents, names, (*v.GIVEN_NAMES, *v.SURNAMES, *v.patronymics(), *[s + "а" for s in v.SURNAMES if s[-2:] in ("ов", "ев", "ёв", "ин")]))
-    hits = text_tokens(some).where(F.col("word").rlike(r"(?U)^\p{Lu}")).join(known, F.col("word") == F.col("phrase")).drop("phrase")
-    # Gaps and islands: an island ends where the next name isn't the next word or stands too far off; it is cut every three words.
-    by = W.partitionBy("doc_id").orderBy("i")
-    fresh = (F.col("i") != F.lag("i").over(by) + 1) | (F.col("start") - F.lag("end").over(by) > 2)
-    islands = hits.withColumn("island", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(by))
-    cut = islands.withColumn("part", F.floor((F.row_number().over(W.partitionBy("doc_id", "island").orderBy("i")) - 1) / 3))
-    runs = cut.groupBy("doc_id", "island", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("original"))
-    return runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(span(F.col("start"), F.col("end"), "PER", F.col("original"), "dict", 0.8, F.lit(1_500_000) + F.col("start") % 400_000))).alias("spans"))
-
-
-def vehicle_candidates(documents: DataFrame, vehicles: DataFrame | Sequence[str] | None = None, context: Sequence[str] = v.VEHICLE_CONTEXT, window: int = 120) -> DataFrame:
-    """(doc_id, spans): makes and models of one to three words, the longest at each place, near a word of the context.
-
-    vehicles: a table or list of lower-case phrases. A context word counts wherever its first letter stands within the window, inside other words as well.
+    default = (*v.GIVEN_NAMES, *v.SURNAMES, *v.patronymics(), *[s + "а" for s in v.SURNAMES if s[-2:] in ("ов", "ев", "ёв", "ин")])
+    return _with_dictionary(documents, name, F.col("text").rlike(gate), names, default, _name_runs)
+
+
+def with_vehicles(documents: DataFrame, name: str, vehicles: DataFrame | Sequence[str] | None = None, context: Sequence[str] = v.VEHICLE_CONTEXT, window: int = 120) -> DataFrame:
+    """documents (text, ...) with a column of spans: makes and models of one to three words, the longest at each place, near
+    a word of the context.
+
+    vehicles: a table or list of lower-case phrases. A context word counts wherever its first letter stands within the
+    window, inside other words as well. A null text has no spans.
     """
-    near = F.lit("(?iu)" + v.alternatives(tuple(context)))
-    some = documents.where(F.regexp_like("text", near)).select("doc_id", "text")
-    known = _dimension(documents, vehicles, v.VEHICLES)
-    tokens = text_tokens(some).withColumn("word", F.lower("word"))
-    by = W.partitionBy("doc_id").orderBy("i")
-    ahead = tokens.withColumns({f"{c}{k}": F.lead(c, k).over(by) for c in ("word", "end") for k in (1, 2)})
-    gram = lambda n, *words, end: F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *words).alias("phrase"), F.col(end).alias("end"))
-    grams = ahead.select(
-        "doc_id", "i", "start",
-        F.explode(F.filter(F.array(gram(1, "word", end="end"), gram(2, "word", "word1", end="end1"), gram(3, "word", "word1", "word2", end="end2")), lambda g: g["end"].isNotNull())).alias("g"),
-    ).select("doc_id", "i", "start", "g.*")
-    hits = grams.join(known, "phrase").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("shorter"), "end"))).alias("hits"))
-    with_text = hits.join(some, "doc_id").withColumn("lowered", F.lower("text"))
-    words, longest = v.alternatives(tuple(context)), max(map(len, context))
-
-    def near_word(h: Column) -> Column:
-        """A context word begins between `window` characters before the phrase and as many after it."""
-        left = F.greatest(h["start"] - window, F.lit(0))
-        reach = h["end"] + window - left
-        around = F.substring(F.col("lowered"), left + 1, reach + longest)
-        return F.regexp_like(around, F.concat(F.lit("(?s)^.{0,"), reach.cast("string"), F.lit("}?(?:" + words + ")")))
-
-    fits = F.filter("hits", near_word)
-    kind = "array<struct<start:int,shorter:int,end:int>>"
-    greedy = F.aggregate(fits.cast(kind), F.array().cast(kind), lambda acc, h: F.when((F.size(acc) == 0) | (h["start"] >= F.element_at(acc, -1)["end"]), F.concat(acc, F.array(h))).otherwise(acc))
-    spans = F.transform(greedy, lambda h, i: span(h["start"], h["end"], "МАРКА_ТС", F.substring(F.col("text"), h["start"] + 1, h["end"] - h["start"]), "dict", 0.9, F.lit(1_000_000) + i))
-    return with_text.select("doc_id", spans.alias("spans")).where(F.size("spans") > 0)
+    words = v.alternatives(tuple(context))
+    near = re.compile(f"(?i)(?={words})")
+    gate = F.regexp_like("text", F.lit("(?iu)" + words))
+    return _with_dictionary(documents, name, gate, vehicles, v.VEHICLES, lambda text, known: _vehicle_runs(text, known, near, window))
+
+
+def name_candidates(documents: DataFrame, names=None, gate: str = "[А-ЯЁ][а-яё]") -> DataFrame:
+    """(doc_id, spans) of the rows in which with_names finds any."""
+    return with_names(documents.select("doc_id", "text"), "spans", names, gate).where(F.size("spans") > 0).select("doc_id", "spans")
+
+
+def vehicle_candidates(documents: DataFrame, vehicles=None, context: Sequence[str] = v.VEHICLE_CONTEXT, window: int = 120) -> DataFrame:
+    """(doc_id, spans) of the rows in which with_vehicles finds any."""
+    return with_vehicles(documents.select("doc_id", "text"), "spans", vehicles, context, window).where(F.size("spans") > 0).select("doc_id", "spans")
 
 
 def near_context(text: Column, start: Column, end: Column, pattern: str) -> Column:

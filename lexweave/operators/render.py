@@ -87,8 +87,10 @@ def token_map(spans: Column) -> Column:
 
 
 def restore(text: Column, mapping: Column) -> Column:
-    """The text with every token of map<token, original> replaced by its original."""
-    return F.aggregate(F.map_entries(mapping), text, lambda acc, e: F.replace(acc, e["key"], e["value"]))
+    """The text with every token of map<token, original> replaced by its original, in one pass: what has been put in is
+    not looked at again."""
+    originals = F.transform(find_spans(text, r"\[[A-Z_]+_\d+\]"), lambda s: s.withField("as", F.coalesce(F.try_element_at(mapping, s["original"]), s["original"])))
+    return replace_spans(text, originals, lambda s: s["as"])
 
 
 def approved_text(text: Column, spans: Column, selected: Column, manual_text: Column | None = None, manual_type: Column | None = None) -> Column:

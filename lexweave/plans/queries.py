@@ -12,6 +12,7 @@ from lexweave.functions import text as tx
 from lexweave.functions.patterns import RULES_PATTERNS
 from lexweave.functions.spans import find_spans, resolve_overlaps
 from lexweave.operators import anonymize, classify, compare, detect, evaluate, render, rules
+from lexweave.session import table
 from lexweave.sources import documents as docs_source
 from lexweave.sources import store
 from lexweave.streaming import jobs
@@ -34,20 +35,16 @@ def query(sql: str | None = None):
     return add
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 @query()
 def anonymize_documents(spark, sf_dir):
     """The flagship: all detectors, resolution and rendering over every document."""
-    out = anonymize.anonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = anonymize.anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("total_replacements").cast("long").alias("total_replacements"), F.sha2("anonymized_text", 256).alias("anonymized_sha256"), "anonymized_text")
 
 
 def _counts(name: str, pattern: str, sql_pattern: str) -> None:
     def f(spark, sf_dir):
-        documents = _table(spark, sf_dir, "documents").select("doc_id", F.size(find_spans("text", pattern)).cast("long").alias("hits"))
+        documents = table(spark, sf_dir, "documents").select("doc_id", F.size(find_spans("text", pattern)).cast("long").alias("hits"))
         return documents.where("hits > 0")
 
     f.__name__ = name
@@ -66,7 +63,7 @@ SELECT page_id, kind, CAST(len(hits) AS BIGINT) AS hits FROM (
   SELECT page_id, 'PHONE', regexp_extract_all(html, '{_SQL_PHONE}') FROM p) WHERE len(hits) > 0""")
 def detect_in_pages(spark, sf_dir):
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.size(find_spans(F.col("html"), p)).cast("long").alias("hits")) for k, p in (("EMAIL", _EMAIL), ("CARD", _CARD), ("PHONE", _PHONE))])
-    return _table(spark, sf_dir, "pages").select("page_id", F.explode(kinds).alias("k")).select("page_id", "k.kind", "k.hits").where("hits > 0")
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(kinds).alias("k")).select("page_id", "k.kind", "k.hits").where("hits > 0")
 
 
 def _sql_spans(kind: str, pattern: str, ordinal: int) -> str:
@@ -82,7 +79,7 @@ _SQL_ALL_SPANS = f"{_sql_spans('БАНК_КАРТА', _SQL_CARD, 1)} UNION ALL {
 @query(f"SELECT doc_id, entity_type, original, start_at, CAST(start_at + length(original) AS BIGINT) AS end_at FROM ({_SQL_ALL_SPANS})")
 def detect_spans_offsets(spark, sf_dir):
     specs = [s for s in RULES_PATTERNS if s.entity_type in ("EMAIL", "БАНК_КАРТА", "ТЕЛЕФОН")]
-    return _spans(_table(spark, sf_dir, "documents"), detect.regex_candidates("text", specs=specs))
+    return _spans(table(spark, sf_dir, "documents"), detect.regex_candidates("text", specs=specs))
 
 
 def _spans(documents: DataFrame, spans) -> DataFrame:
@@ -97,7 +94,7 @@ SELECT doc_id, entity_type, original, start_at, CAST(end_at AS BIGINT) AS end_at
     AND (length(o.original) > length(s.original) OR (length(o.original) = length(s.original) AND o.ord < s.ord)))""")
 def resolve_overlapping_spans(spark, sf_dir):
     specs = [s for s in RULES_PATTERNS if s.entity_type in ("EMAIL", "БАНК_КАРТА", "ТЕЛЕФОН")]
-    return _spans(_table(spark, sf_dir, "documents"), resolve_overlaps(detect.regex_candidates("text", specs=specs)))
+    return _spans(table(spark, sf_dir, "documents"), resolve_overlaps(detect.regex_candidates("text", specs=specs)))
 
 
 @query(f"""SELECT entity_type, CAST(count(*) AS BIGINT) AS mentions, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents, CAST(count(DISTINCT original) AS BIGINT) AS originals
@@ -109,14 +106,14 @@ def entities_by_type(spark, sf_dir):
 @query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_SQL_CARD}')) + len(regexp_extract_all(text, '{_SQL_EMAIL}')) AS BIGINT) AS regex, CAST(0 AS BIGINT) AS dict, CAST(0 AS BIGINT) AS llm FROM documents")
 def spans_by_source(spark, sf_dir):
     specs = [s for s in RULES_PATTERNS if s.entity_type in ("EMAIL", "БАНК_КАРТА")]
-    found = _table(spark, sf_dir, "documents").select("doc_id", detect.regex_candidates("text", specs=specs).alias("s"))
+    found = table(spark, sf_dir, "documents").select("doc_id", detect.regex_candidates("text", specs=specs).alias("s"))
     counts = found.select("doc_id", render.spans_by_source(F.col("s")).alias("n"))
     return counts.select("doc_id", *[F.col(f"n.{c}").cast("long").alias(c) for c in ("regex", "dict", "llm")])
 
 
 @query("SELECT doc_id, true AS restored FROM documents")
 def deanonymize_roundtrip(spark, sf_dir):
-    out = anonymize.deanonymize(anonymize.anonymize_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), dictionaries=False))
+    out = anonymize.deanonymize(anonymize.anonymize_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), dictionaries=False))
     return out.select("doc_id", (F.col("restored_text") == F.col("text")).alias("restored"))
 
 
@@ -126,7 +123,7 @@ _SQL_NORMAL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_repla
 @query(f"SELECT doc_id, sha256({_SQL_NORMAL}) AS normal_sha256, CAST(length({_SQL_NORMAL}) AS BIGINT) AS normal_chars FROM documents")
 def text_normalize(spark, sf_dir):
     normal = tx.normalize_text(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", normal.alias("t")).select("doc_id", F.sha2("t", 256).alias("normal_sha256"), F.length("t").cast("long").alias("normal_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", normal.alias("t")).select("doc_id", F.sha2("t", 256).alias("normal_sha256"), F.length("t").cast("long").alias("normal_chars"))
 
 
 _SQL_STRIPPED = "trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -137,45 +134,45 @@ SELECT doc_id, CASE WHEN t <> '' THEN CAST(len(regexp_extract_all(t, '\\p{{L}}')
   - 6 * (length(t) - length(replace(t, '?', '')) + 8 * (length(t) - length(replace(t, chr(65533), ''))))
   - 30 * len(regexp_extract_all(t, '(?:(?:^|[^\\pL\\pN_])[А-Яа-яA-Za-zЁё](?:\\s+|$)){{1}}(?:[А-Яа-яA-Za-zЁё](?:\\s+|$)){{4,}}')) AS DOUBLE) END AS score FROM d""")
 def text_quality_score(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", tx.quality_score(F.col("text")).alias("score"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.quality_score(F.col("text")).alias("score"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_SQL_STRIPPED} AS t FROM documents)
 SELECT doc_id, t <> '' AND ((length(t) - length(replace(t, '?', ''))) / greatest(length(t), 1) > 0.12 OR (length(t) - length(replace(t, chr(65533), ''))) / greatest(length(t), 1) > 0.02
   OR regexp_matches(t, '(?:^|[^\\pL\\pN_])[А-Яа-яA-Za-zЁё]\\s+(?:[А-Яа-яA-Za-zЁё](?:\\s+|$)){{4,}}')) AS corrupted FROM d""")
 def looks_corrupted(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", tx.looks_corrupted(F.col("text")).alias("corrupted"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.looks_corrupted(F.col("text")).alias("corrupted"))
 
 
 @query(f"SELECT coalesce(error, 'none') AS error, CAST(count(*) AS BIGINT) AS documents FROM (SELECT CASE WHEN {_SQL_STRIPPED} = '' THEN 'empty' WHEN length({_SQL_NORMAL}) > 500000 THEN 'too_long' WHEN length({_SQL_NORMAL}) < 20 THEN 'too_short' END AS error FROM documents) GROUP BY 1")
 def typed_text_gate(spark, sf_dir):
-    errors = _table(spark, sf_dir, "documents").select(F.coalesce(tx.typed_text_error(F.col("text")), F.lit("none")).alias("error"))
+    errors = table(spark, sf_dir, "documents").select(F.coalesce(tx.typed_text_error(F.col("text")), F.lit("none")).alias("error"))
     return errors.groupBy("error").agg(F.count("*").alias("documents"))
 
 
 # The better of a text and the same text spoilt: question marks for vowels.
 @query("SELECT doc_id, sha256(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS best_sha256 FROM documents WHERE regexp_matches(text, '[aeiou]')")
 def best_candidate(spark, sf_dir):
-    documents = _table(spark, sf_dir, "documents").where(F.col("text").rlike("[aeiou]"))
+    documents = table(spark, sf_dir, "documents").where(F.col("text").rlike("[aeiou]"))
     best = tx.best_text(F.array(F.regexp_replace("text", "[aeiou]", "?"), F.col("text"), F.col("text")))
     return documents.select("doc_id", F.sha2(tx.strip(best), 256).alias("best_sha256"))
 
 
 @query(r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(trim(url), '[^A-Za-z0-9\-_.]', '_', 'g'), '._'), ''), 'report') AS filename FROM pages""")
 def safe_filenames(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", tx.safe_filename(F.col("url")).alias("filename"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.safe_filename(F.col("url")).alias("filename"))
 
 
 @query(r"""SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '"', '&#34;')) AS escaped_sha256 FROM pages""")
 def escape_pages(spark, sf_dir):
     """Highlighting without spans: the whole text escaped."""
     none = F.array().cast(detect.NO_SPANS)
-    return _table(spark, sf_dir, "pages").select("page_id", F.sha2(render.highlight_spans(F.col("html"), none), 256).alias("escaped_sha256"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(render.highlight_spans(F.col("html"), none), 256).alias("escaped_sha256"))
 
 
 @query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\{\\[^{}]*\}', ' ', 'g'), '\\[a-zA-Z]+\d* ?', ' ', 'g'), '[{}]', ' ', 'g'), '[ \t\n\r\x0b\x0c]+', ' ', 'g')) AS plain_sha256 FROM documents""")
 def rtf_plain_text(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.rtf_to_text(F.col("text")), 256).alias("plain_sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.rtf_to_text(F.col("text")), 256).alias("plain_sha256"))
 
 
 _TOPIC_ROWS = ("Спор об увольнении работника", "Договор поставки товара", "Налоговая проверка и НДС", "Иной документ", "")
@@ -188,7 +185,7 @@ c AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'труд|уволь
 SELECT doc_id, topic, CAST(CASE topic WHEN 'general' THEN 1 ELSE 2 END AS BIGINT) AS laws, CAST(1 AS BIGINT) AS practice FROM c""")
 def topic_classify(spark, sf_dir):
     more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(_TOPIC_ROWS)], "doc_id long, text string")
-    out = classify.analyze(_table(spark, sf_dir, "documents").select("doc_id", "text").union(more), "text")
+    out = classify.analyze(table(spark, sf_dir, "documents").select("doc_id", "text").union(more), "text")
     return out.select("doc_id", "topic", F.size("relevant_laws").cast("long").alias("laws"), F.size("court_practice").cast("long").alias("practice"))
 
 
@@ -196,7 +193,7 @@ def topic_classify(spark, sf_dir):
 def whitelist_anti_join(spark, sf_dir):
     """Whitelisted terms leave by equality of their normal keys, never by parts."""
     listed = spark.createDataFrame([("Building ",), ("MACHINERY",)], "term string").select(tx.normal_key(F.col("term")).alias("key"))
-    customers = _table(spark, sf_dir, "customer").withColumn("key", tx.normal_key(F.col("c_mktsegment")))
+    customers = table(spark, sf_dir, "customer").withColumn("key", tx.normal_key(F.col("c_mktsegment")))
     return customers.join(F.broadcast(listed), "key", "left_anti").groupBy(F.col("c_mktsegment").alias("term")).agg(F.count("*").alias("customers"))
 
 
@@ -207,9 +204,9 @@ d AS (SELECT o_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (
   WHERE next_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l r WHERE r.l_orderkey = next_key AND r.l_partkey = l.l_partkey AND r.l_suppkey = l.l_suppkey))
 SELECT o_orderkey, CAST(count(*) AS BIGINT) AS only_left, CAST(sum(l_partkey) AS BIGINT) AS parts FROM d WHERE rn <= 10 GROUP BY o_orderkey""")
 def items_only_left(spark, sf_dir):
-    items = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("items"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("items"))
     order = W.partitionBy("o_custkey").orderBy("o_orderkey")
-    pairs = _table(spark, sf_dir, "orders").select("o_orderkey", F.lead("o_orderkey").over(order).alias("next_key")).where("next_key is not null")
+    pairs = table(spark, sf_dir, "orders").select("o_orderkey", F.lead("o_orderkey").over(order).alias("next_key")).where("next_key is not null")
     both = pairs.join(items.select(F.col("l_orderkey").alias("o_orderkey"), F.col("items").alias("left")), "o_orderkey").join(
         items.select(F.col("l_orderkey").alias("next_key"), F.col("items").alias("right")), "next_key", "left")
     kept = both.select("o_orderkey", compare.only_left(F.col("left"), F.coalesce("right", F.array().cast("array<struct<l_linenumber:int,l_partkey:bigint,l_suppkey:bigint>>")), ("l_partkey", "l_suppkey")).alias("d")).where(F.size("d") > 0)
@@ -219,14 +216,14 @@ def items_only_left(spark, sf_dir):
 @query("SELECT o_orderkey AS id, o_orderdate AS created_at, o_orderpriority AS filename, o_orderstatus AS status FROM orders ORDER BY o_orderkey DESC LIMIT 50 OFFSET 100")
 def archive_page(spark, sf_dir):
     """A page of the archive, newest first; orders stand in for cases."""
-    cases = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("filename"), F.col("o_orderstatus").alias("status"))
+    cases = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("filename"), F.col("o_orderstatus").alias("status"))
     return store.page(cases, cases.columns, 50, 100)
 
 
 @query("SELECT event_id AS id, ts AS created_at, event_type AS action, user_id AS case_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE user_id = 8 ORDER BY event_id DESC LIMIT 100")
 def audit_of_case(spark, sf_dir):
     """The audit log of one case, newest first; events stand in for entries."""
-    entries = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("action"), F.col("user_id").alias("case_id"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    entries = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("action"), F.col("user_id").alias("case_id"), F.get_json_object("props", "$.k").cast("long").alias("k"))
     return store.audit_page(entries, 100, 0, 8)
 
 
@@ -234,15 +231,15 @@ def audit_of_case(spark, sf_dir):
 SELECT o.o_orderkey AS id, CASE WHEN e.o_orderkey IS NULL THEN o_orderstatus ELSE 'reviewed' END AS status FROM orders o LEFT JOIN e ON e.o_orderkey = o.o_orderkey WHERE NOT coalesce(gone, false)""")
 def current_case_states(spark, sf_dir):
     """Cases with the state of their last event; a returned item deletes its order, any other reviews it."""
-    cases = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    events = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("at"), F.when(F.col("l_returnflag") == "R", "deleted").otherwise("reviewed").alias("status"))
+    cases = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    events = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("at"), F.when(F.col("l_returnflag") == "R", "deleted").otherwise("reviewed").alias("status"))
     return store.current_cases(cases, events)
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY c_name, c_custkey) + 1000 AS BIGINT) AS id, c_custkey FROM customer")
 def consecutive_ids(spark, sf_dir):
     """Ids for a batch of rows, in an order, without one task holding them all."""
-    return store.with_ids(_table(spark, sf_dir, "customer").select("c_name", "c_custkey"), ["c_name", "c_custkey"], 1000).select("id", "c_custkey")
+    return store.with_ids(table(spark, sf_dir, "customer").select("c_name", "c_custkey"), ["c_name", "c_custkey"], 1000).select("id", "c_custkey")
 
 
 @query("""SELECT o_orderkey AS id, sha256(concat('Дело: #', o_orderkey, chr(10), 'Файл: ', o_orderpriority, chr(10), 'Дата: ', '—', chr(10), 'Источник анализа: ', o_orderstatus, chr(10), chr(10), 'КРАТКОЕ РЕЗЮМЕ', chr(10), '—', chr(10), chr(10),
@@ -252,13 +249,13 @@ def case_reports(spark, sf_dir):
     case = F.struct(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("filename"), F.lit(None).cast("string").alias("created_at"), F.col("o_orderstatus").alias("source"), F.lit("").alias("legal_summary"),
         F.lit(None).cast("string").alias("recommendations"), law.alias("relevant_laws"), F.array().cast(f"array<{classify.PRACTICE}>").alias("court_practice"), F.concat(F.lit("текст "), F.col("o_orderkey")).alias("anonymized_text"))
-    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.sha2(store.report(case), 256).alias("report_sha256"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.sha2(store.report(case), 256).alias("report_sha256"))
 
 
 # Rows of equal name, brand and type are one span; the dearest of the largest is kept.
 @query("""SELECT p_name, p_brand, p_type, CAST(p_partkey AS BIGINT) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY p_name, p_brand, p_type ORDER BY p_size DESC, p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn = 1""")
 def dedupe_best(spark, sf_dir):
-    return _table(spark, sf_dir, "part").groupBy("p_name", "p_brand", "p_type").agg(F.max_by("p_partkey", F.struct("p_size", "p_retailprice", -F.col("p_partkey"))).alias("kept"))
+    return table(spark, sf_dir, "part").groupBy("p_name", "p_brand", "p_type").agg(F.max_by("p_partkey", F.struct("p_size", "p_retailprice", -F.col("p_partkey"))).alias("kept"))
 
 
 @query("""SELECT CAST(c_nationkey AS BIGINT) AS nation, CAST(sum(e) AS BIGINT) AS expected, CAST(sum(f) AS BIGINT) AS found, CAST(sum(b) AS BIGINT) AS correct, sum(b) / nullif(sum(f), 0) AS "precision", sum(b) / nullif(sum(e), 0) AS recall FROM (
@@ -266,7 +263,7 @@ def dedupe_best(spark, sf_dir):
 def corpus_precision_recall(spark, sf_dir):
     """Expected and found sets of segments of each nation, as the corpus metrics compare sets of entities."""
     some = lambda c: F.collect_set(F.when(c, F.col("c_mktsegment")))
-    rows = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(some(F.col("c_acctbal") > 0).alias("e"), some(F.col("c_acctbal") < 5000).alias("f"))
+    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(some(F.col("c_acctbal") > 0).alias("e"), some(F.col("c_acctbal") < 5000).alias("f"))
     maps = rows.select(F.col("c_nationkey").cast("long").alias("nation"), F.create_map(F.lit("PER"), F.col("e")).alias("expected"), F.create_map(F.lit("PER"), F.col("f")).alias("entities_found"))
     out = None
     nations = [r[0] for r in maps.select("nation").distinct().orderBy("nation").collect()]  # twenty-five
@@ -283,7 +280,7 @@ _JSON_LAWS = '{"documents": [{"title": "%s", "section": "%d", "text": "x"}, {"na
   'Найдено 3 релевантных нормативных акта(ов). Основные: ' || n_name || ', B, C. Судебная практика: 0 дел(а).' AS summary FROM nation""")
 def search_reply_laws(spark, sf_dir):
     reply = F.format_string(_JSON_LAWS, "n_name", "n_regionkey", F.repeat(F.lit("я"), 400))
-    laws = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), classify.normalize_laws(reply).alias("l"), classify.normalize_practice(reply).alias("p"))
+    laws = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), classify.normalize_laws(reply).alias("l"), classify.normalize_practice(reply).alias("p"))
     item = lambda i, f: F.element_at("l", i)[f]
     return laws.select("id", F.size("l").cast("long").alias("laws"), item(1, "title").alias("first_title"), item(1, "article").alias("first_article"), item(2, "text").alias("second_text"),
                        F.length(item(3, "text")).cast("long").alias("third_chars"), classify.search_summary(F.col("l"), F.col("p")).alias("summary"))
@@ -292,7 +289,7 @@ def search_reply_laws(spark, sf_dir):
 @query("""SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS summary, 'Дело ' || n_regionkey || chr(10) || chr(10) || 'РИСКИ: нет' AS recommendations, true AS parsed FROM nation""")
 def llm_reply_analysis(spark, sf_dir):
     reply = F.format_string('Ответ:\n```json\n{"summary": "%s", "recommendations": "Дело %d", "risks": " нет "}\n```', "n_name", "n_regionkey")
-    parsed = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), classify.parse_llm_analysis(reply).alias("a"))
+    parsed = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), classify.parse_llm_analysis(reply).alias("a"))
     return parsed.select("id", "a.summary", "a.recommendations", "a.parsed")
 
 
@@ -301,20 +298,20 @@ def llm_reply_spans(spark, sf_dir):
     """Of three spans in each reply one has an unknown type and one has offsets that don't hold its text."""
     text = F.concat(F.lit("это: "), F.col("n_name"))
     reply = F.format_string('[{"type": "PERSON", "text": "%1$s", "start": 5, "end": %2$d}, {"type": "NOPE", "text": "это", "start": 0, "end": 3}, {"type": "DATE", "text": "%1$s", "start": 0, "end": 3}]', F.col("n_name"), F.length("n_name") + 5)
-    found = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.explode(detect.llm_candidates(reply, text)).alias("s"))
+    found = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.explode(detect.llm_candidates(reply, text)).alias("s"))
     return found.select("id", F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"), "s.entity_type", "s.original")
 
 
 @query("""SELECT o_orderkey AS id, title FROM orders, (VALUES ('Ст. 1079 ГК РФ'), ('Ст. 12.24 КоАП РФ'), ('Ст. 264 УК РФ'), ('40-ФЗ «Об ОСАГО»'), ('Постановление Пленума ВС РФ № 25')) v(title)""")
 def constant_search(spark, sf_dir):
-    return classify.road_laws(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))).select("id", "title")
+    return classify.road_laws(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))).select("id", "title")
 
 
 @query()
 def turn_similarity(spark, sf_dir):
     """difflib's similarity and differing lines of each turn and the next of its conversation."""
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.lead("text").over(order).alias("following")).where("following is not null")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.lead("text").over(order).alias("following")).where("following is not null")
     return turns.select("conv_id", "turn", compare.similarity("text", "following").alias("similarity"), F.size(compare.line_diff("text", "following")).cast("long").alias("differences"))
 
 
@@ -322,20 +319,21 @@ def turn_similarity(spark, sf_dir):
 def review_sessions(spark, sf_dir):
     """Session operations from events: errors create, purchases update, others read; a session is a user's."""
     op = F.when(F.col("event_type") == "error", "create").when(F.col("event_type") == "purchase", "update").when(F.col("event_type") == "logout", "delete").otherwise("get")
-    ops = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), op.alias("op"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("props").alias("data"))
+    ops = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), op.alias("op"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("props").alias("data"))
     return jobs.session_states(ops.withColumn("at", F.col("us") / 1e6).drop("us"))
 
 
 _RU_ROWS = (
-    (1, "ИНН 771234567890 и ИНН 500100732259 указаны в договоре.", "[ИНН1] и [ИНН2] указаны в договоре."),
-    (2, "тел 89991234567", "тел [СНИЛС1]"),
-    (3, "Р/с 40817810099910004312, БИК 044525225", "Р/с [БАНК. СЧЁТ1], БИК [БИК1]"),
-    (4, "Госномер А123ВС777, VIN 1HGBH41JXMN109186, СТС 77 МА 123456", "Госномер [ГОСНОМЕР1], VIN [VIN1], СТС [СТС1]"),
-    (5, "Полис ТТТ 1234567890 предоставлен в материалы дела", "Полис [СТРАХ. ПОЛИС1] предоставлен в материалы дела"),
-    (6, 'ООО "Ромашка" заключило договор с ООО "Ландыш".', "[ОРГАНИЗАЦИЯ1] заключило договор с [ОРГАНИЗАЦИЯ2]."),
-    (7, "Представитель Иванов И.И. подписал договор.", "Представитель [ФИО1] подписал договор."),
-    (8, "Права продавца, покупателя и стороны договора согласованы.", "Права продавца, покупателя и стороны договора согласованы."),
-    (9, "Иванов Иван Иванович подписал договор. Далее Иванов направил претензию. И.И. Иванов приложил доверенность.", "[ФИО1] подписал договор. Далее [ФИО1] направил претензию. [ФИО1] приложил доверенность."),
+    (1, "Реквизиты сторон: ИНН 561234567801, затем ИНН 770123456789.", "Реквизиты сторон: [ИНН1], затем [ИНН2]."),
+    (2, "звонить 89151112233", "звонить [СНИЛС1]"),
+    (3, "Деньги ушли на 40702810500000001234, БИК 044030653", "Деньги ушли на [БАНК. СЧЁТ1], БИК [БИК1]"),
+    (4, "Машина В456ОР178, кузов JTDBR32E720012345, бумага 99 ТО 765432", "Машина [ГОСНОМЕР1], кузов [VIN1], бумага [СТС1]"),
+    (5, "К иску приложен полис ХХХ 0123456789", "К иску приложен полис [СТРАХ. ПОЛИС1]"),
+    (6, 'АО "Северный ветер" отгрузило зерно, а ООО "Берёзка" не заплатило.', "[ОРГАНИЗАЦИЯ1] отгрузило зерно, а [ОРГАНИЗАЦИЯ2] не заплатило."),
+    (7, "Доверенность выдал Соколов П.Н. ещё вчера.", "Доверенность выдал [ФИО1] ещё вчера."),
+    (8, "Сроки, порядок приёмки и цену стороны определили сами.", "Сроки, порядок приёмки и цену стороны определили сами."),
+    (9, "Соколов Пётр Николаевич внёс задаток. Позже Соколов забрал вещи. П.Н. Соколов расписался.",
+     "[ФИО1] внёс задаток. Позже [ФИО1] забрал вещи. [ФИО1] расписался."),
 )
 
 
@@ -361,7 +359,7 @@ def ru_fixture_org_rules(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES (1, 'Toyota Camry'), (2, 'Haval F7')) v(id, vehicle)")
 def ru_fixture_vehicles(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "а/м Toyota Camry г/н А123ВС77"), (2, "Haval F7 автомобиль попал в ДТП"), (3, "Toyota производит качественные вещи")], "doc_id int, text string")
+    rows = spark.createDataFrame([(1, "у дома стояла машина Toyota Camry"), (2, "Haval F7, водитель которого скрылся"), (3, "завод Toyota открыл музей")], "doc_id int, text string")
     return detect.vehicle_candidates(rows).select(F.col("doc_id").alias("id"), F.explode("spans").alias("s")).select("id", F.col("s.original").alias("vehicle"))
 
 

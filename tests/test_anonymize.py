@@ -87,6 +87,25 @@ def test_names_and_vehicles(spark):
     assert [(r["doc_id"], r["spans"][0]["original"]) for r in cars] == [(0, "Toyota Land Cruiser")]
 
 
+def test_ids_play_no_part(spark):
+    """Equal and null ids: each row keeps its own spans, whatever the size of the dictionary."""
+    rows = [(1, "Смирнов Олег пришёл"), (1, "Другой текст, а Смирнов Олег здесь"), (None, "Смирнов Олег и машина Toyota Camry"), (None, "нет"), (2, None)]
+    want = ["Другой текст, а [ФИО1] здесь", "[ФИО1] и машина [МАРКА/МОДЕЛЬ ТС1]", "[ФИО1] пришёл", "нет", ""]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([("Смирнов",), ("Олег",), (None,)], "name string")
+    assert sorted(r["anonymized_text"] for r in anonymize(frame).collect()) == sorted(want)
+    before, detect.MAX_BROADCAST_ROWS = detect.MAX_BROADCAST_ROWS, 1
+    try:
+        assert sorted(r["anonymized_text"] for r in anonymize(frame, names=table).collect()) == sorted(want)
+    finally:
+        detect.MAX_BROADCAST_ROWS = before
+
+
+def test_restore_is_one_pass(spark):
+    rows = spark.createDataFrame([("[INN_001] и [INN_002]", {"[INN_001]": "[INN_002]", "[INN_002]": "7"})], "t string, m map<string,string>")
+    assert rows.select(render.restore(F.col("t"), F.col("m")).alias("r")).first()["r"] == "[INN_002] и 7"
+
+
 def test_review_and_highlight(spark):
     out = anonymize_tokens(docs(spark, "ИНН 123456789012 & БИК 044525225"), dictionaries=False)
     ids = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"], s["source"], s["entity_type"]))
