@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,10 +68,10 @@ def id_filter(ids: DataFrame, *columns: str, bits: int = 1 << 20):
     at = lambda i: F.pmod(F.xxhash64(*map(F.col, columns), F.lit(i)), F.lit(bits))
     one = lambda p: F.call_function("shiftleft", F.lit(1).cast("bigint"), p.bitwiseAND(F.lit(63)).cast("int"))
     found = ids.select(F.explode(F.array(at(0), at(1))).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(one(F.col("p"))).alias("b"))
-    words = [0] * (bits // 64)
-    for w, b in found.collect():  # at most bits / 64 rows
-        words[w] = b
-    array = F.from_json(F.lit(json.dumps(words)), "array<bigint>")  # folded into a constant
+    words = np.zeros(bits // 64, np.int64)
+    at_most = found.toArrow()  # bits / 64 rows
+    words[at_most["w"].to_numpy()] = at_most["b"].to_numpy()
+    array = F.from_json(F.lit(json.dumps(words.tolist(), separators=(",", ":"))), "array<bigint>")  # folded into a constant
     held = [F.get(array, F.shiftright(at(i), 6).cast("int")).bitwiseAND(one(at(i))) != 0 for i in (0, 1)]
     return held[0] & held[1]
 

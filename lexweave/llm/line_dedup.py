@@ -15,9 +15,9 @@ which a group of near copies has few. No pair of a class with its earliest match
 from __future__ import annotations
 
 import json
-import math
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ from .common import Scratch, id_filter
 
 SIMILARITY = Fraction(4, 5)
 #: Hashed counters of words: the table that orders tokens by rarity has so many entries, whatever the input.
-COUNTERS = 1 << 18
+COUNTERS = 1 << 17
 _AT = ("doc_id", "line_no")
 
 
@@ -54,10 +54,10 @@ def _rarity(texts: DataFrame) -> Column:
     """A constant array: for each counter a byte that grows with the number of words that it counts in all texts."""
     words = texts.select(F.explode(_words("text")).alias("word"))
     counted = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(COUNTERS - 1)).alias("at")).agg(F.count("*").alias("n"))
-    rare = [0] * COUNTERS
-    for at, n in counted.collect():  # at most COUNTERS rows
-        rare[at] = min(int(math.log2(n + 1) * 4), 127)
-    return F.from_json(F.lit(json.dumps(rare, separators=(",", ":"))), "array<tinyint>")
+    found = counted.toArrow()  # at most COUNTERS rows
+    rare = np.zeros(COUNTERS, np.int64)
+    rare[found["at"].to_numpy()] = np.minimum(np.log2(found["n"].to_numpy() + 1) * 4, 127)
+    return F.from_json(F.lit(json.dumps(rare.tolist(), separators=(",", ":"))), "array<tinyint>")
 
 
 def _need(a: str, b: str, t: Fraction) -> str:
