@@ -3,8 +3,8 @@
 A line's tokens are its distinct words in lower case. A line goes if an earlier line, by (doc_id, line number), has a
 Jaccard similarity of SIMILARITY or more to it. Tokens are ordered by rarity, which hashed counters over all texts
 tell; two lines of that similarity share one of their rarest tokens (prefix filter), in places that leave room for
-the overlap (positional filter), and have similar lengths (length filter). Two 64-bit parities of the tokens bound
-their difference as well. What passes is verified on the words of whole lines.
+the overlap (positional filter), and have similar lengths (length filter). A parity of 128 bits, in two halves,
+bounds their difference as well. What passes is verified on the words of whole lines.
 
 Lines of equal text are one class, represented by its earliest line, so copies never meet each other. Near copies would:
 all pairs of a group of thousands. Therefore each class is first compared with the earliest classes of the same
@@ -42,7 +42,7 @@ def _words(text: str) -> Column:
 
 def _hashes(text: str) -> Column:
     """The set of the words' 64-bit hashes."""
-    return F.array_remove(F.array_distinct(F.transform(_words(text), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_except(F.transform(_words(text), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 def _rarity(texts: DataFrame) -> Column:
     """A constant array: for each counter a byte that grows with the number of words that it counts in all texts."""
-    words = texts.select(F.explode(_words("text")).alias("word"))
+    words = _lines(texts).select(F.explode(_words("line")).alias("word"))  # by line: arrays of whole texts take twice as long
     counted = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(COUNTERS - 1)).alias("at")).agg(F.count("*").alias("n"))
     found = counted.toArrow()  # at most COUNTERS rows
     rare = np.zeros(COUNTERS, np.int64)
@@ -67,7 +67,7 @@ def _need(a: str, b: str, t: Fraction) -> str:
 
 def _described(texts: DataFrame, t: Fraction) -> DataFrame:
     """Each line with words: its place, two digests of its text, the size n of its token set, the least and greatest
-    token hash, two parities of all tokens and the tokens of its prefix, rarest first."""
+    token hash, two halves of a parity of all tokens and the tokens of its prefix, rarest first."""
     rare = _rarity(texts)
     key = lambda h: F.shiftleft(
         F.get(rare, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
@@ -76,15 +76,16 @@ def _described(texts: DataFrame, t: Fraction) -> DataFrame:
     keyed = lines.select(
         *_AT, "h1", "h2", F.array_min("hashes").alias("low"), F.array_max("hashes").alias("high"), F.sort_array(F.transform("hashes", key)).alias("keys"))
 
-    def parity(first: int) -> Column:
-        """Each token flips the bit that six bits of it name."""
-        flip = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(k, first).bitwiseAND(F.lit(63)).cast("int"))
+    def parity(half: int) -> Column:
+        """Each token flips one of 128 bits: the one that six bits of it name, in the half that a seventh names."""
+        mine = lambda k: F.shiftright(k, 6).bitwiseXOR(F.lit(1 - half)).bitwiseAND(F.lit(1)).cast("bigint")
+        flip = lambda k: F.call_function("shiftleft", mine(k), k.bitwiseAND(F.lit(63)).cast("int"))
         return F.aggregate("keys", F.lit(0).cast("bigint"), lambda sofar, k: sofar.bitwiseXOR(flip(k)))
 
     size = "cast(size(keys) as bigint)"
     prefix = F.expr(f"slice(keys, 1, cast({size} - (({size} * {t.numerator} + {t.denominator - 1}) div {t.denominator}) + 1 as int))")
     return keyed.select(
-        *_AT, "h1", "h2", "low", "high", F.expr(size).alias("n"), parity(0).alias("bits"), parity(6).alias("more_bits"),
+        *_AT, "h1", "h2", "low", "high", F.expr(size).alias("n"), parity(0).alias("bits"), parity(1).alias("more_bits"),
         F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("rare"))
 
 
@@ -93,9 +94,9 @@ def _lengths_match(a: str, b: str, t: Fraction) -> str:
 
 
 def _parities_match(a: str, b: str, t: Fraction) -> str:
-    """Two sets differ by at least as many tokens as their parities differ by bits."""
+    """Two sets differ by at least as many tokens as their parities differ by bits, both halves together."""
     most = f"{a}.n + {b}.n - 2 * {_need(f'{a}.n', f'{b}.n', t)}"
-    return " and ".join(f"bit_count({a}.{c} ^ {b}.{c}) <= {most}" for c in ("bits", "more_bits"))
+    return f"bit_count({a}.bits ^ {b}.bits) + bit_count({a}.more_bits ^ {b}.more_bits) <= {most}"
 
 
 def _by_sketch(classes: DataFrame, t: Fraction) -> DataFrame:
