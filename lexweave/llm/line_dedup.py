@@ -3,8 +3,8 @@
 A line's tokens are its distinct words in lower case. A line goes if an earlier line, by (doc_id, line number), has a
 Jaccard similarity of SIMILARITY or more to it. Tokens are ordered by rarity, which hashed counters over all texts
 tell; two lines of that similarity share one of their rarest tokens (prefix filter), in places that leave room for
-the overlap (positional filter), and have similar lengths (length filter). A parity of 128 bits, in two halves,
-bounds their difference as well. What passes is verified on the words of whole lines.
+the overlap (positional filter), and have similar lengths (length filter). A parity of 64 bits, of 128
+for longer lines, bounds their difference as well. What passes is verified on the words of whole lines.
 
 Lines of equal text are one class, represented by its earliest line, so copies never meet each other. Near copies would:
 all pairs of a group of thousands. Therefore each class is first compared with the earliest classes of the same
@@ -15,6 +15,7 @@ which a group of near copies has few. No pair of a class with its earliest match
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
@@ -26,13 +27,15 @@ from .common import Scratch, id_filter
 SIMILARITY = Fraction(4, 5)
 #: Hashed counters of words: the table that orders tokens by rarity has so many entries, whatever the input.
 COUNTERS = 1 << 17
+#: Sets of at most so many tokens need no more than 64 bits of parity to tell most pairs apart.
+ONE_PARITY = 80
 _AT = ("doc_id", "line_no")
 
 
 def _spaced(text: Column) -> Column:
-    """The text with all white space as blanks; most texts have no other, which a search for each tells soonest."""
+    """The line with all white space as blanks; most lines have no other, which a search for each tells soonest."""
     other = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\f"))
-    return F.replace(F.when(other, F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text), F.lit("\n"), F.lit(" "))
+    return F.when(other, F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text)
 
 
 def _words(text: str) -> Column:
@@ -67,7 +70,7 @@ def _need(a: str, b: str, t: Fraction) -> str:
 
 def _described(texts: DataFrame, t: Fraction) -> DataFrame:
     """Each line with words: its place, two digests of its text, the size n of its token set, the least and greatest
-    token hash, two halves of a parity of all tokens and the tokens of its prefix, rarest first."""
+    token hash, a parity of all tokens and of one half of them, and the tokens of its prefix, rarest first."""
     rare = _rarity(texts)
     key = lambda h: F.shiftleft(
         F.get(rare, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
@@ -76,16 +79,17 @@ def _described(texts: DataFrame, t: Fraction) -> DataFrame:
     keyed = lines.select(
         *_AT, "h1", "h2", F.array_min("hashes").alias("low"), F.array_max("hashes").alias("high"), F.sort_array(F.transform("hashes", key)).alias("keys"))
 
-    def parity(half: int) -> Column:
-        """Each token flips one of 128 bits: the one that six bits of it name, in the half that a seventh names."""
-        mine = lambda k: F.shiftright(k, 6).bitwiseXOR(F.lit(1 - half)).bitwiseAND(F.lit(1)).cast("bigint")
-        flip = lambda k: F.call_function("shiftleft", mine(k), k.bitwiseAND(F.lit(63)).cast("int"))
+    def parity(flips: Callable[[Column], Column]) -> Column:
+        """Each token for which flips() is 1, not 0, flips the bit that six bits of it name."""
+        flip = lambda k: F.call_function("shiftleft", flips(k), k.bitwiseAND(F.lit(63)).cast("int"))
         return F.aggregate("keys", F.lit(0).cast("bigint"), lambda sofar, k: sofar.bitwiseXOR(flip(k)))
 
     size = "cast(size(keys) as bigint)"
+    half = parity(lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)).cast("bigint"))
     prefix = F.expr(f"slice(keys, 1, cast({size} - (({size} * {t.numerator} + {t.denominator - 1}) div {t.denominator}) + 1 as int))")
     return keyed.select(
-        *_AT, "h1", "h2", "low", "high", F.expr(size).alias("n"), parity(0).alias("bits"), parity(1).alias("more_bits"),
+        *_AT, "h1", "h2", "low", "high", F.expr(size).alias("n"),
+        parity(lambda k: F.lit(1).cast("bigint")).alias("bits"), F.when(F.expr(f"{size} > {ONE_PARITY}"), half).alias("half_bits"),
         F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("rare"))
 
 
@@ -94,17 +98,19 @@ def _lengths_match(a: str, b: str, t: Fraction) -> str:
 
 
 def _parities_match(a: str, b: str, t: Fraction) -> str:
-    """Two sets differ by at least as many tokens as their parities differ by bits, both halves together."""
+    """Two sets differ by at least as many tokens as their parities differ by bits: of two larger sets, those of one half of
+    the tokens and of the other, which is what the half leaves of the whole; else those of all tokens."""
     most = f"{a}.n + {b}.n - 2 * {_need(f'{a}.n', f'{b}.n', t)}"
-    return f"bit_count({a}.bits ^ {b}.bits) + bit_count({a}.more_bits ^ {b}.more_bits) <= {most}"
+    half, whole = f"({a}.half_bits ^ {b}.half_bits)", f"({a}.bits ^ {b}.bits)"
+    return f"coalesce(bit_count({half}) + bit_count({half} ^ {whole}), bit_count({whole})) <= {most}"
 
 
 def _by_sketch(classes: DataFrame, t: Fraction) -> DataFrame:
     """Pairs of a class and the earliest one with an equal sketch."""
     sketches = F.array("low", "high", *(F.get("rare", i).cast("bigint") for i in range(3)))
-    keyed = classes.select(*_AT, "n", "bits", "more_bits", F.explode(sketches).alias("sketch")).where("sketch is not null")
+    keyed = classes.select(*_AT, "n", "bits", "half_bits", F.explode(sketches).alias("sketch")).where("sketch is not null")
     # Partial aggregates: of a large group one row leaves each task.
-    heads = keyed.groupBy("sketch").agg(F.min(F.struct(*_AT, "n", "bits", "more_bits")).alias("head"), F.count("*").alias("members")).where("members > 1")
+    heads = keyed.groupBy("sketch").agg(F.min(F.struct(*_AT, "n", "bits", "half_bits")).alias("head"), F.count("*").alias("members")).where("members > 1")
     heads = heads.select("sketch", "head.*")
     return keyed.alias("y").join(heads.alias("x"), F.expr(
         "y.sketch = x.sketch and (x.doc_id < y.doc_id or (x.doc_id = y.doc_id and x.line_no < y.line_no)) and "
@@ -117,7 +123,7 @@ def _by_prefix(classes: DataFrame, t: Fraction) -> DataFrame:
 
     At the first token that two sets share, the overlap is at most one plus the shorter rest; a pair that matches passes there.
     """
-    postings = classes.select(*_AT, "x_doc_id", "x_line_no", "n", "bits", "more_bits", F.posexplode("rare").alias("pos", "token"))
+    postings = classes.select(*_AT, "x_doc_id", "x_line_no", "n", "bits", "half_bits", F.posexplode("rare").alias("pos", "token"))
     # A class's own limit never lies behind it, so the second line only says to Spark that both sides are one shuffle.
     return postings.alias("y").join(postings.alias("x"), F.expr(
         "y.token = x.token and (x.doc_id < y.x_doc_id or (x.doc_id = y.x_doc_id and x.line_no < y.x_line_no))"
@@ -158,21 +164,17 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
     t = similarity
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     scratch = Scratch(documents.sparkSession)
-    payload = ("n", "bits", "more_bits", "low", "high", "rare")
+    payload = ("n", "bits", "half_bits", "low", "high", "rare")
     classes = _described(texts, t).groupBy("h1", "h2").agg(F.min(F.struct(*_AT)).alias("at"), F.count("*").alias("members"), *(F.any_value(c).alias(c) for c in payload))
     classes = scratch.keep(classes.select("h1", "h2", "at.*", "members", *payload), "classes")
     early = scratch.keep(_verified(scratch.keep(_by_sketch(classes, t), "sketch"), texts, t), "early")
-    pairs = scratch.keep(_by_prefix(_limited(classes.select(*_AT, "n", "bits", "more_bits", "rare"), early), t), "prefix")
-    # Most classes match the first of their candidates, which then is their earliest match; only of others the rest is verified.
-    firsts = pairs.groupBy(*_AT).agg(F.min(F.struct("x_doc_id", "x_line_no")).alias("x"))
-    earlier = scratch.keep(_verified(firsts.select(*_AT, "x.*"), texts, t), "earlier")
-    rest = pairs.join(firsts, [*_AT]).where(F.struct("x_doc_id", "x_line_no") != F.col("x")).drop("x").join(earlier, [*_AT], "left_anti")
-    later = scratch.keep(_verified(scratch.keep(rest, "rest"), texts, t), "later")
-    near = early.union(earlier).union(later).groupBy(*_AT).agg(F.min(F.struct("x_doc_id", "x_line_no", "similarity")).alias("near"))
+    pairs = scratch.keep(_by_prefix(_limited(classes.select(*_AT, "n", "bits", "half_bits", "rare"), early), t), "prefix")
+    later = scratch.keep(_verified(pairs, texts, t), "later")
+    near = early.union(later).groupBy(*_AT).agg(F.min(F.struct("x_doc_id", "x_line_no", "similarity")).alias("near"))
     # Only classes that lose a line; the filter spares moving most other lines.
     known = classes.select("h1", "h2", *_AT, "members").join(near, [*_AT], "left").where("members > 1 or near is not null")
     known = scratch.keep(known.select("h1", "h2", F.struct(*_AT).alias("first"), "near"), "known")
-    for name in ("sketch", "early", "prefix", "earlier", "rest", "later", "classes"):
+    for name in ("sketch", "early", "prefix", "later", "classes"):
         scratch.drop(name)
     lines = _lines(texts).select(F.struct(*_AT).alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).where(id_filter(known, "h1", "h2"))
     gone = lines.join(known, ["h1", "h2"]).where("at <> first or near is not null")
