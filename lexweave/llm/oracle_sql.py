@@ -91,6 +91,52 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, CAST(component_id AS BIGINT) AS component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id"""
 
+
+def _least_edits() -> str:
+    """The recursive part of OP11: each signature's row after row, with the least (cost, edits) for each place in the grammar s0 to s3."""
+    add = lambda x, cost, edits: f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{edits}'}}"
+    some = lambda x, cost, edits: f"CASE WHEN {x} IS NOT NULL THEN {add(x, cost, edits)} END"
+    least = lambda *offers: f"list_min([{', '.join(offers)}])"
+    user = least("s2", *(some(x, 2, "I") for x in ("s0", "s1", "s3")), some("s2", 4, "II"))
+    assistant = least("s3", some("s2", 2, "I"), *(some(x, 4, "II") for x in ("s0", "s1", "s3")))
+
+    def to(kept: str, sources: tuple[str, ...], target: str) -> str:
+        keep = [f"CASE WHEN {x} IS NOT NULL AND low = '{kept}' THEN {add(x, 'late', 'K')} END" for x in sources]
+        rerole = [f"CASE WHEN {x} IS NOT NULL AND low <> 'x' THEN {add(x, '2 + late', 'R')} END" for x in sources if kept != "s"]
+        return least(some(target, 3, "D"), *keep, *rerole)
+
+    inserted = f"""SELECT sig, i, s0 AS e0, s1 AS e1, {user} AS e2, {assistant} AS e3, lower(sig[i + 1]) AS low,
+    CASE WHEN sig[i + 1] <> lower(sig[i + 1]) THEN 1 ELSE 0 END AS late FROM r WHERE i < length(sig)"""
+    return f"""SELECT sig, i + 1, {some('e0', 3, 'D')}, {to('s', ('e0',), 'e1')}, {to('u', ('e0', 'e1', 'e3'), 'e2')}, {to('a', ('e2',), 'e3')} FROM ({inserted})"""
+
+
+_STATE = "STRUCT(c INTEGER, a VARCHAR)"
+OP11 = rf"""WITH RECURSIVE k AS (SELECT list(v ORDER BY n) AS t FROM
+  (SELECT n, list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS v FROM range(256) x(n))),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(unicode(x) AS BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 20 AS how FROM conversations, k),
+g AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+  CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) FROM h WHERE how <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM g),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS shown FROM p),
+f AS (SELECT *, CASE WHEN shown = '' THEN 3 WHEN seen > 1 THEN 2 WHEN shown[-1] NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault FROM q),
+s AS (SELECT conv_id, string_agg(CASE WHEN fault >= 2 THEN 'x' WHEN fault = 1 THEN upper(l) ELSE l END, '' ORDER BY i) AS sig, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+  count(*) FILTER (fault = 3) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS l FROM f) GROUP BY conv_id),
+r AS (SELECT DISTINCT sig, 0 AS i, CAST({{'c': 0, 'a': ''}} AS {_STATE}) AS s0, CAST(NULL AS {_STATE}) AS s1, CAST(NULL AS {_STATE}) AS s2, CAST(NULL AS {_STATE}) AS s3 FROM s
+  UNION ALL {_least_edits()}),
+b AS (SELECT sig, list_min([s0, s3, CASE WHEN s1 IS NOT NULL THEN {{'c': s1.c + 4, 'a': s1.a || 'II'}} END, CASE WHEN s2 IS NOT NULL THEN {{'c': s2.c + 2, 'a': s2.a || 'I'}} END]) AS best FROM r WHERE i = length(sig)),
+c AS (SELECT s.*, best.c AS cost, best.a AS audit FROM s JOIN b USING (sig)),
+e AS (SELECT conv_id, sig, audit, unnest(range(1, length(audit) + 1)) AS j FROM c WHERE audit <> ''),
+n AS (SELECT conv_id, j, audit[j] AS edit, length(replace(audit[:j], 'I', '')) AS i, length(replace(audit[:j], 'D', '')) - CASE WHEN regexp_matches(audit, '^D*K') AND lower(sig[length(regexp_extract(audit, '^D*')) + 1]) = 's' THEN 1 ELSE 0 END AS o, FROM e WHERE audit[j] <> 'D'),
+t AS (SELECT n.conv_id, sha256(string_agg(CASE edit WHEN 'K' THEN f.role ELSE CASE WHEN o % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE f.text END, chr(10) ORDER BY j)) AS digest
+  FROM n LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM n.conv_id AND f.i = n.i GROUP BY n.conv_id)
+SELECT d.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
 ORACLE_SQL = {
+    "op11_conversation_repair": OP11,
     "op2_chat_format": OP2, "op3_line_dedup": OP3, "op4_mixing": mixing_sql(mixing.PLAN), "op6_ngram_join": OP6, "op7_url_filter": OP7, "op8_embedding_dedup": OP8,
 }

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, quality_crf, substring_dedup, url_filter
+from . import chat_format, conversation_repair, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, quality_crf, substring_dedup, url_filter
 from .common import table
 from .oracle_sql import ORACLE_SQL as ORACLE_SQL
 
@@ -68,6 +68,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return conversation_repair.repair_digests(conversation_repair.repair_conversations(damaged))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,6 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality, op2_chat_format, op3_line_dedup, op4_mixing, op5_fingerprints, op6_ngram_join, op7_url_filter, op8_embedding_dedup,
-        op9_substring_dedup, op10_packing, pipeline,
+        op9_substring_dedup, op10_packing, op11_conversation_repair, pipeline,
     )
 }

@@ -183,7 +183,7 @@ def test_op3_every_partner_in_hot_groups(spark, threshold):
 def test_op3_no_line_pairs_with_itself(spark):
     """A class that stands twice in a group, as two of its words share 31 bits."""
     rows = [(1, 0, 1, 0, 10, 7, 7, [5, 5, 6]), (2, 3, 2, 3, 10, 7, 7, [5, 5, 6])]
-    classes = spark.createDataFrame(rows, "doc_id long, line_no int, x_doc_id long, x_line_no int, n long, bits long, more_bits long, rare array<int>")
+    classes = spark.createDataFrame(rows, "doc_id long, line_no int, x_doc_id long, x_line_no int, n long, bits long, half_bits long, rare array<int>")
     assert {tuple(r) for r in line_dedup._by_prefix(classes, Fraction(4, 5)).collect()} == {(2, 3, 1, 0)}
 
 
