@@ -136,7 +136,36 @@ SELECT d.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank
   CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM d.conv_id"""
 
+
+def _in_either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_KEYS = "|".join(map(_in_either_case, ("password", "passwd", "secret", "token", "api_?key")))
+#: Kind, what stands before the measured part, the measured part, its least length.
+_SECRETS = [
+    ("assign", f"""({_KEYS})["'']?\\x20*[:=]\\x20*["'']?""", "[A-Za-z0-9+/_.=-]+", 8), ("access", "", "AKIA[A-Z0-9]+", 16), ("hex", "", "[0-9a-f]+", 32),
+    ("github", "gh[pousr]_", "[A-Za-z0-9]+", 36), ("slack", "xox[abprs]-", "[A-Za-z0-9-]+", 10), ("google", "AIza", "[A-Za-z0-9_-]+", 35),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.", "[A-Za-z0-9_-]+", 10),
+]
+
+
+def _found(k: int, kind: str, before: str, part: str, least: int) -> str:
+    return f"""SELECT id, {k} AS k, '{kind}' AS kind, m, gap, i FROM (SELECT id, unnest(ms) AS m, unnest(gs[:len(ms)]) AS gap, generate_subscripts(ms, 1) AS i
+  FROM (SELECT id, regexp_extract_all(text, '{before}{part}') AS ms, string_split_regex(text, '{before}{part}') AS gs FROM t))"""
+
+
+_MEASURED = " ".join(f"WHEN {k} THEN length(m) - length(regexp_extract(m, '^{before}')) >= {least}" for k, (_, before, _, least) in enumerate(_SECRETS))
+OP12 = f"""WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({' UNION ALL '.join(_found(k, *rule) for k, rule in enumerate(_SECRETS))}),
+p AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY id, k ORDER BY i) AS stop FROM f),
+s AS (SELECT id, k, kind, CAST(stop - length(m) AS BIGINT) AS start, kind || ':' || CAST(stop - length(m) AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM p WHERE CASE k {_MEASURED} END),
+g AS (SELECT id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  string_agg(span, ',' ORDER BY start, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY start, k) AS spans FROM s GROUP BY id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (id)"""
+
 ORACLE_SQL = {
+    "op12_secret_scan": OP12,
     "op11_conversation_repair": OP11,
     "op2_chat_format": OP2, "op3_line_dedup": OP3, "op4_mixing": mixing_sql(mixing.PLAN), "op6_ngram_join": OP6, "op7_url_filter": OP7, "op8_embedding_dedup": OP8,
 }
