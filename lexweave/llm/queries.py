@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, conversation_repair, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, quality_crf, secret_scan, substring_dedup, url_filter
+from . import chat_format, collocations, conversation_repair, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, quality_crf, secret_scan, substring_dedup, url_filter
 from .common import table
 from .oracle_sql import ORACLE_SQL as ORACLE_SQL
 
@@ -77,6 +77,10 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digests(secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,6 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality, op2_chat_format, op3_line_dedup, op4_mixing, op5_fingerprints, op6_ngram_join, op7_url_filter, op8_embedding_dedup,
-        op9_substring_dedup, op10_packing, op11_conversation_repair, op12_secret_scan, pipeline,
+        op9_substring_dedup, op10_packing, op11_conversation_repair, op12_secret_scan, op13_collocations, pipeline,
     )
 }

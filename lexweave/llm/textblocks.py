@@ -75,10 +75,18 @@ def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words, and the bytes at which they begin; texts begin at `at`."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return separated(data, at, _SPACE)[:2]
+
+
+def separated(data: np.ndarray, at: np.ndarray, apart: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of what stands between the bytes marked in `apart` (256 flags), A-Z lower-cased, and the bytes at which each begins and ends.
+
+    Texts begin at `at`. Each seed gives other hashes.
+    """
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(data):
         return none
-    word = ~_SPACE[data]
+    word = ~apart[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
@@ -93,13 +101,13 @@ def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.zeros(len(data) + 8, np.uint8)
     np.take(_LOWER, data, out=padded[:-8])
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    hashes = mix((lengths.astype(np.uint64) * _PLACE[0]) ^ (eight[begins] & _MASK[np.minimum(lengths, 8)]))
+    hashes = mix((lengths.astype(np.uint64) * (_PLACE[0] ^ np.uint64(seed << 1))) ^ (eight[begins] & _MASK[np.minimum(lengths, 8)]))
     done, more = 8, np.flatnonzero(lengths > 8)
     while len(more):
         left = lengths[more] - done
         hashes[more] = mix(hashes[more] ^ (eight[begins[more] + done] & _MASK[np.minimum(left, 8)]))
         done, more = done + 8, more[left > 8]
-    return hashes, begins
+    return hashes, begins, ends
 
 
 def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
