@@ -19,10 +19,10 @@ from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_filter
+from .common import Scratch, id_filter, settle
 
 SIMILARITY = Fraction(4, 5)
 #: Hashed counters of words: the table that orders tokens by rarity has so many entries, whatever the input.
@@ -48,9 +48,27 @@ def _hashes(text: str) -> Column:
     return F.array_except(F.transform(_words(text), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
 
 
+def _texts(documents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, text, base of rows that have both; and doc_id, digest, base of the texts whose ids have several rows, if there are any.
+
+    base numbers the lines of different texts with one id on, in the order of the texts' digests, so a place (doc_id,
+    line number) means one line. Ids that come more than once are found without reading texts.
+    """
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    several = settle(texts.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    if several.isEmpty():
+        return texts.withColumn("base", F.lit(0).cast("long")), None
+    before = Window.partitionBy("doc_id").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    different = texts.join(several, "doc_id", "left_semi").groupBy("doc_id", F.sha2("text", 256).alias("digest")).agg(F.max(F.size(F.split("text", "\n", -1))).alias("lines"))
+    numbered = settle(different.select("doc_id", "digest", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("base")))
+    placed = texts.withColumn("digest", F.sha2("text", 256)).join(numbered, ["doc_id", "digest"], "left")
+    return placed.select("doc_id", "text", F.coalesce("base", F.lit(0)).alias("base")), numbered
+
+
 def _lines(texts: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line."""
-    return texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """doc_id, base, line_no (from base), line."""
+    lines = texts.select("doc_id", "base", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    return lines.select("doc_id", "base", (F.col("base") + F.col("at")).alias("line_no"), "line")
 
 
 def _rarity(texts: DataFrame) -> Column:
@@ -157,13 +175,18 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
     """One row a line that goes: doc_id, line_no (from 0), kept_doc_id, kept_line_no, similarity.
 
     kept_...: the earliest line that is similar enough; it may have gone for a still earlier one. Lines without words
-    (blank ones) are never repeats. Null texts have no lines; rows without an id are left out; of rows with equal ids
-    the lines of equal numbers and texts count as one occurrence. An empty table gives an empty one. Lines are
-    split at \\n; a line of any length is taken whole. Columns beside doc_id and text play no part.
+    (blank ones) are never repeats. Null texts have no lines; rows without an id are left out; rows of equal id and text
+    count as one; different texts of one id have their lines numbered on, in the order of the texts' digests. An empty
+    table gives an empty one. Lines are split at \\n; a line of any length is taken whole. Columns beside doc_id and
+    text play no part.
     """
-    t = similarity
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    scratch = Scratch(documents.sparkSession)
+    found = _repeated(_texts(documents)[0], similarity)
+    return found.select("doc_id", *(F.col(c).cast("int").alias(c) if c.endswith("line_no") else c for c in ("line_no", "kept_doc_id", "kept_line_no", "similarity")))
+
+
+def _repeated(texts: DataFrame, t: Fraction) -> DataFrame:
+    """repeated_lines() of numbered texts, with each line's base."""
+    scratch = Scratch(texts.sparkSession)
     payload = ("n", "bits", "half_bits", "low", "high", "rare")
     classes = _described(texts, t).groupBy("h1", "h2").agg(F.min(F.struct(*_AT)).alias("at"), F.count("*").alias("members"), *(F.any_value(c).alias(c) for c in payload))
     classes = scratch.keep(classes.select("h1", "h2", "at.*", "members", *payload), "classes")
@@ -176,20 +199,28 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
     known = scratch.keep(known.select("h1", "h2", F.struct(*_AT).alias("first"), "near"), "known")
     for name in ("sketch", "early", "prefix", "later", "classes"):
         scratch.drop(name)
-    lines = _lines(texts).select(F.struct(*_AT).alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).where(id_filter(known, "h1", "h2"))
+    lines = _lines(texts).select(F.struct(*_AT).alias("at"), "base", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).where(id_filter(known, "h1", "h2"))
     gone = lines.join(known, ["h1", "h2"]).where("at <> first or near is not null")
     kept = F.coalesce(F.col("near"), F.struct(F.col("first.doc_id").alias("x_doc_id"), F.col("first.line_no").alias("x_line_no"), F.lit(1.0).alias("similarity")))
-    return gone.select("at.*", kept["x_doc_id"].alias("kept_doc_id"), kept["x_line_no"].alias("kept_line_no"), kept["similarity"].alias("similarity")).distinct()
+    return gone.select("at.*", "base", kept["x_doc_id"].alias("kept_doc_id"), kept["x_line_no"].alias("kept_line_no"), kept["similarity"].alias("similarity")).distinct()
 
 
 def dedup_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     """The documents without their repeated lines; other columns as they are.
 
-    A document that lost all its lines with words goes; one that had none stays.
+    A document that lost all its lines with words goes; one that had none stays, as do rows without an id or a text.
+    Rows of equal id and text are cut alike; of different texts with one id each loses its own lines.
     """
-    own = {"id": "_lexweave_id", "gone": "_lexweave_gone", "text": "_lexweave_text"}  # names that no table has
-    gone = repeated_lines(documents, similarity).groupBy(F.col("doc_id").alias(own["id"])).agg(F.collect_set("line_no").alias(own["gone"]))
-    joined = documents.join(gone, F.col("doc_id").cast("long") == F.col(own["id"]), "left")
+    own = {c: f"_lexweave_{c}" for c in ("id", "gone", "text", "digest")}  # names that no table has
+    texts, numbered = _texts(documents)
+    gone = _repeated(texts, similarity).groupBy("doc_id", "base").agg(F.collect_set((F.col("line_no") - F.col("base")).cast("int")).alias(own["gone"]))
+    same = F.col("doc_id").cast("long") == F.col(own["id"])
+    if numbered is None:
+        gone = gone.select(F.col("doc_id").alias(own["id"]), own["gone"])
+    else:
+        gone = gone.join(numbered, ["doc_id", "base"], "left").select(F.col("doc_id").alias(own["id"]), F.col("digest").alias(own["digest"]), own["gone"])
+        same &= F.col(own["digest"]).isNull() | (F.col(own["digest"]) == F.sha2(F.col("text").cast("string"), 256))
+    joined = documents.join(gone, same, "left")
     # The numbers of the lines that stay, found by hashing, then the lines themselves.
     lines = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own["gone"]))

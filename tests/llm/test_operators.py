@@ -228,6 +228,31 @@ def test_op3_odd_rows(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_op3_one_id_with_different_texts(spark):
+    """Lines belong to rows, not to ids: what resembles nothing stays."""
+    rows = [(0, "alpha beta gamma delta epsilon zeta"), (1, "alpha beta gamma delta epsilon zeta eta"), (1, "one two three four five six seven"), (1, "one two three four five six seven"),
+            (2, "first line here\nalpha beta gamma delta epsilon zeta"), (2, "second line there\none two three four five six seven"), (2, "own words only"), (None, "own words only"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS base", "'x' AS digest").repartition(3)
+    left = sorted(((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect()), key=str)
+    assert left == sorted([(0, rows[0][1]), (1, rows[2][1]), (1, rows[2][1]), (2, "first line here"), (2, "second line there"), (2, "own words only"), (None, "own words only"), (2, None)], key=str)
+
+
+def test_op9_one_id_with_different_texts(spark):
+    passage = "This passage of quite a few words stands in two rows of one id."
+    rows = [(0, passage), (1, f"Before it. {passage} After it."), (1, "x" * 400), (1, f"Other words. {passage}"), (1, f"Other words. {passage}"), (None, passage), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _cuts", "'x' AS text_id").repartition(3)
+    left = substring_dedup.remove_passages(docs, 5)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted(
+        [(0, passage), (1, "Before it.  After it."), (1, "x" * 400), (1, "Other words. "), (1, "Other words. "), (None, passage), (2, None)], key=str)
+
+
+def test_op8_one_id_with_different_vectors(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (4, [0.0, 1.0]), (7, [-1.0, 0.0]), (None, [-1.0, 0.0])]
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit("a")))
+    assert sorted((tuple(r)[:3] for r in found.collect()), key=str) == sorted([(5, 1, 5), (5, 1, 4), (6, 1, 5), (4, 1, 4), (7, 1, 7), (None, 1, 7)], key=str)
+
+
 def brute_passages(texts, least):
     seen, out = {}, []
     for d, t in enumerate(texts):
