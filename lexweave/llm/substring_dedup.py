@@ -22,7 +22,7 @@ from .textblocks import slices
 
 MIN_WORDS = 25
 _UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?=\s|$)|[.!?]+|\n|$)")
-_SCHEMA = "doc_id long, unit int, start int, stop int, words int, digest binary"
+_SCHEMA = "doc_id long, text_id long, unit int, start int, stop int, words int, digest binary"
 
 
 def units_of(text: str) -> list[tuple[int, int, int, bytes]]:
@@ -48,50 +48,65 @@ def units_of(text: str) -> list[tuple[int, int, int, bytes]]:
 
 
 def document_units(documents: DataFrame) -> DataFrame:
-    """(doc_id, unit, start, stop, words, digest) of all units; null texts have none, rows without an id are left out."""
+    """(doc_id, text_id, unit, start, stop, words, digest) of all units; null texts have none, rows without an id are left out.
+
+    text_id is a hash of the text, which tells different texts of one id apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
-                rows = [(d, i, *u) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()) for i, u in enumerate(units_of(t or ""))]
-                cols = list(zip(*rows)) if rows else [[]] * 6
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "unit", "start", "stop", "words", "digest"])
+                columns = (part.column(c).to_pylist() for c in ("doc_id", "text_id", "text"))
+                rows = [(d, h, i, *u) for d, h, t in zip(*columns) for i, u in enumerate(units_of(t or ""))]
+                cols = list(zip(*rows)) if rows else [[]] * 7
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "text_id", "unit", "start", "stop", "words", "digest"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, _SCHEMA)
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text")).where("doc_id is not null").mapInArrow(run, _SCHEMA)
 
 
 def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row a removed passage: doc_id, start, stop, words, units, kept_doc_id, kept_start.
 
     start and stop are code points of the document's own text; kept_doc_id and kept_start tell where the earliest
-    occurrence of the passage's first unit stands. Of rows with equal ids and texts each is kept or cut alike. A
-    repeat within one document counts too. Empty and null texts give nothing, an empty table an empty one.
+    occurrence of the passage's first unit stands. Rows of equal id and text are kept or cut alike and count once; different
+    texts of one id are documents of their own, in the order of a hash of the text. A repeat within one document
+    counts too. Empty and null texts give nothing, an empty table an empty one.
     """
+    return _passages(documents, min_words).drop("text_id")
+
+
+def _passages(documents: DataFrame, min_words: int) -> DataFrame:
+    """repeated_passages() with text_id."""
     units = document_units(documents)
+    place = F.struct("doc_id", "text_id", "unit", "start")
     # Only digests that occur again matter; the aggregate is partial, so a unit's copies meet before the shuffle.
     # Settled, so that Spark can split the partition of a very frequent unit in the join.
-    again = settle(units.groupBy("digest").agg(F.min(F.struct("doc_id", "unit", "start")).alias("first"), F.max(F.struct("doc_id", "unit")).alias("last")).where(
-        (F.col("first.doc_id") != F.col("last.doc_id")) | (F.col("first.unit") != F.col("last.unit"))).select("digest", "first"))
-    later = units.join(again, "digest").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("unit") != F.col("first.unit")))
+    again = settle(units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first"))
+    later = units.join(again, "digest").where(place != F.col("first"))
     # Neighbouring units have the same difference of unit and rank.
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("unit", "start", "stop"))
-    runs = later.dropDuplicates(["doc_id", "unit", "start", "stop"]).withColumn("run", F.col("unit") - rank)
+    rank = F.row_number().over(W.partitionBy("doc_id", "text_id").orderBy("unit", "start", "stop"))
+    runs = later.dropDuplicates(["doc_id", "text_id", "unit", "start", "stop"]).withColumn("run", F.col("unit") - rank)
     return (
-        runs.groupBy("doc_id", "run")
+        runs.groupBy("doc_id", "text_id", "run")
         .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").cast("long").alias("words"), F.count("*").alias("units"),
              F.min(F.struct("unit", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))).alias("kept"))
         .where(F.col("words") >= min_words)
-        .select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "words", "units",
+        .select("doc_id", "text_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "words", "units",
                 F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").cast("long").alias("kept_start"))
     )
 
 
 def remove_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with repeated passages cut out of text; all other columns as they are, nothing left out."""
-    cuts = repeated_passages(documents, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
-    ends = F.concat(F.transform("_cuts", lambda c: c["start"]), F.array(F.length("text").cast("long")))
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cuts", lambda c: c["stop"]))
+    own = {c: f"_lexweave_{c}" for c in ("id", "text_id", "cuts")}  # names that no table has
+    cuts = _passages(documents, min_words).groupBy(F.col("doc_id").alias(own["id"]), F.col("text_id").alias(own["text_id"])).agg(
+        F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(own["cuts"]))
+    ends = F.concat(F.transform(own["cuts"], lambda c: c["start"]), F.array(F.length("text").cast("long")))
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(own["cuts"], lambda c: c["stop"]))
     kept = F.array_join(F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda z: F.substring(
         F.col("text"), (z["a"] + 1).cast("int"), (z["b"] - z["a"]).cast("int"))), "")
-    return documents.join(cuts, "doc_id", "left").withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(kept)).select(*documents.columns)
+    same = (F.col("doc_id").cast("long") == F.col(own["id"])) & (F.xxhash64(F.col("text").cast("string")) == F.col(own["text_id"]))
+    cut = F.when(F.col(own["cuts"]).isNull(), F.col("text")).otherwise(kept).alias("text")
+    return documents.join(cuts, same, "left").select(*[cut if c == "text" else F.col(c) for c in documents.columns])
