@@ -40,7 +40,7 @@ def usable(embedding):
 def draw_pivots(entries: DataFrame, n: int, seed: int = SEED) -> np.ndarray:
     """Unit vectors of a seeded sample of entries of the most frequent dimension: about sqrt(n) of them."""
     count = min(MOST_PIVOTS, max(LEAST_PIVOTS, ceil(sqrt(n))))
-    rows = entries.orderBy(F.xxhash64(F.lit(seed), "entry"), "entry").select("embedding").limit(count).collect()
+    rows = entries.orderBy(F.xxhash64(F.lit(seed), "least"), "least", "digest").select("embedding").limit(count).collect()
     vectors = [np.array(r[0], np.float64) for r in rows]
     size = max((len(v) for v in vectors), key=[len(v) for v in vectors].count, default=0)
     vectors = [v for v in vectors if len(v) == size]
@@ -137,19 +137,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, nearest: i
 
     Vectors are compared if their labels are equal and not null. Null or zero vectors and those with a null or
     non-finite component link with nothing; so do vectors of different dimensions with each other. Repeated rows of one vec_id are
-    vectors of their own, which link as copies do. Other columns are left out; an empty table gives an empty one.
+    vectors of their own: equal ones link as copies do, different ones as their cosine says. Other columns are left out; an empty table gives an empty one.
     """
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     good = base.where(usable(F.col("embedding")) & F.col("label").isNotNull())
     # Copies collapse in a partial aggregate by a digest of label and components.
     digest = F.sha2(F.to_json(F.struct("label", "embedding")), 256)
     keyed = good.withColumn("digest", digest)
-    classes = keyed.groupBy("digest").agg(F.min("vec_id").alias("entry"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    entries = settle(classes.select("digest", "entry", "copies", "label", "embedding"))
+    classes = keyed.groupBy("digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    # Numbered, as different vectors may share a vec_id; the numbers that are written stay.
+    entries = settle(classes.withColumn("entry", F.monotonically_increasing_id()).select("digest", "entry", "least", "copies", "label", "embedding"))
     pivots = draw_pivots(entries, entries.count())
     if not len(pivots):
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    described = describe(entries.drop("digest"), pivots, nearest)
+    described = describe(entries.drop("digest", "least"), pivots, nearest)
     listed = settle(described.select("entry", "copies", "label", "embedding", "near", F.explode("near").alias("pivot")))
     blocks = listed.groupBy("label", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     # An entry of block c meets all blocks: c is the first of the pair, or the second.
@@ -162,11 +163,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, nearest: i
     found = settle(tiles.groupBy("label", "pivot", "one", "two").applyInPandas(lambda pdf: _tile(pdf, threshold, shared), "a long, b long, links long, edge boolean"))
     counts = found.where("not edge").groupBy(F.col("a").alias("entry")).agg(F.sum("links").alias("links"))
     components = connected_components(found.where("edge").select("a", "b"))
-    known = (
-        entries.select("digest", "entry", "copies").join(counts, "entry", "left")
-        .join(components.withColumnRenamed("node", "entry"), "entry", "left")
-        .select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "entry").alias("component_id"))
+    placed = (
+        entries.select("digest", "entry", "least", "copies").join(counts, "entry", "left")
+        .join(components.withColumnRenamed("node", "entry"), "entry", "left").withColumn("component", F.coalesce("component", "entry"))
     )
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = placed.join(named, "component").select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = keyed.select("vec_id", "digest").join(known, "digest").select("vec_id", "n_links", "component_id")
     alone = base.where(~(F.coalesce(usable(F.col("embedding")), F.lit(False)) & F.col("label").isNotNull())).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
