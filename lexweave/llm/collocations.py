@@ -283,6 +283,7 @@ def collocations(documents: DataFrame, least: int = 100, top: int = 2000, bucket
     spelt = left.select("*", F.posexplode("words").alias("pos", "id")).join(frequent.select("id", "word"), "id")
     named = spelt.groupBy("words", "lang", "a", "n", "l", "r", "score").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("spelling"))
     phrase = F.array_join(F.transform("spelling", lambda x: x["word"]), " ").alias("phrase")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    # Spark keeps each task's first `top` rows of a language before it brings them together.
     ranked = named.select("lang", phrase, "a", "l", "r", "n", "score").withColumn("rank", rank).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

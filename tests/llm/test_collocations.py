@@ -63,8 +63,11 @@ def test_against_brute_force(spark, rows, options):
 
 
 def test_ranks_end_at_the_top(spark, rows):
+    """The first rows are chosen before languages come together, so no task gets all of a language."""
     df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
     assert found(df, least=6, top=5) == brute(rows, 6, 5)
+    plan = co.collocations(df, least=6, top=5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
 
 
 def test_empty_and_nothing_frequent(spark, rows):
