@@ -315,9 +315,17 @@ def turn_similarity(spark, sf_dir):
     return turns.select("conv_id", "turn", compare.similarity("text", "following").alias("similarity"), F.size(compare.line_diff("text", "following")).cast("long").alias("differences"))
 
 
-@query()
+_LIFE = "(PARTITION BY session_id, life ORDER BY seq, op, moment, data ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+@query(f"""WITH o AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'create' WHEN 'purchase' THEN 'update' WHEN 'logout' THEN 'delete' ELSE 'get' END AS op,
+  epoch_us(CAST(ts AS TIMESTAMP)) / 1e6 AS moment, props AS data FROM events),
+l AS (SELECT *, sum((op = 'create')::INT) OVER (PARTITION BY session_id ORDER BY seq, op, moment, data ROWS UNBOUNDED PRECEDING) AS life FROM o),
+k AS (SELECT *, life > 0 AND NOT coalesce(bool_or(op = 'delete') OVER (PARTITION BY session_id, life ORDER BY seq, op, moment, data ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
+  AND max(moment) OVER {_LIFE} <= first(moment) OVER {_LIFE} + 3600 AS ok, last_value(CASE WHEN op IN ('create', 'update') THEN data END IGNORE NULLS) OVER {_LIFE} AS held FROM l)
+SELECT session_id, seq, op, ok, CASE WHEN ok AND op <> 'delete' THEN held END AS data FROM k""")
 def review_sessions(spark, sf_dir):
-    """Session operations from events: errors create, purchases update, others read; a session is a user's."""
+    """Session operations from events: errors create, purchases update, logouts delete, others read; a session is a user's."""
     op = F.when(F.col("event_type") == "error", "create").when(F.col("event_type") == "purchase", "update").when(F.col("event_type") == "logout", "delete").otherwise("get")
     ops = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), op.alias("op"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("props").alias("data"))
     return jobs.session_states(ops.withColumn("at", F.col("us") / 1e6).drop("us"))
