@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexweave.functions.blocks import differences, ratio
+
 
 @F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """difflib's ratio of two texts, to four digits; 1 if both are empty."""
-    return pd.Series([round(SequenceMatcher(None, a or "", b or "").ratio(), 4) if a or b else 1.0 for a, b in zip(left, right)])
+    """The share of two texts that is in their matching blocks, to four digits; 1 if both are empty; nulls are empty."""
+    return pd.Series([round(ratio(a or "", b or ""), 4) for a, b in zip(left, right)])
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("type", "left", "right")])))
@@ -21,8 +21,7 @@ def line_diff(left: pd.Series, right: pd.Series) -> pd.Series:
     """Differing runs of stripped, non-empty lines: 800 characters a side, twelve at most."""
     def diff(a: str, b: str) -> list[dict]:
         x, y = ([line.strip() for line in (t or "").splitlines() if line.strip()] for t in (a, b))
-        found = [o for o in SequenceMatcher(None, x, y).get_opcodes() if o[0] != "equal"]
-        return [{"type": kind, "left": "\n".join(x[i:j])[:800], "right": "\n".join(y[k:m])[:800]} for kind, i, j, k, m in found[:12]]
+        return [{"type": kind, "left": "\n".join(x[i:j])[:800], "right": "\n".join(y[k:m])[:800]} for kind, i, j, k, m in differences(x, y)[:12]]
 
     return pd.Series([diff(a, b) for a, b in zip(left, right)])
 

@@ -307,9 +307,49 @@ def constant_search(spark, sf_dir):
     return classify.road_laws(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))).select("id", "title")
 
 
+_CASE_LAWS = "list_transform(range(3), lambda k: {'title': 'Закон ' || CAST((doc_id + k) % 5 AS VARCHAR), 'article': source})"
+
+
+def _document_cases(spark, sf_dir) -> DataFrame:
+    """Documents as cases: three laws by number and source, one judgement by language and source."""
+    law = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct(F.concat(F.lit("Закон "), ((F.col("doc_id") + k) % 5).cast("string")).alias("title"), F.col("source").alias("article"), F.lit("").alias("text")))
+    practice = F.array(F.struct(F.col("lang").alias("case"), F.col("source").alias("court"), F.lit("").alias("outcome")))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", law.alias("laws"), practice.alias("practice"))
+    return documents.select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("filename"), F.lit(None).cast("string").alias("created_at"), F.lit("processed").alias("status"),
+        F.lit("demo").alias("source"), F.lit("").alias("anonymized_text"), F.col("text").alias("original_text"), F.col("lang").alias("legal_summary"), F.col("source").alias("recommendations"),
+        F.col("laws").alias("relevant_laws"), F.col("practice").alias("court_practice"))
+
+
+def _neighbours(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("left_id"), (F.col("doc_id") + 1).alias("right_id"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, text, lang, source, {_CASE_LAWS} AS laws FROM documents),
+p AS (SELECT l.doc_id AS left_id, r.doc_id AS right_id, l.text AS lt, r.text AS rt, l.lang AS ll, r.lang AS rl, l.source AS ls, r.source AS rs,
+  list_filter(l.laws, lambda x: NOT list_contains(r.laws, x)) AS ol, list_filter(r.laws, lambda x: NOT list_contains(l.laws, x)) AS orr FROM c l JOIN c r ON r.doc_id = l.doc_id + 1)
+SELECT left_id, right_id, 'doc' || left_id AS left_file, 'doc' || right_id AS right_file, CAST(length(lt) AS BIGINT) AS left_length, CAST(length(rt) AS BIGINT) AS right_length,
+  coalesce(array_to_string(list_transform(ol, lambda x: x.title || '/' || x.article), ';'), '') AS laws_only_left, coalesce(array_to_string(list_transform(orr, lambda x: x.title || '/' || x.article), ';'), '') AS laws_only_right,
+  CAST((ll <> rl OR ls <> rs)::INT AS BIGINT) AS practice_only_left, CAST((ll <> rl OR ls <> rs)::INT AS BIGINT) AS practice_only_right FROM p""")
+def compare_cases_items(spark, sf_dir):
+    """Each document with the next as two cases: who they are, how long, which laws and judgements only one of them has."""
+    both = compare.compare_cases(_neighbours(spark, sf_dir), _document_cases(spark, sf_dir))
+    named = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("/", x["title"], x["article"])), ";").alias(c)
+    return both.select("left_id", "right_id", F.col("left_case.filename").alias("left_file"), F.col("right_case.filename").alias("right_file"), F.col("left_length").cast("long").alias("left_length"),
+                       F.col("right_length").cast("long").alias("right_length"), named("laws_only_left"), named("laws_only_right"),
+                       F.size("practice_only_left").cast("long").alias("practice_only_left"), F.size("practice_only_right").cast("long").alias("practice_only_right"))
+
+
+@query()
+def compare_cases_texts(spark, sf_dir):
+    """Each document with the next as two cases: how alike they are, and which lines differ; tests hold it against another way."""
+    both = compare.compare_cases(_neighbours(spark, sf_dir), _document_cases(spark, sf_dir))
+    return both.select("left_id", "right_id", "similarity", "summary_similarity", "recommendations_similarity", F.to_json("highlights").alias("highlights"))
+
+
 @query()
 def turn_similarity(spark, sf_dir):
-    """difflib's similarity and differing lines of each turn and the next of its conversation."""
+    """The similarity and differing lines of each turn and the next of its conversation."""
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.lead("text").over(order).alias("following")).where("following is not null")
     return turns.select("conv_id", "turn", compare.similarity("text", "following").alias("similarity"), F.size(compare.line_diff("text", "following")).cast("long").alias("differences"))
