@@ -23,7 +23,7 @@ def candidates(documents: DataFrame, profile: str = "rules", dictionaries: bool
         out = rules.refine(out, "text", ner)
         parts.append(F.col("rule_spans"))
     if dictionaries:
-        out = detect.with_names(detect.with_vehicles(out, "_vehicles", vehicles), "_names", names)
+        out = detect.with_both(out, "_vehicles", "_names", vehicles, names)
         own = F.concat("_vehicles", "_names")
         if profile == "tokens":  # the other profile's names for these types
             own = F.transform(own, lambda s: s.withField("entity_type", F.when(s["entity_type"] == "PER", "PERSON").otherwise("VEHICLE_MAKE_MODEL")))

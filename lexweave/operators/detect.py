@@ -5,14 +5,19 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from lexweave.functions import vocabulary as v
 from lexweave.functions.patterns import PATTERNS, TOKEN_TYPES, PatternSpec
+from lexweave.functions.phrases import Phrases, Words, lowered
 from lexweave.functions.spans import column, find_spans
 from lexweave.functions.text import context_window
 from lexweave.session import settle
@@ -20,8 +25,8 @@ from lexweave.session import settle
 #: What a candidate holds; ordinal settles ties between candidates.
 SPAN = "struct<start:int,end:int,entity_type:string,original:string,source:string,confidence:double,identity_key:string,ordinal:int>"
 NO_SPANS = f"array<{SPAN}>"
-#: A dictionary table of at most so many phrases (some 20 MB) is held by every task; a larger one is joined by shuffle.
-MAX_BROADCAST_ROWS = 200_000
+#: A dictionary table of at most so many phrases (some 100 MB as a trie) is held by every task; a larger one is joined by shuffle.
+MAX_BROADCAST_ROWS = 2_000_000
 
 
 def span(start, end, entity_type, original, source: str, confidence, ordinal, identity_key=None) -> Column:
@@ -122,28 +127,110 @@ def _own_phrases(text: str) -> set[str]:
     return {*words, *(" ".join(lower[i : i + n]) for n in (1, 2, 3) for i in range(len(lower) - n + 1))}
 
 
-def _with_dictionary(documents: DataFrame, name: str, gate: Column, words, default: tuple[str, ...], runs) -> DataFrame:
-    """documents with a column of spans that runs(text, phrases) finds in the row's own text.
+def _names_of(texts: list[str | None], gate: np.ndarray, words: Words, known: Phrases) -> list[list[dict]]:
+    """_name_runs() of all texts that pass the gate at once."""
+    out: list[list[dict]] = [[] for _ in texts]
+    found = known.found(words)[:, 0]
+    held = np.flatnonzero((found >= 0) & words.upper() & gate[words.row])
+    run: list[tuple[str, int, int]] = []
+    before = row = -2
 
-    Spans never leave their row, so equal or null ids can't mix texts up. A dictionary of at most MAX_BROADCAST_ROWS
-    phrases goes to every task; of a larger table each row is first joined with those phrases that its text holds.
+    def close() -> None:
+        if run:
+            out[row].append(_found(run[0][1], run[-1][2], "PER", " ".join(w for w, _, _ in run), 0.8, 1_500_000 + run[0][1] % 400_000))
+
+    for i in held:
+        start, stop, here = int(words.start[i]), int(words.stop[i]), int(words.row[i])
+        word = texts[here][start:stop]
+        if known.phrase(int(found[i])) != word:
+            continue
+        if here != row or i != before + 1 or start - run[-1][2] > 2 or len(run) == 3:
+            close()
+            run = []
+        run.append((word, start, stop))
+        before, row = i, here
+    close()
+    return out
+
+
+def _vehicles_of(texts: list[str | None], gate: np.ndarray, words: Words, known: Phrases, near: re.Pattern, window: int) -> list[list[dict]]:
+    """_vehicle_runs() of all texts that pass the gate at once; context is looked for only where a phrase is."""
+    out: list[list[dict]] = [[] for _ in texts]
+    found = known.found(words)
+    row, context = -1, []
+    for i in np.flatnonzero((found >= 0).any(axis=1) & gate[words.row]):
+        here, start = int(words.row[i]), int(words.start[i])
+        own = out[here]
+        if own and start < own[-1]["end"]:
+            continue
+        for n in (3, 2, 1):
+            if found[i, n - 1] < 0:
+                continue
+            text, end = texts[here], int(words.stop[i + n - 1])
+            said = " ".join(lowered(text[words.start[k] : words.stop[k]]) for k in range(i, i + n))
+            if said != known.phrase(int(found[i, n - 1])):
+                continue
+            if here != row:
+                row, context = here, [m.start() for m in near.finditer(text)]
+            at = bisect_left(context, start - window)
+            if at < len(context) and context[at] <= end + window:
+                own.append(_found(start, end, "МАРКА_ТС", text[start:end], 0.9, 1_000_000 + len(own)))
+                break
+    return out
+
+
+def _dictionary(words, default: tuple[str, ...], lower: bool) -> Phrases | DataFrame:
+    """The phrases as a trie, or those of a table that has more than MAX_BROADCAST_ROWS, as a table."""
+    if not isinstance(words, DataFrame):
+        return Phrases(list(words or default), lower)
+    table = words.select(F.col(f"`{words.columns[0]}`").cast("string").alias("phrase")).where("phrase is not null").distinct()
+    some = table.limit(MAX_BROADCAST_ROWS + 1).toArrow()["phrase"]
+    return Phrases(some.to_pylist(), lower) if len(some) <= MAX_BROADCAST_ROWS else table
+
+
+def _with_dictionaries(documents: DataFrame, wanted: list[tuple]) -> DataFrame:
+    """documents with columns of spans: for each (name, gate, words, default phrases, lower, whole(texts, gate, words, phrases), runs(text, phrases)).
+
+    Spans never leave their row, so equal or null ids can't mix texts up. Dictionaries of at most MAX_BROADCAST_ROWS phrases
+    are tries which go to every task, and all of them read the words of a text that were cut once. Of a larger
+    table each row is first joined with those phrases that its text holds.
     """
     none = F.array().cast(NO_SPANS)
+    small = []
+    for name, gate, words, default, lower, whole, runs in wanted:
+        phrases = _dictionary(words, default, lower)
+        if isinstance(phrases, Phrases):
+            small.append((name, gate, phrases, whole))
+        else:
+            documents = _with_large_dictionary(documents, name, gate, phrases, runs)
+    if not small:
+        return documents
+    held = documents.sparkSession.sparkContext.broadcast([phrases for _, _, phrases, _ in small])
+    wholes = [whole for *_, whole in small]
+    kind = pa.struct([(f"spans{k}", to_arrow_type(_parse_datatype_string(NO_SPANS))) for k in range(len(small))])
+
+    def find(text: pa.Array, *gates: pa.Array) -> pa.Array:
+        texts = text.to_pylist()
+        cut: dict[int, Words] = {}
+        columns = []
+        for k, (phrases, whole, gate) in enumerate(zip(held.value, wholes, gates)):
+            if phrases.seed not in cut:
+                cut[phrases.seed] = Words(texts, phrases.seed)
+            columns.append(pa.array(whole(texts, gate.to_numpy(zero_copy_only=False), cut[phrases.seed], phrases), kind.field(k).type))
+        return pa.StructArray.from_arrays(columns, fields=list(kind))
+
+    both = "_lexweave_dictionaries"
+    fields = ",".join(f"spans{k}:{NO_SPANS}" for k in range(len(small)))
+    gates = [F.coalesce(gate, F.lit(False)) for _, gate, _, _ in small]
+    any_gate = reduce(lambda x, y: x | y, gates)
+    found = documents.withColumn(both, F.arrow_udf(find, f"struct<{fields}>")(F.when(any_gate, F.col("text")), *gates))
+    return found.withColumns({name: F.coalesce(F.col(both)[f"spans{k}"], none) for k, (name, *_) in enumerate(small)}).drop(both)
+
+
+def _with_large_dictionary(documents: DataFrame, name: str, gate: Column, table: DataFrame, runs) -> DataFrame:
+    """documents with a column of spans that runs(text, phrases) finds in the row's own text, by a join of its phrases with the table's."""
+    none = F.array().cast(NO_SPANS)
     text = F.when(gate, F.col("text"))
-    if not isinstance(words, DataFrame):
-        phrases = frozenset(words or default)
-    else:
-        table = words.select(F.col(f"`{words.columns[0]}`").cast("string").alias("phrase")).where("phrase is not null").distinct()
-        some = table.limit(MAX_BROADCAST_ROWS + 1).collect()
-        phrases = frozenset(r[0] for r in some) if len(some) <= MAX_BROADCAST_ROWS else None
-    if phrases is not None:
-        held = documents.sparkSession.sparkContext.broadcast(phrases)
-
-        @F.pandas_udf(NO_SPANS)
-        def find(texts: pd.Series) -> pd.Series:
-            return pd.Series([None if t is None else runs(t, held.value) for t in texts])
-
-        return documents.withColumn(name, F.coalesce(find(text), none))
     row, own = "_lexweave_row", "_lexweave_phrases"
     numbered = settle(documents.withColumn(row, F.monotonically_increasing_id()))
 
@@ -163,14 +250,26 @@ def _with_dictionary(documents: DataFrame, name: str, gate: Column, words, defau
     return numbered.join(own_phrases, row, "left").withColumn(name, F.coalesce(find(text, F.col(own)), none)).drop(row, own)
 
 
+def _names(name: str, names, gate: str) -> tuple:
+    default = (*v.GIVEN_NAMES, *v.SURNAMES, *v.patronymics(), *[s + "а" for s in v.SURNAMES if s[-2:] in ("ов", "ев", "ёв", "ин")])
+    return name, F.col("text").rlike(gate), names, default, False, _names_of, _name_runs
+
+
+def _vehicles(name: str, vehicles, context: Sequence[str], window: int) -> tuple:
+    words = v.alternatives(tuple(context))
+    near = re.compile(f"(?i)(?={words})")
+    gate = F.regexp_like("text", F.lit("(?iu)" + words))
+    return (name, gate, vehicles, v.VEHICLES, True, lambda texts, passed, cut, known: _vehicles_of(texts, passed, cut, known, near, window),
+            lambda text, known: _vehicle_runs(text, known, near, window))
+
+
 def with_names(documents: DataFrame, name: str, names: DataFrame | Sequence[str] | None = None, gate: str = "[А-ЯЁ][а-яё]") -> DataFrame:
     """documents (text, ...) with a column of spans: runs of up to three neighbouring names (given, family, patronymic), as written.
 
     names: a table or list of names; by default a small list with patronymics formed from it. gate: a pattern that every
     text with such a name has; give another one for names in other letters. A null text has no spans.
     """
-    default = (*v.GIVEN_NAMES, *v.SURNAMES, *v.patronymics(), *[s + "а" for s in v.SURNAMES if s[-2:] in ("ов", "ев", "ёв", "ин")])
-    return _with_dictionary(documents, name, F.col("text").rlike(gate), names, default, _name_runs)
+    return _with_dictionaries(documents, [_names(name, names, gate)])
 
 
 def with_vehicles(documents: DataFrame, name: str, vehicles: DataFrame | Sequence[str] | None = None, context: Sequence[str] = v.VEHICLE_CONTEXT, window: int = 120) -> DataFrame:
@@ -178,12 +277,14 @@ def with_vehicles(documents: DataFrame, name: str, vehicles: DataFrame | Sequenc
     a word of the context.
 
     vehicles: a table or list of lower-case phrases. A context word counts wherever its first letter stands within the
-    window, inside other words as well. A null text has no spans.
+    window, inside other words as well. A null text has no spans. Letters are lowered one by one.
     """
-    words = v.alternatives(tuple(context))
-    near = re.compile(f"(?i)(?={words})")
-    gate = F.regexp_like("text", F.lit("(?iu)" + words))
-    return _with_dictionary(documents, name, gate, vehicles, v.VEHICLES, lambda text, known: _vehicle_runs(text, known, near, window))
+    return _with_dictionaries(documents, [_vehicles(name, vehicles, context, window)])
+
+
+def with_both(documents: DataFrame, vehicles_name: str, names_name: str, vehicles=None, names=None) -> DataFrame:
+    """with_vehicles and with_names, which read the words of a text that were cut once."""
+    return _with_dictionaries(documents, [_vehicles(vehicles_name, vehicles, v.VEHICLE_CONTEXT, 120), _names(names_name, names, "[А-ЯЁ][а-яё]")])
 
 
 def name_candidates(documents: DataFrame, names=None, gate: str = "[А-ЯЁ][а-яё]") -> DataFrame:

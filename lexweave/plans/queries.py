@@ -355,6 +355,34 @@ def turn_similarity(spark, sf_dir):
     return turns.select("conv_id", "turn", compare.similarity("text", "following").alias("similarity"), F.size(compare.line_diff("text", "following")).cast("long").alias("differences"))
 
 
+_SQL_WORD = r"[\pL\pN_](?:\S*[\pL\pN_])?"
+
+
+@query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_SQL_WORD}') AS ws, regexp_split_to_array(text, '{_SQL_WORD}') AS gs FROM documents WHERE regexp_matches(text, '[A-Z][a-z]')),
+n AS (SELECT DISTINCT ws[1] AS name FROM t WHERE len(ws) > 0),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(gs[:len(ws)]) AS gap, generate_subscripts(ws, 1) AS i FROM t),
+p AS (SELECT *, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM w),
+h AS (SELECT p.* FROM p JOIN n ON name = word WHERE word[1] <> lower(word[1])),
+b AS (SELECT *, CASE WHEN lag(i) OVER o = i - 1 AND length(gap) <= 2 THEN 0 ELSE 1 END AS begins FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+k AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY i) - 1) // 3 AS part FROM r)
+SELECT doc_id, CAST(min(stop - length(word)) AS BIGINT) AS start_at, CAST(max(stop) AS BIGINT) AS end_at, string_agg(word, ' ' ORDER BY i) AS original FROM k GROUP BY doc_id, run, part""")
+def dictionary_names(spark, sf_dir):
+    """Runs of up to three names; names are the words that any document begins with."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    names = documents.where(F.col("text").rlike("[A-Z][a-z]")).select(F.regexp_extract("text", r"(?U)\b\S+\b", 0).alias("name")).where("name <> ''").distinct()
+    return _spans(detect.with_names(documents, "spans", names, "[A-Z][a-z]"), F.col("spans")).drop("entity_type")
+
+
+@query()
+def dictionary_phrases(spark, sf_dir):
+    """The longest phrase at each place near a context; phrases are the first words of every document. Tests hold it against a plain search."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\S+\b"), F.lit(0))
+    phrases = documents.select(F.explode(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.when(F.size(words) >= n, F.array_join(F.slice(words, F.lit(1), n), " ")))).alias("phrase")).where("phrase is not null").distinct()
+    return _spans(detect.with_vehicles(documents, "spans", phrases, ("en",), 40), F.col("spans")).drop("entity_type")
+
+
 _LIFE = "(PARTITION BY session_id, life ORDER BY seq, op, moment, data ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
