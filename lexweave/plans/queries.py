@@ -175,6 +175,22 @@ def rtf_plain_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.rtf_to_text(F.col("text")), 256).alias("plain_sha256"))
 
 
+@query("SELECT doc_id, sha256(replace(text, chr(13), '')) AS text_sha256, true AS same FROM documents WHERE text IS NOT NULL")
+def rtf_round_trip(spark, sf_dir):
+    """Documents written as RTF files, with bytes of a code page, Unicode escapes and destinations without text, and read back."""
+    code = F.ascii
+    one = lambda c: (
+        F.when(c == "\n", "\\par\r\n").when(c.isin("\\", "{", "}"), F.concat(F.lit("\\"), c)).when(code(c) < 128, c)
+        .when((code(c) >= 0xA0) & (code(c) < 0x100), F.concat(F.lit("\\'"), F.lower(F.hex(code(c)))))
+        .when(code(c) < 0x10000, F.concat(F.lit("\\u"), F.when(code(c) > 32767, code(c) - 65536).otherwise(code(c)), F.lit("?")))
+        .otherwise(F.concat(F.lit("\\u"), F.shiftright(code(c) - 0x10000, 10) + 0xD800 - 65536, F.lit("?\\u"), (code(c) - 0x10000).bitwiseAND(F.lit(1023)) + 0xDC00 - 65536, F.lit("?"))))
+    body = F.array_join(F.transform(F.split(F.replace("text", F.lit("\r"), F.lit("")), ""), one), "")
+    head = "{\\rtf1\\ansi\\ansicpg1252\\uc1{\\fonttbl{\\f0\\fcharset0 A;}{\\f1\\fcharset204 {\\*\\falt B}C;}}{\\*\\generator {x}y;}{\\info{\\title z}}\\f0 "
+    files = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.encode(F.concat(F.lit(head), body, F.lit("}")), "utf-8").alias("content"))
+    read = files.select("doc_id", "text", docs_source.rtf_content("content").alias("read"))
+    return read.select("doc_id", F.sha2("read", 256).alias("text_sha256"), (F.col("read") == F.replace("text", F.lit("\r"), F.lit(""))).alias("same"))
+
+
 _TOPIC_ROWS = ("Спор об увольнении работника", "Договор поставки товара", "Налоговая проверка и НДС", "Иной документ", "")
 
 

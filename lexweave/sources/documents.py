@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexweave.functions.rtf import rtf_text
 from lexweave.functions.text import limit_text, normalize_text, rtf_to_text
 
 MAX_FILE_BYTES = 50 * 1024 * 1024
@@ -38,8 +39,9 @@ def decode_text(content: pd.Series) -> pd.Series:
 
 
 def _paragraph(node) -> str:
-    words = (" ".join((t.text or "").split()) for t in node.iter(f"{_W}t"))
-    return " ".join(w for w in words if w)
+    """A paragraph's runs one after another, as a word may be cut between two; tabs and breaks part words."""
+    parts = {f"{_W}t": lambda n: n.text or "", f"{_W}tab": lambda n: "\t", f"{_W}br": lambda n: "\n", f"{_W}cr": lambda n: "\n", f"{_W}noBreakHyphen": lambda n: "-"}
+    return " ".join("".join(parts[n.tag](n) for n in node.iter() if n.tag in parts).split())
 
 
 def _table(node) -> str:
@@ -87,6 +89,12 @@ def zipped_text(content: pd.Series, suffix: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "error"])
 
 
+@F.pandas_udf(T.StringType())
+def rtf_content(content: pd.Series) -> pd.Series:
+    """Text of RTF files; bytes that don't begin as one does give null."""
+    return content.map(lambda raw: rtf_text(raw) if raw is not None and raw.lstrip()[:5] == b"{\\rtf" else None)
+
+
 def suffix_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.[^./]+$", 0))
 
@@ -107,10 +115,11 @@ def extract(files: DataFrame, pdf_text: str | None = None, doc_text: str | None
     typed = files.withColumn("_kind", kind)
     zipped = F.when(F.col("_kind").isin(".docx", ".odt") & F.col("content").isNotNull(), zipped_text("content", "_kind"))
     plain = F.when(F.col("_kind").isin(".txt", ".rtf"), decode_text("content"))
-    read = typed.withColumns({"_zip": zipped, "_plain": plain})
+    rtf = F.when(F.col("_kind") == ".rtf", F.coalesce(rtf_content("content"), rtf_to_text(F.col("_plain"))))
+    read = typed.withColumns({"_zip": zipped, "_plain": plain}).withColumn("_rtf", rtf)
     other = lambda name: F.col(name) if name else F.lit(None).cast("string")
     raw = (
-        F.when(F.col("_kind") == ".txt", F.col("_plain")).when(F.col("_kind") == ".rtf", rtf_to_text(F.col("_plain"))).when(F.col("_kind").isin(".docx", ".odt"), F.col("_zip.text"))
+        F.when(F.col("_kind") == ".txt", F.col("_plain")).when(F.col("_kind") == ".rtf", F.col("_rtf")).when(F.col("_kind").isin(".docx", ".odt"), F.col("_zip.text"))
         .when(F.col("_kind") == ".pdf", other(pdf_text)).when(F.col("_kind") == ".doc", other(doc_text))
     )
     least = F.when(F.col("_kind") == ".pdf", MIN_PDF_CHARS).otherwise(1)
