@@ -63,7 +63,7 @@ def anonymize_tokens(documents: DataFrame, dictionaries: bool = True, names=None
     """Profile tokens: documents with anonymized_text, spans, mapping (token to original), reverse_mapping, degraded, sources."""
     out = candidates(documents, "tokens", dictionaries, names, vehicles, llm=llm)
     out = out.withColumn("_spans", resolve_overlaps(F.col("candidates"), "tokens"))
-    out = out.withColumn("spans", render.tokenized(F.col("_spans"), counter))
+    out = out.withColumn("spans", render.tokenized(F.col("_spans"), counter, F.col("text")))
     return out.withColumns({
         "anonymized_text": replace_spans(F.col("text"), F.col("spans"), lambda s: s["token"]),
         "mapping": render.token_map(F.col("spans")),

@@ -33,6 +33,10 @@ def numbered(spans: Column) -> Column:
         z["spans"], lambda s: s.withField("placeholder", F.concat(F.lit("["), _label(s["entity_type"]), number(s, z["order"]).cast("string"), F.lit("]"))))), 1)
 
 
+#: What a token looks like.
+TOKEN = r"\[[A-Z_]+_\d+\]"
+
+
 def records(spans: Column) -> Column:
     """One record a replacement; start and end are offsets in the new text, text_start and text_end in the old one."""
     return F.aggregate(
@@ -62,23 +66,30 @@ def spans_by_source(spans: Column, sources: tuple[str, ...] = ("regex", "dict",
     return F.struct(*[_count(spans, x).alias(x) for x in sources])
 
 
-def tokenized(spans: Column, counter: str = "type") -> Column:
+def tokenized(spans: Column, counter: str = "type", text: Column | None = None) -> Column:
     """Spans with token, numbered from the right: [TYPE_001] by type, or [TYPE_1] with one counter (counter="all").
 
-    Equal originals share a token; its type is that of the right-most of them.
+    Equal originals share a token; its type is that of the right-most of them. Tokens that `text` itself spells are
+    passed over, so that what stands in the new text for an original can't be mistaken.
     """
+    spelt = F.array().cast("array<string>") if text is None else F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
     firsts = F.aggregate(F.reverse(spans), F.array().cast("array<struct<original:string,entity_type:string>>"), lambda acc, s: F.when(
         F.exists(acc, lambda a: a["original"] == s["original"]), acc).otherwise(F.concat(acc, F.array(F.struct(s["original"].alias("original"), s["entity_type"].alias("entity_type"))))))
 
-    def token(s: Column, order: Column) -> Column:
+    def token(s: Column, order: Column, held: Column) -> Column:
         kind = F.element_at(F.filter(order, lambda a: a["original"] == s["original"]), 1)["entity_type"]
         among = order if counter == "all" else F.filter(order, lambda a: a["entity_type"] == kind)
-        n = F.array_position(F.transform(among, lambda a: a["original"]), s["original"]).cast("string")
-        wide = n if counter == "all" else F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n)
-        return F.concat(F.lit("["), kind, F.lit("_"), wide, F.lit("]"))
+        n = F.array_position(F.transform(among, lambda a: a["original"]), s["original"]).cast("int")
+
+        def said(x: Column) -> Column:
+            x = x.cast("string")
+            return F.concat(F.lit("["), kind, F.lit("_"), x if counter == "all" else F.when(F.length(x) < 3, F.lpad(x, 3, "0")).otherwise(x), F.lit("]"))
+
+        free = F.filter(F.sequence(F.lit(1), n + F.size(held)), lambda x: ~F.array_contains(held, said(x)))
+        return F.when(F.size(held) == 0, said(n)).otherwise(said(F.element_at(free, n)))
 
-    return F.element_at(F.transform(F.array(F.struct(firsts.alias("order"), spans.alias("spans"))), lambda z: F.transform(
-        z["spans"], lambda s: s.withField("token", token(s, z["order"])))), 1)
+    return F.element_at(F.transform(F.array(F.struct(firsts.alias("order"), spans.alias("spans"), spelt.alias("spelt"))), lambda z: F.transform(
+        z["spans"], lambda s: s.withField("token", token(s, z["order"], z["spelt"])))), 1)
 
 
 def token_map(spans: Column) -> Column:
@@ -89,7 +100,7 @@ def token_map(spans: Column) -> Column:
 def restore(text: Column, mapping: Column) -> Column:
     """The text with every token of map<token, original> replaced by its original, in one pass: what has been put in is
     not looked at again."""
-    originals = F.transform(find_spans(text, r"\[[A-Z_]+_\d+\]"), lambda s: s.withField("as", F.coalesce(F.try_element_at(mapping, s["original"]), s["original"])))
+    originals = F.transform(find_spans(text, TOKEN), lambda s: s.withField("as", F.coalesce(F.try_element_at(mapping, s["original"]), s["original"])))
     return replace_spans(text, originals, lambda s: s["as"])
 
 
