@@ -442,34 +442,50 @@ _RU_ROWS = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, want.replace("'", "''")) for i, _, want in _RU_ROWS) + ") v(id, anonymized_text)")
+def _every_customer(spark, sf_dir, rows, fields: str) -> DataFrame:
+    """The rows for each customer: k and their fields."""
+    names = [f.split()[0] for f in fields.split(", ")]
+    cases = F.array(*[F.struct(*[F.lit(x).cast(f.split()[1]).alias(n) for n, f, x in zip(names, fields.split(", "), r)]) for r in rows])
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), F.inline(cases))
+
+
+_K = "CAST(c_custkey AS BIGINT) AS k"
+
+
+@query(f"SELECT {_K}, id, 'Лист ' || c_custkey || '. ' || anonymized_text AS anonymized_text FROM customer, (VALUES " + ", ".join("({}, '{}')".format(i, want.replace("'", "''")) for i, _, want in _RU_ROWS) + ") v(id, anonymized_text)")
 def ru_fixture_anonymize(spark, sf_dir):
-    rows = spark.createDataFrame([(i, text) for i, text, _ in _RU_ROWS], "doc_id int, text string")
-    return anonymize.anonymize(rows).select(F.col("doc_id").alias("id"), "anonymized_text")
+    """Sentences with what the whole transform makes of them, on a sheet of each customer's."""
+    rows = _every_customer(spark, sf_dir, [(i, text) for i, text, _ in _RU_ROWS], "id int, sentence string").withColumn("text", F.concat(F.lit("Лист "), F.col("k").cast("string"), F.lit(". "), F.col("sentence")))
+    return anonymize.anonymize(rows).select("k", "id", "anonymized_text")
 
 
-@query("""SELECT * FROM (VALUES (1, 'accept', 'three_part_name'), (2, 'reject', 'generic_role_or_legal_term'), (3, 'accept', 'three_part_name'), (4, 'reject', 'ambiguous_single_token')) v(id, verdict, reason)""")
+@query(f"""SELECT {_K}, v.* FROM customer, (VALUES (1, 'accept', 'three_part_name'), (2, 'reject', 'generic_role_or_legal_term'), (3, 'accept', 'three_part_name'), (4, 'reject', 'ambiguous_single_token')) v(id, verdict, reason)""")
 def ru_fixture_person_rules(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "Иванов Иван Иванович", 0.86), (2, "Трудовой Договор", 0.94), (3, "Иванов И.И.", 0.7), (4, "Марс", 0.5)], "id int, text string, confidence double")
-    rows = rows.where("id <> 2").union(spark.createDataFrame([(2, "Договор Банк", 0.94)], rows.schema))
+    rows = _every_customer(spark, sf_dir, [(1, "Иванов Иван Иванович", 0.86), (2, "Договор Банк", 0.94), (3, "Иванов И.И.", 0.7), (4, "Марс", 0.5)], "id int, text string, confidence double")
     d = rules.decide_person(F.col("text"), F.lit(0), F.length("text"), F.col("text"), F.col("confidence"))
-    return rows.select("id", d.alias("d")).select("id", "d.verdict", "d.reason")
+    return rows.select("k", "id", d.alias("d")).select("k", "id", "d.verdict", "d.reason")
 
 
-@query("SELECT * FROM (VALUES (1, 'review', CAST(0.62 AS DOUBLE)), (2, 'accept', CAST(0.94 AS DOUBLE)), (3, 'reject', CAST(0.2 AS DOUBLE))) v(id, verdict, score)")
+@query(f"SELECT {_K}, v.* FROM customer, (VALUES (1, 'review', CAST(0.62 AS DOUBLE)), (2, 'accept', CAST(0.94 AS DOUBLE)), (3, 'reject', CAST(0.2 AS DOUBLE))) v(id, verdict, score)")
 def ru_fixture_org_rules(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "Вектор Гранит", 0.7), (2, 'ООО "Ромашка"', 0.7), (3, "ООО", 0.9)], "id int, text string, confidence double")
-    return rows.select("id", rules.decide_org(F.col("text"), F.col("confidence")).alias("d")).select("id", "d.verdict", "d.score")
+    rows = _every_customer(spark, sf_dir, [(1, "Вектор Гранит", 0.7), (2, 'ООО "Ромашка"', 0.7), (3, "ООО", 0.9)], "id int, text string, confidence double")
+    return rows.select("k", "id", rules.decide_org(F.col("text"), F.col("confidence")).alias("d")).select("k", "id", "d.verdict", "d.score")
 
 
-@query("SELECT * FROM (VALUES (1, 'Toyota Camry'), (2, 'Haval F7')) v(id, vehicle)")
+@query(f"""SELECT {_K}, id, vehicle, CAST(start + length(CAST(c_custkey AS VARCHAR)) AS BIGINT) AS start_at FROM customer, (VALUES (1, 'Toyota Camry', 27), (2, 'Haval F7', 6)) v(id, vehicle, start)""")
 def ru_fixture_vehicles(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "у дома стояла машина Toyota Camry"), (2, "Haval F7, водитель которого скрылся"), (3, "завод Toyota открыл музей")], "doc_id int, text string")
-    return detect.vehicle_candidates(rows).select(F.col("doc_id").alias("id"), F.explode("spans").alias("s")).select("id", F.col("s.original").alias("vehicle"))
+    rows = _every_customer(spark, sf_dir, [(1, "у дома стояла машина Toyota Camry"), (2, "Haval F7, водитель которого скрылся"), (3, "завод Toyota открыл музей")], "id int, sentence string")
+    found = detect.with_vehicles(rows.withColumn("text", F.concat(F.lit("Лист "), F.col("k").cast("string"), F.lit(" "), F.col("sentence"))), "spans")
+    return found.select("k", "id", F.explode("spans").alias("s")).select("k", "id", F.col("s.original").alias("vehicle"), F.col("s.start").cast("long").alias("start_at"))
 
 
-@query("SELECT * FROM (VALUES ('a.txt', 'Привет мир', NULL), ('b.rtf', 'Hello world', NULL), ('c.exe', NULL, 'unsupported'), ('d.txt', NULL, 'empty')) v(path, text, error)")
+@query("""SELECT format(path, c_custkey) AS path, CASE WHEN text IS NULL THEN NULL ELSE format(text, c_custkey) END AS text, error FROM customer, (VALUES ('a{}.txt', 'Привет мир {}', NULL), ('b{}.rtf', 'Hello world {}', NULL), ('c{}.exe', NULL, 'unsupported'),
+  ('d{}.txt', NULL, 'empty'), ('e{}.TXT', 'Ёлка {} — «да»', NULL), ('f{}.rtf', 'Суд {}', NULL), ('g{}.docx', NULL, 'unreadable: BadZipFile'), ('h{}.pdf', NULL, 'unsupported')) v(path, text, error)""")
 def extract_fixture_files(spark, sf_dir):
-    rows = [("a.txt", "Привет мир".encode("cp1251")), ("b.rtf", rb"{\rtf1 {\fonttbl x;} Hello \b world}"), ("c.exe", b"MZ"), ("d.txt", b"  ")]
-    files = spark.createDataFrame([(p, len(c), bytearray(c)) for p, c in rows], "path string, length long, content binary")
-    return docs_source.extract(files)
+    """Files of each customer: texts in two encodings, RTF with a font table and with bytes of a code page, and what can't be read."""
+    rows = [("a", ".txt", "cp1251", "Привет мир ", ""), ("b", ".rtf", "latin1", "{\\rtf1 {\\fonttbl x;}Hello \\b world ", "}"), ("c", ".exe", "latin1", "MZ", ""), ("d", ".txt", "latin1", "  ", None), ("e", ".TXT", "utf-8", "Ёлка ", " — «да»"),
+            ("f", ".rtf", "latin1", "{\\rtf1\\ansi\\ansicpg1251 \\'d1\\'f3\\'e4 ", "}"), ("g", ".docx", "latin1", "no archive ", ""), ("h", ".pdf", "latin1", "%PDF", "")]
+    key = F.col("k").cast("string").cast("binary")
+    files = _every_customer(spark, sf_dir, [(n, kind, bytearray(before.encode(page)), None if after is None else bytearray(after.encode(page))) for n, kind, page, before, after in rows], "n string, kind string, before binary, after binary")
+    content = F.when(F.col("after").isNull(), F.col("before")).otherwise(F.concat("before", key, "after"))
+    return docs_source.extract(files.select(F.concat("n", F.col("k").cast("string"), "kind").alias("path"), F.length(content).cast("long").alias("length"), content.alias("content")))
