@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions.patterns import PATTERNS
-from lexweave.operators import anonymize, detect, render, rules
+from lexweave.operators import anonymize, detect, lemmas, render, rules
 from lexweave.plans.queries import query
 from lexweave.session import table
 
@@ -140,3 +140,24 @@ def highlighted(spark, sf_dir):
     specs = [s for s in PATTERNS["rules"] if s.entity_type == "EMAIL"]
     found = _letters(spark, sf_dir).withColumn("found", detect.regex_candidates("text", specs=specs))
     return found.select("doc_id", render.highlight_spans(F.col("text"), F.col("found")).alias("spans"), render.highlight_tokens(F.col("text")).alias("tokens"))
+
+
+# Words of the documents that other words lengthen by at most three letters teach the rules; every word then gets a lemma.
+_SQL_WORDS = r"SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)"
+
+
+@query(f"""WITH w AS ({_SQL_WORDS}),
+p AS (SELECT DISTINCT f.word AS form, l.word AS lemma FROM w f, (SELECT unnest([1, 2, 3]) AS n) s, w l WHERE length(f.word) >= n + 4 AND l.word = left(f.word, length(f.word) - n)),
+r AS (SELECT form, CAST(length(form) - length(lemma) AS INTEGER) AS cut FROM p),
+e AS (SELECT cut, unnest(list_distinct(list_concat([0], range(cut, least(length(form), cut + 4) + 1)))) AS n, form FROM r),
+v AS (SELECT right(form, n) AS ending, n, cut, count(*) AS forms FROM e WHERE n >= cut GROUP BY ALL),
+b AS (SELECT ending, any_value(n) AS n, sum(forms) AS every, arg_min(cut, {{'f': -forms, 'c': cut}}) AS cut FROM v GROUP BY ending),
+k AS (SELECT w.word, b.cut, row_number() OVER (PARTITION BY w.word ORDER BY b.n DESC) AS place FROM w JOIN b ON b.every >= 2 AND b.ending = right(w.word, b.n) AND b.n <= length(w.word))
+SELECT w.word, CASE WHEN cut IS NULL THEN w.word ELSE left(w.word, length(w.word) - cut) END AS lemma FROM w LEFT JOIN k ON k.word = w.word AND place = 1""")
+def learned_lemmas(spark, sf_dir):
+    """Lemmas of all words of the documents, by rules learned from those of them that are others with up to three letters more."""
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")
+    words = table(spark, sf_dir, "documents").select(found).distinct()
+    longer = words.select(F.col("word").alias("form"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("n")).where(F.length("form") >= F.col("n") + 4)
+    forms = longer.withColumn("lemma", F.left("form", F.length("form") - F.col("n"))).join(words.select(F.col("word").alias("lemma")), "lemma").select("form", "lemma")
+    return lemmas.lemmatize(words, lemmas.learn(forms))
