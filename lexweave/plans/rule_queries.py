@@ -5,13 +5,16 @@ Every case is written for every customer k, with a confidence and texts that cha
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.functions import charset
 from lexweave.functions.patterns import PATTERNS
 from lexweave.operators import anonymize, detect, evaluate, lemmas, recognize, render, rules
 from lexweave.plans.queries import query
 from lexweave.session import table
+from lexweave.streaming import cases
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,3 +191,36 @@ def recogniser_quality(spark, sf_dir):
     found = recognize.recognize(rows.where("k % 2 = 0"), tagger)
     listed = lambda c: found.select("k", "n", F.inline(c)).select("k", "n", "entity_type", "start", "end")
     return evaluate.span_precision_recall(listed("spans"), listed("ner"), ("k", "n", "entity_type"))
+
+
+@query("""WITH d AS (SELECT CAST(c_nationkey AS VARCHAR) AS case_id, CAST(c_custkey AS BIGINT) AS k, 'a' || c_custkey % 7 || '@x.ru' AS x, 'b' || c_custkey || '@y.ru' AS y FROM customer),
+m AS (SELECT case_id, x AS e, k, 1 AS p FROM d UNION ALL SELECT case_id, y, k, 2 FROM d), f AS (SELECT case_id, e, min({'k': k, 'p': p}) AS first FROM m GROUP BY case_id, e),
+n AS (SELECT case_id, e, '[EMAIL' || row_number() OVER (PARTITION BY case_id ORDER BY first) || ']' AS said FROM f)
+SELECT d.case_id, k AS doc_id, 'Письмо: ' || a.said || ', копия ' || b.said AS anonymized_text, CAST(2 AS BIGINT) AS total_replacements FROM d JOIN n a ON a.case_id = d.case_id AND a.e = x JOIN n b ON b.case_id = d.case_id AND b.e = y""")
+def case_numbers(spark, sf_dir):
+    """Letters of all customers of a nation share the numbers of their addresses, by customer."""
+    letters = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("case_id"), F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("doc_id"),
+                                                      F.expr("concat('Письмо: a', c_custkey % 7, '@x.ru, копия b', c_custkey, '@y.ru')").alias("text"))
+    return cases.anonymize_cases(letters, dictionaries=False).select("case_id", "doc_id", "anonymized_text", F.col("total_replacements").cast("long").alias("total_replacements"))
+
+
+@query("""SELECT doc_id, sha256(text) AS text_sha256 FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')""")
+def charset_of_plain_texts(spark, sf_dir):
+    """Texts that all pages write alike come back whatever is learned."""
+    texts = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", "text")
+    files = texts.select("doc_id", F.encode("text", "utf-8").alias("content"))
+    return charset.with_charset(files, charset.learn(texts)).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("""SELECT CAST(c_custkey AS BIGINT) AS id, 'Истец ' || c_custkey || ' просит взыскать задолженность по договору поставки, заключённому с ответчиком ' || c_custkey * 7 AS text FROM customer""")
+def charset_of_letters(spark, sf_dir):
+    """Russian letters of all customers, each in one of five encodings, read back by byte pairs that half of them teach."""
+    letters = _customers(spark, sf_dir).withColumn("said", F.concat(F.lit("Истец "), F.col("k").cast("string"), F.lit(" просит взыскать задолженность по договору поставки, заключённому с ответчиком "), (F.col("k") * 7).cast("string")))
+    pages = ("utf-8", *charset.PAGES[:4])
+
+    def write(text: pa.Array, page: pa.Array) -> pa.Array:
+        return pa.array([t.encode(pages[p]) for t, p in zip(text.to_pylist(), page.to_pylist())], pa.binary())
+
+    files = letters.withColumn("content", F.arrow_udf(write, "binary")(F.col("said"), (F.col("k") % len(pages)).cast("int")))
+    model = charset.learn(letters.where("k % 2 = 1"), column="said")
+    return charset.with_charset(files, model).select(F.col("k").alias("id"), "text")

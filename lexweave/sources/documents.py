@@ -106,6 +106,13 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES)
     return held.union(files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary")))
 
 
+def stream_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES, files_a_batch: int = 1_000) -> DataFrame:
+    """(path, length, content) of the files that arrive under a path, as a stream; larger ones come without content."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_a_batch).load(path)
+    return files.select("path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
+
+
 def extract(files: DataFrame, pdf_text: str | None = None, doc_text: str | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """(path, text, error) for files (path, length, content). error: too_large, unsupported, unreadable..., empty, or null.
 
