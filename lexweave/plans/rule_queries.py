@@ -5,6 +5,8 @@ Every case is written for every customer k, with a confidence and texts that cha
 
 from __future__ import annotations
 
+import zlib
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from lexweave.functions.patterns import PATTERNS
 from lexweave.operators import anonymize, detect, evaluate, lemmas, recognize, render, rules
 from lexweave.plans.queries import query
 from lexweave.session import table
+from lexweave.sources import documents
 from lexweave.streaming import cases
 
 
@@ -224,3 +227,33 @@ def charset_of_letters(spark, sf_dir):
     files = letters.withColumn("content", F.arrow_udf(write, "binary")(F.col("said"), (F.col("k") % len(pages)).cast("int")))
     model = charset.learn(letters.where("k % 2 = 1"), column="said")
     return charset.with_charset(files, model).select(F.col("k").alias("id"), "text")
+
+
+def pdf_file(pages: list[list[tuple[float, float, str]]]) -> bytes:
+    """A PDF with the given pieces of text (x, y, text) of its pages: two-byte codes with a table to read them, packed streams."""
+    letters = sorted({c for page in pages for *_, t in page for c in t})
+    code = {c: n + 1 for n, c in enumerate(letters)}
+    table = "".join(f"<{n:04x}> <{c.encode('utf-16-be').hex()}>\n" for c, n in code.items())
+    cmap = f"/CIDInit /ProcSet findresource begin begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange {len(code)} beginbfchar\n{table}endbfchar endcmap end".encode()
+    kids = " ".join(f"{10 + 2 * n} 0 R" for n in range(len(pages)))
+    objects = {1: b"<</Type /Catalog /Pages 2 0 R>>", 2: f"<</Type /Pages /Kids [{kids}] /Count {len(pages)} /Resources <</Font <</F1 3 0 R>>>>>>".encode(), 3: b"<</Type /Font /Subtype /Type0 /BaseFont /A /Encoding /Identity-H /ToUnicode 4 0 R>>"}
+    streams = {4: cmap}
+    for n, page in enumerate(pages):
+        objects[10 + 2 * n] = f"<</Type /Page /Parent 2 0 R /Contents {11 + 2 * n} 0 R>>".encode()
+        streams[11 + 2 * n] = " ".join(f"BT /F1 10 Tf 1 0 0 1 {x} {y} Tm <{''.join(f'{code[c]:04x}' for c in t)}> Tj ET" for x, y, t in page).encode()
+    for n, body in streams.items():
+        packed = zlib.compress(body)
+        objects[n] = b"<</Filter /FlateDecode /Length %d>>\nstream\n" % len(packed) + packed + b"\nendstream"
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in sorted(objects.items())) + b"trailer <</Root 1 0 R>>\n%%EOF"
+
+
+@query("""SELECT 'c' || c_custkey || '.pdf' AS path, 'Договор № ' || c_custkey || chr(10) || 'Покупатель ' || c_name || ' платит ' || c_custkey * 3 || ' руб.' || chr(10) || chr(10) || 'Подпись: ' || c_mktsegment AS text, NULL AS error FROM customer""")
+def pdf_contracts(spark, sf_dir):
+    """A contract of two pages for each customer, its pieces drawn out of order, read back."""
+    def write(key: pa.Array, name: pa.Array, phone: pa.Array) -> pa.Array:
+        made = [pdf_file([[(72.0, 700.0, f"Покупатель {n}"), (72.0, 720.0, "Договор №"), (72.0 + 5 * (13 + len(n)), 700.0, f"платит {3 * k} руб."), (140.0, 721.0, f"{k}")], [(72.0, 720.0, "Подпись: "), (130.0, 720.0, p)]])
+                for k, n, p in zip(key.to_pylist(), name.to_pylist(), phone.to_pylist())]
+        return pa.array(made, pa.binary())
+
+    customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".pdf")).alias("path"), F.arrow_udf(write, "binary")(F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")).alias("content"))
+    return documents.pdf_text(customers)

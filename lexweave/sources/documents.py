@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexweave.functions.pdf import pdf_blocks
 from lexweave.functions.rtf import rtf_text
-from lexweave.functions.text import limit_text, normalize_text, rtf_to_text
+from lexweave.functions.text import best_text, limit_text, normalize_text, rtf_to_text
 
 MAX_FILE_BYTES = 50 * 1024 * 1024
 SUFFIXES = (".pdf", ".docx", ".doc", ".txt", ".rtf", ".odt")
@@ -113,6 +116,63 @@ def stream_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES
     return files.select("path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
 
 
+def pdf_pieces(files: DataFrame) -> DataFrame:
+    """(path, digest, page, n, x, y, end, size, text, error) of PDF files (path, content): a row a piece of text, or one with an error or without text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, digest, raw in zip(*(batch.column(c).to_pylist() for c in ("path", "digest", "content"))):
+                rows, error = [], None
+                try:
+                    rows = [{"page": page, "n": n, **b._asdict()} for page, n, b in pdf_blocks(raw or b"")]
+                except Exception as e:  # a broken file is a row of its own
+                    error = f"unreadable: {e if isinstance(e, ValueError) else type(e).__name__}"
+                rows = [r | {"path": path, "digest": digest} for r in rows] or [{"path": path, "digest": digest, "error": error}]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema(_PIECES))
+
+    schema = "path string, digest long, page int, n int, x double, y double, end double, size double, text string, error string"
+    return files.select("path", F.xxhash64("content").alias("digest"), "content").mapInArrow(run, schema)
+
+
+_PIECES = [("path", pa.string()), ("digest", pa.int64()), ("page", pa.int32()), ("n", pa.int32()), *((c, pa.float64()) for c in ("x", "y", "end", "size")), ("text", pa.string()), ("error", pa.string())]
+
+
+def pdf_text(files: DataFrame) -> DataFrame:
+    """(path, text, error) of PDF files (path, content): the better of the text as it is drawn and the text in lines by position.
+
+    A piece begins a line if it stands half a letter or more below or above the one before; a gap between two is a blank.
+    Pages stand apart by an empty line. Pieces of a page are brought together, not those of a file; then a file's pages.
+    Rows of equal path and content are one file; a null path is a path like others.
+    """
+    pieces = pdf_pieces(files).dropDuplicates(["path", "digest", "page", "n"])
+    page = ["path", "digest", "page"]
+    drawn = Window.partitionBy(*page).orderBy("n")
+    down = Window.partitionBy(*page).orderBy(F.desc("y"), "x", "n")
+    apart = lambda w: F.abs(F.lag("y").over(w) - F.col("y")) > 0.5 * F.greatest("size", F.lag("size").over(w))
+    steps = pieces.withColumns({"new": F.coalesce(apart(drawn), F.lit(False)), "gap": F.col("x") - F.lag("end").over(drawn), "before": F.lag("text").over(drawn), "falls": F.coalesce(apart(down), F.lit(False)).cast("int")})
+    lines = steps.withColumn("line", F.sum("falls").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    across = Window.partitionBy(*page, "line").orderBy("x", "n")
+    wide = lambda gap, before: (gap > 0.15 * F.col("size")) & ~F.endswith(before, F.lit(" ")) & ~F.startswith(F.col("text"), F.lit(" "))
+    said = lines.withColumns({
+        "as_drawn": F.concat(F.when(F.col("new"), "\n").when(wide(F.col("gap"), F.col("before")), " ").otherwise(""), "text"),
+        "as_placed": F.concat(F.when(F.lag("text").over(across).isNull(), F.when(F.col("line") > 0, "\n").otherwise("")).when(
+            wide(F.col("x") - F.lag("end").over(across), F.lag("text").over(across)), " ").otherwise(""), "text")})
+    gathered = lambda order, c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, c))), lambda z: z[c]), "").alias(c)
+    pages = said.groupBy(*page).agg(gathered(["n"], "as_drawn"), gathered(["line", "x", "n"], "as_placed"), F.max("error").alias("error"))
+    whole = lambda c: F.array_join(F.filter(F.transform(F.sort_array(F.collect_list(F.struct("page", c))), lambda z: z[c]), lambda t: F.trim(t) != ""), "\n\n").alias(c)
+    texts = pages.groupBy("path", "digest").agg(whole("as_drawn"), whole("as_placed"), F.max("error").alias("error"))
+    return texts.select("path", best_text(F.array("as_placed", "as_drawn")).alias("text"), "error")
+
+
+def extract_all(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """extract() of files (path, length, content) with the texts of PDF files read here; paths must differ."""
+    kind = suffix_of(F.col("path"))
+    pdf = pdf_text(files.where((kind == ".pdf") & (F.col("length") <= max_bytes))).select(F.col("path").alias("_lexweave_path"), F.col("text").alias("_lexweave_pdf"), F.col("error").alias("_lexweave_error"))
+    joined = files.join(pdf, F.col("path") == F.col("_lexweave_path"), "left")
+    done = extract(joined.withColumn("_lexweave_pdf", F.when(kind == ".pdf", F.coalesce("_lexweave_pdf", F.lit("")))), pdf_text="_lexweave_pdf", max_bytes=max_bytes)
+    unread = pdf.where("_lexweave_error is not null").select("_lexweave_path", "_lexweave_error")
+    return done.join(unread, F.col("path") == F.col("_lexweave_path"), "left").select("path", "text", F.coalesce("_lexweave_error", "error").alias("error"))
+
+
 def extract(files: DataFrame, pdf_text: str | None = None, doc_text: str | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """(path, text, error) for files (path, length, content). error: too_large, unsupported, unreadable..., empty, or null.
 
