@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.patterns import PLACEHOLDERS, TOKEN_TYPES
@@ -141,3 +143,8 @@ def highlight_tokens(text: Column) -> Column:
 def redact_contacts(text: Column, pattern: str, label: str) -> Column:
     """The text with every match replaced by one label, without numbers."""
     return replace_spans(text, find_spans(text, pattern), lambda s: F.lit(label))
+
+
+def json_response(anonymized: DataFrame, columns: Sequence[str] = ("anonymized_text", "entities_found", "total_replacements", "replacements", "warnings", "review_candidates", "whitelist_skipped")) -> DataFrame:
+    """anonymize()'s rows with one more column, response: what a caller gets, as JSON; nulls are written as null."""
+    return anonymized.withColumn("response", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))

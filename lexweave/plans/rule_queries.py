@@ -5,8 +5,6 @@ Every case is written for every customer k, with a confidence and texts that cha
 
 from __future__ import annotations
 
-import zlib
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +14,8 @@ from lexweave.functions.patterns import PATTERNS
 from lexweave.operators import anonymize, detect, evaluate, lemmas, recognize, render, rules
 from lexweave.plans.queries import query
 from lexweave.session import table
-from lexweave.sources import documents
+from lexweave.sources import documents, exports, store
+from lexweave.sources.exports import pdf_file
 from lexweave.streaming import cases
 
 
@@ -229,24 +228,6 @@ def charset_of_letters(spark, sf_dir):
     return charset.with_charset(files, model).select(F.col("k").alias("id"), "text")
 
 
-def pdf_file(pages: list[list[tuple[float, float, str]]]) -> bytes:
-    """A PDF with the given pieces of text (x, y, text) of its pages: two-byte codes with a table to read them, packed streams."""
-    letters = sorted({c for page in pages for *_, t in page for c in t})
-    code = {c: n + 1 for n, c in enumerate(letters)}
-    table = "".join(f"<{n:04x}> <{c.encode('utf-16-be').hex()}>\n" for c, n in code.items())
-    cmap = f"/CIDInit /ProcSet findresource begin begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange {len(code)} beginbfchar\n{table}endbfchar endcmap end".encode()
-    kids = " ".join(f"{10 + 2 * n} 0 R" for n in range(len(pages)))
-    objects = {1: b"<</Type /Catalog /Pages 2 0 R>>", 2: f"<</Type /Pages /Kids [{kids}] /Count {len(pages)} /Resources <</Font <</F1 3 0 R>>>>>>".encode(), 3: b"<</Type /Font /Subtype /Type0 /BaseFont /A /Encoding /Identity-H /ToUnicode 4 0 R>>"}
-    streams = {4: cmap}
-    for n, page in enumerate(pages):
-        objects[10 + 2 * n] = f"<</Type /Page /Parent 2 0 R /Contents {11 + 2 * n} 0 R>>".encode()
-        streams[11 + 2 * n] = " ".join(f"BT /F1 10 Tf 1 0 0 1 {x} {y} Tm <{''.join(f'{code[c]:04x}' for c in t)}> Tj ET" for x, y, t in page).encode()
-    for n, body in streams.items():
-        packed = zlib.compress(body)
-        objects[n] = b"<</Filter /FlateDecode /Length %d>>\nstream\n" % len(packed) + packed + b"\nendstream"
-    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in sorted(objects.items())) + b"trailer <</Root 1 0 R>>\n%%EOF"
-
-
 @query("""SELECT 'c' || c_custkey || '.pdf' AS path, 'Договор № ' || c_custkey || chr(10) || 'Покупатель ' || c_name || ' платит ' || c_custkey * 3 || ' руб.' || chr(10) || chr(10) || 'Подпись: ' || c_mktsegment AS text, NULL AS error FROM customer""")
 def pdf_contracts(spark, sf_dir):
     """A contract of two pages for each customer, its pieces drawn out of order, read back."""
@@ -257,3 +238,43 @@ def pdf_contracts(spark, sf_dir):
 
     customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".pdf")).alias("path"), F.arrow_udf(write, "binary")(F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")).alias("content"))
     return documents.pdf_text(customers)
+
+
+def _case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case of each customer with one law and the text of its report."""
+    law = F.array(F.struct(F.lit("Закон").alias("title"), F.concat(F.lit("ст. "), F.col("k").cast("string")).alias("article"), F.lit(None).cast("string").alias("text")))
+    case = F.struct(F.col("k").alias("id"), F.concat(F.lit("файл "), F.col("k").cast("string")).alias("filename"), F.lit(None).cast("string").alias("created_at"), F.lit("demo").alias("source"), F.lit("Краткий вывод & <итог>").alias("legal_summary"),
+                    F.lit(None).cast("string").alias("recommendations"), law.alias("relevant_laws"), F.array().cast("array<struct<case:string,court:string,outcome:string>>").alias("court_practice"), F.concat(F.lit("текст "), F.col("k").cast("string")).alias("anonymized_text"))
+    return _customers(spark, sf_dir).select("k", store.report(case).alias("report"))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS id, true AS docx, true AS pdf, true AS long_pdf FROM customer")
+def exported_reports(spark, sf_dir):
+    """Reports as DOCX and PDF files, which hold the lines of the report when they are read again."""
+    made = _case(spark, sf_dir).select("k", "report", exports.docx_file("report").alias("docx"), exports.pdf_pages("report").alias("pdf"), exports.pdf_pages(F.repeat(F.concat("report", F.lit("\n")), 6)).alias("long"))
+    lines = lambda text: F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
+    files = made.select("k", F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(kind), F.col("k").cast("string"), F.lit(end)).alias("path"), F.length(c).cast("long").alias("length"), F.col(c).alias("content")) for kind, end, c in (("d", ".docx", "docx"), ("p", ".pdf", "pdf"), ("l", ".pdf", "long"))])))
+    read = documents.extract_all(files.select("path", "length", "content")).select(F.left("path", F.lit(1)).alias("kind"), F.regexp_extract("path", r"\d+", 0).cast("long").alias("k"), "text")
+    held = read.groupBy("k").pivot("kind", ["d", "p", "l"]).agg(F.first("text"))
+    same = made.select("k", "report").join(held, "k")
+    return same.select(F.col("k").alias("id"), (lines(F.col("report")) == lines(F.col("d"))).alias("docx"), (lines(F.col("report")) == lines(F.col("p"))).alias("pdf"), (lines(F.repeat(F.concat("report", F.lit("\n")), 6)) == lines(F.col("l"))).alias("long_pdf"))
+
+
+_SQL_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r\\x0b\\x0c]+', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, sha256(array_to_string({_SQL_LINES}, chr(10) || chr(10))) AS text_sha256 FROM documents WHERE len({_SQL_LINES}) > 0 AND length(text) < 100000")
+def docx_round_trip(spark, sf_dir):
+    """Documents as DOCX files, a paragraph a line, words cut between runs, read back."""
+    kept = table(spark, sf_dir, "documents").where((F.col("text").rlike(r"\S")) & (F.length("text") < 100_000))
+    files = kept.select("doc_id", exports.docx_file("text", run=7).alias("content"))
+    return files.select("doc_id", documents.zipped_text(F.col("content"), F.lit(".docx"))["text"].alias("t")).select("doc_id", F.sha2("t", 256).alias("text_sha256"))
+
+
+@query(f"""WITH t AS (SELECT CAST(c_custkey AS BIGINT) AS doc_id, {_LETTER.format(k='c_custkey')} AS text, 'a' || c_custkey || '@x.ru' AS a, 'b' || c_custkey || '@x.ru' AS b FROM customer)
+SELECT doc_id, replace(replace(text, a, '[EMAIL1]'), b, '[EMAIL2]') AS text, a || ',' || b || ',' || a AS emails, CAST(3 AS BIGINT) AS total, '' AS warning FROM t""")
+def json_responses(spark, sf_dir):
+    """What a caller gets as JSON, taken apart again."""
+    said = render.json_response(anonymize.anonymize(_letters(spark, sf_dir), dictionaries=False))
+    parsed = said.select("doc_id", F.from_json("response", "anonymized_text string, entities_found map<string,array<string>>, total_replacements bigint, warnings array<string>").alias("r"))
+    return parsed.select("doc_id", F.col("r.anonymized_text").alias("text"), F.array_join(F.element_at("r.entities_found", F.lit("EMAIL")), ",").alias("emails"), F.col("r.total_replacements").alias("total"), F.array_join("r.warnings", ";").alias("warning"))

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexweave.functions.pdf import Parser, pdf_blocks
-from lexweave.plans.rule_queries import pdf_file
 from lexweave.sources import documents as docs
+from lexweave.sources.exports import pdf_bytes, pdf_file
 
 
 def simple(content, font=b"<</Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding>>", more=b"", filtered=b"", head=b""):
@@ -77,3 +77,10 @@ def test_files(spark):
         "a2.PDF": (None, "empty"), "e.txt": ("Просто текст", None)}
     twice = docs.pdf_text(files.where("path = 'a.pdf'").union(files.where("path = 'a.pdf'"))).select(F.length("text")).collect()
     assert len(twice) == 1 and docs.pdf_text(files.limit(0)).count() == 0
+
+
+def test_long_reports_take_several_pages():
+    text = "\n".join(f"Строка {k} отчёта" for k in range(120)) + "\n" + "слово " * 60
+    pieces = list(pdf_blocks(pdf_bytes(text)))
+    assert {page for page, *_ in pieces} == {0, 1, 2} and " ".join(b.text for *_, b in pieces).split() == text.split()
+    assert list(pdf_blocks(pdf_bytes(""))) == []
