@@ -13,8 +13,10 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,74 +35,91 @@ LISTED_HOSTS = ("spam-farm.example.com", "spam-farm.example.net", "spam-farm.exa
 
 HASHES = 3
 BITS_PER_KEY = 10
-#: A level's filter is a constant that every task gets: 2**24 bits are 2 MB.
+#: A filter is a constant that every task gets: 2**24 bits are 2 MB. A level of more keys has several, chosen by the key's hash,
 MAX_BITS = 1 << 24
+#: but no more than so many, 128 MB: some hundred million keys.
+MOST_FILTERS = 64
+
+
+#: A level: for each of its filters the number of bits, and the bits as 64-bit words.
+Level = tuple[tuple[int, tuple[int, ...]], ...]
 
 
 @dataclass(frozen=True)
 class Cascade:
-    """The levels' bit counts and their bits as 64-bit words."""
-
-    levels: tuple[tuple[int, tuple[int, ...]], ...]
+    levels: tuple[Level, ...]
 
     def contains(self, key: Column) -> Column:
         """Whether the key, of the universe, is listed."""
         answer = F.lit(len(self.levels) % 2 == 1)  # it is in all levels: the last one is right about it
         for level in reversed(range(len(self.levels))):
-            held = _held(key, level, *self.levels[level])
+            held = _held(key, level, self.levels[level])
             answer = F.when(~held, F.lit(level % 2 == 1)).otherwise(answer)
         return answer
 
 
+def _part(key: Column, filters: int) -> Column:
+    """Which of a level's filters the key is in."""
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(filters))
+
+
 def _positions(key: Column, level: int, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level * HASHES + i)), F.lit(bits)) for i in range(HASHES)]
 
 
-def _held(key: Column, level: int, bits: int, words: Sequence[int]) -> Column:
-    # A JSON constant: Catalyst folds it into one array once, whatever its length.
-    array = F.from_json(F.lit(json.dumps(list(words))), "array<bigint>")
-    tests = [
-        F.get(array, F.shiftright(p, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), p.bitwiseAND(F.lit(63)).cast("int"))) != 0
-        for p in _positions(key, level, bits)
-    ]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
+def _held(key: Column, level: int, filters: Level) -> Column:
+    def one(bits: int, words: Sequence[int]) -> Column:
+        # A JSON constant: Catalyst folds it into one array once, whatever its length.
+        array = F.from_json(F.lit(json.dumps(list(words))), "array<bigint>")
+        tests = [
+            F.get(array, F.shiftright(p, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), p.bitwiseAND(F.lit(63)).cast("int"))) != 0
+            for p in _positions(key, level, bits)
+        ]
+        return reduce(lambda x, y: x & y, tests)
+
+    out = one(*filters[0])
+    for n, f in enumerate(filters[1:], 1):
+        out = F.when(_part(key, len(filters)) == n, one(*f)).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
-def _level(keys: DataFrame, level: int) -> tuple[int, tuple[int, ...]] | None:
+def _level(keys: DataFrame, level: int, others: int) -> Level | None:
+    """The filters of the keys, of which some of `others` unlisted keys will be held wrongly: hardly more than there are keys."""
     n = keys.count()
     if not n:
         return None
-    bits = 64 * ceil(max(64, n * BITS_PER_KEY) / 64)
-    if bits > MAX_BITS:
-        raise ValueError(f"{n} keys need {bits} bits at level {level}; split the list by host hash and build a cascade for each part")
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("p"))
+    # With three hashes a filter of m bits holds (3n / m) ** 3 of the others.
+    wanted = max(64, n * BITS_PER_KEY, HASHES * n * ceil((others / n) ** (1 / HASHES)))
+    filters = -(-wanted // MAX_BITS)
+    if filters > MOST_FILTERS:
+        raise ValueError(f"{n} keys need {filters} filters at level {level}, more than every task can hold")
+    bits = 64 * ceil(wanted / filters / 64)
+    part = _part(F.col("key"), filters) if filters > 1 else F.lit(0).cast("bigint")
+    at = keys.select(part.alias("part"), F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("p"))
     set_bits = (
-        at.groupBy(F.shiftright("p", 6).alias("w"))
+        at.groupBy("part", F.shiftright("p", 6).alias("w"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
-        .collect()  # at most MAX_BITS / 64 rows
+        .toArrow()  # at most MOST_FILTERS * MAX_BITS / 64 rows
     )
-    words = [0] * (bits // 64)
-    for r in set_bits:
-        words[r["w"]] = r["b"]
-    return bits, tuple(words)
+    words = np.zeros((filters, bits // 64), np.int64)
+    words[set_bits["part"].to_numpy(), set_bits["w"].to_numpy()] = set_bits["b"].to_numpy()
+    return tuple((bits, tuple(own)) for own in words.tolist())
 
 
 def build_cascade(universe: DataFrame, listed: str, max_levels: int = 40) -> Cascade:
     """A cascade over `universe` (key, distinct; the boolean column `listed`: is it listed?).
 
-    Universe and lists are only ever reduced, by filters; no two tables are joined.
+    Universe and lists are only ever reduced, by filters; no two tables are joined. A first level too small for the
+    universe would hold a share of it wrongly, however large that is; its size therefore goes by both.
     """
-    levels: list[tuple[int, tuple[int, ...]]] = []
+    levels: list[Level] = []
     inside, outside = universe.where(F.col(listed)), universe.where(~F.col(listed))
     while len(levels) < max_levels:
-        made = _level(inside, len(levels))
+        made = _level(inside, len(levels), outside.count())
         if made is None:
             return Cascade(tuple(levels))
         levels.append(made)
-        held = _held(F.col("key"), len(levels) - 1, *made)
+        held = _held(F.col("key"), len(levels) - 1, made)
         inside, outside = outside.where(held), inside
     raise RuntimeError("the cascade did not end; give more bits a key")
 
