@@ -86,16 +86,22 @@ def _need(a: str, b: str, t: Fraction) -> str:
     return f"(({t.numerator} * ({a} + {b}) + {t.numerator + t.denominator - 1}) div {t.numerator + t.denominator})"
 
 
-def _described(texts: DataFrame, t: Fraction) -> DataFrame:
-    """Each line with words: its place, two digests of its text, the size n of its token set, the least and greatest
-    token hash, a parity of all tokens and of one half of them, and the tokens of its prefix, rarest first."""
-    rare = _rarity(texts)
+def _classes(texts: DataFrame) -> DataFrame:
+    """The different lines with words: two digests, the place of the earliest occurrence, how many there are, and the line."""
+    lines = _lines(texts).where(F.col("line").rlike(r"\S")).select(*_AT, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
+    found = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_AT)).alias("at"), F.count("*").alias("members"), F.any_value("line").alias("line"))
+    return found.select("h1", "h2", "at.*", "members", "line")
+
+
+def _described(classes: DataFrame, rare: Column, t: Fraction) -> DataFrame:
+    """Each class with the size n of its token set, the least and greatest token hash, a parity of all tokens and of one half of
+    them, and the tokens of its prefix, rarest first. Copies have been brought together, so each text is cut and hashed once."""
     key = lambda h: F.shiftleft(
         F.get(rare, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    lines = _lines(texts).where(F.col("line").rlike(r"\S")).select(
-        *_AT, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _hashes("line").alias("hashes"))
+    own = ("h1", "h2", *_AT, "members")
+    lines = classes.select(*own, _hashes("line").alias("hashes"))
     keyed = lines.select(
-        *_AT, "h1", "h2", F.array_min("hashes").alias("low"), F.array_max("hashes").alias("high"), F.sort_array(F.transform("hashes", key)).alias("keys"))
+        *own, F.array_min("hashes").alias("low"), F.array_max("hashes").alias("high"), F.sort_array(F.transform("hashes", key)).alias("keys"))
 
     def parity(flips: Callable[[Column], Column]) -> Column:
         """Each token for which flips() is 1, not 0, flips the bit that six bits of it name."""
@@ -106,7 +112,7 @@ def _described(texts: DataFrame, t: Fraction) -> DataFrame:
     half = parity(lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)).cast("bigint"))
     prefix = F.expr(f"slice(keys, 1, cast({size} - (({size} * {t.numerator} + {t.denominator - 1}) div {t.denominator}) + 1 as int))")
     return keyed.select(
-        *_AT, "h1", "h2", "low", "high", F.expr(size).alias("n"),
+        *own, "low", "high", F.expr(size).alias("n"),
         parity(lambda k: F.lit(1).cast("bigint")).alias("bits"), F.when(F.expr(f"{size} > {ONE_PARITY}"), half).alias("half_bits"),
         F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("rare"))
 
@@ -187,9 +193,7 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
 def _repeated(texts: DataFrame, t: Fraction) -> DataFrame:
     """repeated_lines() of numbered texts, with each line's base."""
     scratch = Scratch(texts.sparkSession)
-    payload = ("n", "bits", "half_bits", "low", "high", "rare")
-    classes = _described(texts, t).groupBy("h1", "h2").agg(F.min(F.struct(*_AT)).alias("at"), F.count("*").alias("members"), *(F.any_value(c).alias(c) for c in payload))
-    classes = scratch.keep(classes.select("h1", "h2", "at.*", "members", *payload), "classes")
+    classes = scratch.keep(_described(_classes(texts), _rarity(texts), t), "classes")
     early = scratch.keep(_verified(scratch.keep(_by_sketch(classes, t), "sketch"), texts, t), "early")
     pairs = scratch.keep(_by_prefix(_limited(classes.select(*_AT, "n", "bits", "half_bits", "rare"), early), t), "prefix")
     later = scratch.keep(_verified(pairs, texts, t), "later")
