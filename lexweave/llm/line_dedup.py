@@ -8,7 +8,8 @@ for longer lines, bounds their difference as well. What passes is verified on th
 
 Lines of equal text are one class, represented by its earliest line, so copies never meet each other. Near copies would:
 all pairs of a group of thousands. Therefore each class is first compared with the earliest classes of the same
-sketches: least and greatest token hash, and each of the three rarest tokens. Where that is a match, the join looks only for still earlier ones, of
+sketches: least token hash, greatest token hash and rarest token, each with a class of sizes, as an earliest one
+of another size is hardly a match. Where it is a match, the join looks only for still earlier ones, of
 which a group of near copies has few. No pair of a class with its earliest match is left out by this.
 """
 
@@ -27,8 +28,10 @@ from .common import Scratch, id_filter, settle
 SIMILARITY = Fraction(4, 5)
 #: Hashed counters of words: the table that orders tokens by rarity has so many entries, whatever the input.
 COUNTERS = 1 << 17
+#: Tokens are told apart by so many values; whole words are compared only where a pair is verified.
+TOKENS = 1 << 31
 #: Sets of at most so many tokens need no more than 64 bits of parity to tell most pairs apart.
-ONE_PARITY = 80
+ONE_PARITY = 40
 _AT = ("doc_id", "line_no")
 
 
@@ -71,14 +74,14 @@ def _lines(texts: DataFrame) -> DataFrame:
     return lines.select("doc_id", "base", (F.col("base") + F.col("at")).alias("line_no"), "line")
 
 
-def _rarity(texts: DataFrame) -> Column:
-    """A constant array: for each counter a byte that grows with the number of words that it counts in all texts."""
-    words = _lines(texts).select(F.explode(_words("line")).alias("word"))  # by line: arrays of whole texts take twice as long
-    counted = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(COUNTERS - 1)).alias("at")).agg(F.count("*").alias("n"))
+def _rarity(sets: DataFrame) -> Column:
+    """A constant array: for each counter a number up to 127 that grows with the number of different lines' tokens that it counts."""
+    tokens = sets.select(F.explode("tokens").alias("token"))
+    counted = tokens.groupBy(F.col("token").bitwiseAND(F.lit(COUNTERS - 1)).alias("at")).agg(F.count("*").alias("n"))
     found = counted.toArrow()  # at most COUNTERS rows
     rare = np.zeros(COUNTERS, np.int64)
     rare[found["at"].to_numpy()] = np.minimum(np.log2(found["n"].to_numpy() + 1) * 4, 127)
-    return F.from_json(F.lit(json.dumps(rare.tolist(), separators=(",", ":"))), "array<tinyint>")
+    return F.from_json(F.lit(json.dumps(rare.tolist(), separators=(",", ":"))), "array<bigint>")
 
 
 def _need(a: str, b: str, t: Fraction) -> str:
@@ -88,33 +91,39 @@ def _need(a: str, b: str, t: Fraction) -> str:
 
 def _classes(texts: DataFrame) -> DataFrame:
     """The different lines with words: two digests, the place of the earliest occurrence, how many there are, and the line."""
-    lines = _lines(texts).where(F.col("line").rlike(r"\S")).select(*_AT, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
+    some = F.ltrim("line", F.lit(" \t\x0b\f\r")) != ""  # looks no further than the first word
+    lines = _lines(texts).where(some).select(*_AT, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
     found = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_AT)).alias("at"), F.count("*").alias("members"), F.any_value("line").alias("line"))
     return found.select("h1", "h2", "at.*", "members", "line")
 
 
-def _described(classes: DataFrame, rare: Column, t: Fraction) -> DataFrame:
-    """Each class with the size n of its token set, the least and greatest token hash, a parity of all tokens and of one half of
-    them, and the tokens of its prefix, rarest first. Copies have been brought together, so each text is cut and hashed once."""
-    key = lambda h: F.shiftleft(
-        F.get(rare, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+def _sets(classes: DataFrame) -> DataFrame:
+    """Each class with the least and greatest hash of its token set, and 31 bits of every token's hash. Copies have been
+    brought together, so each text is cut and hashed once. Two tokens of a set that share those bits both stay."""
     own = ("h1", "h2", *_AT, "members")
     lines = classes.select(*own, _hashes("line").alias("hashes"))
-    keyed = lines.select(
-        *own, F.array_min("hashes").alias("low"), F.array_max("hashes").alias("high"), F.sort_array(F.transform("hashes", key)).alias("keys"))
+    return lines.select(*own, F.array_min("hashes").alias("low"), F.array_max("hashes").alias("high"),
+                        F.transform("hashes", lambda h: h.bitwiseAND(F.lit(TOKENS - 1)).cast("int")).alias("tokens"))
+
+
+def _described(sets: DataFrame, rare: Column, t: Fraction) -> DataFrame:
+    """Each class with the size n of its token set, the least and greatest token hash, a parity of all tokens and of one half of
+    them, and the tokens of its prefix, rarest first. Lambdas are interpreted, so those over all tokens are kept small."""
+    key = lambda x: F.shiftleft(F.get(rare, x.bitwiseAND(F.lit(COUNTERS - 1))), 31).bitwiseOR(x)
+    own = ("h1", "h2", *_AT, "members", "low", "high")
+    keyed = sets.select(*own, "tokens", F.sort_array(F.transform("tokens", key)).alias("keys"))
 
     def parity(flips: Callable[[Column], Column]) -> Column:
-        """Each token for which flips() is 1, not 0, flips the bit that six bits of it name."""
-        flip = lambda k: F.call_function("shiftleft", flips(k), k.bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate("keys", F.lit(0).cast("bigint"), lambda sofar, k: sofar.bitwiseXOR(flip(k)))
+        """Each token for which flips() is 1, not 0, flips the bit that its last six bits name: all that shiftleft looks at."""
+        return F.aggregate("tokens", F.lit(0).cast("bigint"), lambda sofar, x: sofar.bitwiseXOR(F.call_function("shiftleft", flips(x), x)))
 
-    size = "cast(size(keys) as bigint)"
-    half = parity(lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)).cast("bigint"))
+    size = "cast(size(tokens) as bigint)"
+    half = parity(lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1)).cast("bigint"))
     prefix = F.expr(f"slice(keys, 1, cast({size} - (({size} * {t.numerator} + {t.denominator - 1}) div {t.denominator}) + 1 as int))")
     return keyed.select(
-        *own, "low", "high", F.expr(size).alias("n"),
-        parity(lambda k: F.lit(1).cast("bigint")).alias("bits"), F.when(F.expr(f"{size} > {ONE_PARITY}"), half).alias("half_bits"),
-        F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("rare"))
+        *own, F.expr(size).alias("n"),
+        parity(lambda x: F.lit(1).cast("bigint")).alias("bits"), F.when(F.expr(f"{size} > {ONE_PARITY}"), half).alias("half_bits"),
+        F.transform(prefix, lambda k: k.bitwiseAND(F.lit(TOKENS - 1)).cast("int")).alias("rare"))
 
 
 def _lengths_match(a: str, b: str, t: Fraction) -> str:
@@ -131,8 +140,10 @@ def _parities_match(a: str, b: str, t: Fraction) -> str:
 
 def _by_sketch(classes: DataFrame, t: Fraction) -> DataFrame:
     """Pairs of a class and the earliest one with an equal sketch."""
-    sketches = F.array("low", "high", *(F.get("rare", i).cast("bigint") for i in range(3)))
-    keyed = classes.select(*_AT, "n", "bits", "half_bits", F.explode(sketches).alias("sketch")).where("sketch is not null")
+    # Bounds of sizes lie elsewhere for each sketch, so what one of them parts, others don't.
+    sized = lambda i, x: F.xxhash64(F.lit(i), x, F.floor(F.log(float(1 / t), "n") + i / 4))
+    sketches = F.array(sized(0, "low"), sized(2, "high"), sized(1, F.get("rare", F.lit(0))))
+    keyed = classes.select(*_AT, "n", "bits", "half_bits", F.explode(sketches).alias("sketch"))
     # Partial aggregates: of a large group one row leaves each task.
     heads = keyed.groupBy("sketch").agg(F.min(F.struct(*_AT, "n", "bits", "half_bits")).alias("head"), F.count("*").alias("members")).where("members > 1")
     heads = heads.select("sketch", "head.*")
@@ -156,11 +167,11 @@ def _by_prefix(classes: DataFrame, t: Fraction) -> DataFrame:
     ).selectExpr("y.doc_id", "y.line_no", "x.doc_id as x_doc_id", "x.line_no as x_line_no").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, t: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, t: Fraction, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """For each line of `pairs` the earliest partner with a similarity of t or more, from whole word sets: x_doc_id, x_line_no,
-    similarity. The lines' texts are read again; only the sets of listed lines are moved."""
+    similarity. The lines' texts are read again, once; only the sets of listed lines are moved, and kept as both sides of a pair need them."""
     listed = pairs.select(*_AT).union(pairs.select("x_doc_id", "x_line_no")).distinct()
-    sets = _lines(texts).where(id_filter(listed, *_AT)).join(listed, [*_AT], "left_semi").select(*_AT, _hashes("line").alias("a"))
+    sets = keep(_lines(texts).where(id_filter(listed, *_AT)).join(listed, [*_AT], "left_semi").select(*_AT, _hashes("line").alias("a")))
     both = pairs.join(sets.toDF("x_doc_id", "x_line_no", "b"), ["x_doc_id", "x_line_no"]).join(sets, [*_AT])
     # A generator between, as a filter on the counts would otherwise count once more by itself.
     counts = F.struct(F.size(F.array_intersect("a", "b")).alias("shared"), (F.size("a") + F.size("b")).alias("sizes"))
@@ -193,15 +204,17 @@ def repeated_lines(documents: DataFrame, similarity: Fraction = SIMILARITY) -> D
 def _repeated(texts: DataFrame, t: Fraction) -> DataFrame:
     """repeated_lines() of numbered texts, with each line's base."""
     scratch = Scratch(texts.sparkSession)
-    classes = scratch.keep(_described(_classes(texts), _rarity(texts), t), "classes")
-    early = scratch.keep(_verified(scratch.keep(_by_sketch(classes, t), "sketch"), texts, t), "early")
+    sets = scratch.keep(_sets(_classes(texts)), "sets")
+    classes = scratch.keep(_described(sets, _rarity(sets), t), "classes")
+    scratch.drop("sets")
+    early = scratch.keep(_verified(scratch.keep(_by_sketch(classes, t), "sketch"), texts, t, lambda x: scratch.keep(x, "early_sets")), "early")
     pairs = scratch.keep(_by_prefix(_limited(classes.select(*_AT, "n", "bits", "half_bits", "rare"), early), t), "prefix")
-    later = scratch.keep(_verified(pairs, texts, t), "later")
+    later = scratch.keep(_verified(pairs, texts, t, lambda x: scratch.keep(x, "later_sets")), "later")
     near = early.union(later).groupBy(*_AT).agg(F.min(F.struct("x_doc_id", "x_line_no", "similarity")).alias("near"))
     # Only classes that lose a line; the filter spares moving most other lines.
     known = classes.select("h1", "h2", *_AT, "members").join(near, [*_AT], "left").where("members > 1 or near is not null")
     known = scratch.keep(known.select("h1", "h2", F.struct(*_AT).alias("first"), "near"), "known")
-    for name in ("sketch", "early", "prefix", "later", "classes"):
+    for name in ("sketch", "early", "early_sets", "prefix", "later", "later_sets", "classes"):
         scratch.drop(name)
     lines = _lines(texts).select(F.struct(*_AT).alias("at"), "base", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).where(id_filter(known, "h1", "h2"))
     gone = lines.join(known, ["h1", "h2"]).where("at <> first or near is not null")

@@ -187,6 +187,13 @@ def test_op3_no_line_pairs_with_itself(spark):
     assert {tuple(r) for r in line_dedup._by_prefix(classes, Fraction(4, 5)).collect()} == {(2, 3, 1, 0)}
 
 
+def test_op3_sketches_by_size(spark):
+    """An earliest line of another size doesn't keep near copies from meeting the earliest of their own size."""
+    rows = [(0, 0, 5, 0, None, 1, 9, [100])] + [(k, 0, 60, 0, 0, 1, 9, [200 + k]) for k in range(1, 8)]
+    classes = spark.createDataFrame(rows, "doc_id long, line_no int, n long, bits long, half_bits long, low long, high long, rare array<int>")
+    assert {tuple(r) for r in line_dedup._by_sketch(classes, Fraction(4, 5)).collect()} == {(k, 0, 1, 0) for k in range(2, 8)}
+
+
 @pytest.mark.parametrize("threshold", ["-1", "64k", "256k", "10m"])
 def test_op3_groups_stay_whole(spark, threshold):
     """The same links however joins are planned: near copies of many groups, and copies of all of them."""
