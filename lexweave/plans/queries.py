@@ -12,7 +12,7 @@ from lexweave.functions import text as tx
 from lexweave.functions.patterns import RULES_PATTERNS
 from lexweave.functions.spans import find_spans, resolve_overlaps
 from lexweave.operators import anonymize, classify, compare, detect, evaluate, render, rules
-from lexweave.session import table
+from lexweave.session import spread, table
 from lexweave.sources import documents as docs_source
 from lexweave.sources import store
 from lexweave.streaming import jobs
@@ -446,7 +446,7 @@ def _every_customer(spark, sf_dir, rows, fields: str) -> DataFrame:
     """The rows for each customer: k and their fields."""
     names = [f.split()[0] for f in fields.split(", ")]
     cases = F.array(*[F.struct(*[F.lit(x).cast(f.split()[1]).alias(n) for n, f, x in zip(names, fields.split(", "), r)]) for r in rows])
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), F.inline(cases))
+    return spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))).select("k", F.inline(cases))
 
 
 _K = "CAST(c_custkey AS BIGINT) AS k"

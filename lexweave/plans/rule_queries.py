@@ -13,14 +13,14 @@ from lexweave.functions import charset
 from lexweave.functions.patterns import PATTERNS
 from lexweave.operators import anonymize, detect, evaluate, lemmas, recognize, render, rules
 from lexweave.plans.queries import query
-from lexweave.session import table
+from lexweave.session import spread, table
 from lexweave.sources import documents, exports, store
 from lexweave.sources.exports import pdf_file
 from lexweave.streaming import cases
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    return spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k")))
 
 
 def _sql(text: str) -> str:
@@ -236,7 +236,8 @@ def pdf_contracts(spark, sf_dir):
                 for k, n, p in zip(key.to_pylist(), name.to_pylist(), phone.to_pylist())]
         return pa.array(made, pa.binary())
 
-    customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".pdf")).alias("path"), F.arrow_udf(write, "binary")(F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")).alias("content"))
+    named = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    customers = named.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".pdf")).alias("path"), F.arrow_udf(write, "binary")(F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")).alias("content"))
     return documents.pdf_text(customers)
 
 

@@ -40,6 +40,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.repartition(cores) if name in TEXTS and len(df.inputFiles()) < cores // 2 else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows dealt out evenly to several tasks a core, for costly work on rows of a small file, which a single task reads."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, kept in the folder of spark.checkpoint.dir, which driver and executors share.
 

@@ -21,6 +21,8 @@ MAX_FILE_BYTES = 50 * 1024 * 1024
 SUFFIXES = (".pdf", ".docx", ".doc", ".txt", ".rtf", ".odt")
 #: Fewer characters than that on a PDF's pages: it is a scan.
 MIN_PDF_CHARS = 50
+#: A batch of pieces ends with the file that makes them so many.
+PIECES_A_BATCH = 4_000
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _TEXT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
 
@@ -119,15 +121,24 @@ def stream_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES
 def pdf_pieces(files: DataFrame) -> DataFrame:
     """(path, digest, page, n, x, y, end, size, text, error) of PDF files (path, content): a row a piece of text, or one with an error or without text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*held), _PIECES)], schema=pa.schema(_PIECES))
+
         for batch in batches:
             for path, digest, raw in zip(*(batch.column(c).to_pylist() for c in ("path", "digest", "content"))):
                 rows, error = [], None
                 try:
-                    rows = [{"page": page, "n": n, **b._asdict()} for page, n, b in pdf_blocks(raw or b"")]
+                    rows = [(path, digest, page, n, *b, None) for page, n, b in pdf_blocks(raw or b"")]
                 except Exception as e:  # a broken file is a row of its own
                     error = f"unreadable: {e if isinstance(e, ValueError) else type(e).__name__}"
-                rows = [r | {"path": path, "digest": digest} for r in rows] or [{"path": path, "digest": digest, "error": error}]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema(_PIECES))
+                held += rows or [(path, digest, *[None] * 7, error)]
+                if len(held) >= PIECES_A_BATCH:
+                    yield made()
+                    held = []
+        if held:
+            yield made()
 
     schema = "path string, digest long, page int, n int, x double, y double, end double, size double, text string, error string"
     return files.select("path", F.xxhash64("content").alias("digest"), "content").mapInArrow(run, schema)
