@@ -63,6 +63,11 @@ def canonical_org(text: Column) -> Column:
     return out
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalize_text(text: Column) -> Column:
     """LF line ends, no leading byte-order mark, no white space at line ends, at most one blank line in a row, stripped."""
     out = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "^\ufeff+", "")
@@ -78,7 +83,11 @@ def typed_text_error(text: Column) -> Column:
 
 def limit_text(text: Column, note: str = TRUNCATION_NOTE) -> Column:
     """An extracted text, normalised; one that is too long is cut and begins with a note."""
-    out = normalize_text(text)
+    return bound(normalize_text(text), lambda out: limited(out, note))
+
+
+def limited(out: Column, note: str = TRUNCATION_NOTE) -> Column:
+    """limit_text() of a text that is normalised."""
     return F.when(F.length(out) > MAX_LENGTH, strip(F.concat(F.lit(note + "\n\n"), F.substring(out, 1, MAX_LENGTH)))).otherwise(out)
 
 
@@ -92,7 +101,10 @@ def looks_corrupted(text: Column) -> Column:
 
 def quality_score(text: Column) -> Column:
     """2 x letters + digits + spaces (120 at most) - 6 x bad characters - 30 x runs of single letters; null if blank."""
-    t = strip(F.coalesce(text, F.lit("")))
+    return bound(strip(F.coalesce(text, F.lit(""))), _score)
+
+
+def _score(t: Column) -> Column:
     count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
     hits = lambda p: F.regexp_count(t, F.lit(p))
     bad = count("?") + count("\ufffd") * 8

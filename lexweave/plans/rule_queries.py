@@ -6,7 +6,7 @@ Every case is written for every customer k, with a confidence and texts that cha
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import charset
@@ -252,13 +252,22 @@ def _case(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(c_custkey AS BIGINT) AS id, true AS docx, true AS pdf, true AS long_pdf FROM customer")
 def exported_reports(spark, sf_dir):
     """Reports as DOCX and PDF files, which hold the lines of the report when they are read again."""
-    made = _case(spark, sf_dir).select("k", "report", exports.docx_file("report").alias("docx"), exports.pdf_pages("report").alias("pdf"), exports.pdf_pages(F.repeat(F.concat("report", F.lit("\n")), 6)).alias("long"))
-    lines = lambda text: F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
-    files = made.select("k", F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(kind), F.col("k").cast("string"), F.lit(end)).alias("path"), F.length(c).cast("long").alias("length"), F.col(c).alias("content")) for kind, end, c in (("d", ".docx", "docx"), ("p", ".pdf", "pdf"), ("l", ".pdf", "long"))])))
-    read = documents.extract_all(files.select("path", "length", "content")).select(F.left("path", F.lit(1)).alias("kind"), F.regexp_extract("path", r"\d+", 0).cast("long").alias("k"), "text")
+    cases = _case(spark, sf_dir)
+    long = F.repeat(F.concat("report", F.lit("\n")), 6)
+    # Lines with single blanks inside and none at their ends; empty ones are left out.
+    lines = lambda text: F.btrim(F.regexp_replace(F.regexp_replace(text, r"(?U)[^\S\n]+", " "), "(?: ?\n ?)+", "\n"), F.lit(" \n"))
+
+    def written(kind: str, end: str, content: Column) -> DataFrame:
+        # A table for each kind: a reader of one has no others written.
+        return cases.select(F.concat(F.lit(kind), F.col("k").cast("string"), F.lit(end)).alias("path"), content.alias("content"))
+
+    docx = written("d", ".docx", exports.docx_file("report")).select("path", F.length("content").cast("long").alias("length"), "content")
+    pdf = written("p", ".pdf", exports.pdf_pages("report")).union(written("l", ".pdf", exports.pdf_pages(long)))
+    found = documents.extract(docx).union(documents.extract_pdf(pdf))
+    read = found.select(F.left("path", F.lit(1)).alias("kind"), F.regexp_extract("path", r"\d+", 0).cast("long").alias("k"), "text")
     held = read.groupBy("k").pivot("kind", ["d", "p", "l"]).agg(F.first("text"))
-    same = made.select("k", "report").join(held, "k")
-    return same.select(F.col("k").alias("id"), (lines(F.col("report")) == lines(F.col("d"))).alias("docx"), (lines(F.col("report")) == lines(F.col("p"))).alias("pdf"), (lines(F.repeat(F.concat("report", F.lit("\n")), 6)) == lines(F.col("l"))).alias("long_pdf"))
+    same = cases.join(held, "k")
+    return same.select(F.col("k").alias("id"), (lines(F.col("report")) == lines(F.col("d"))).alias("docx"), (lines(F.col("report")) == lines(F.col("p"))).alias("pdf"), (lines(long) == lines(F.col("l"))).alias("long_pdf"))
 
 
 _SQL_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r\\x0b\\x0c]+', ' ', 'g'))), lambda x: x <> '')"

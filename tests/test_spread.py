@@ -3,11 +3,13 @@
 import os
 import random
 import re
+import textwrap
 
 import pytest
 
 import __spark_entry__ as entry
 from lexweave.functions import pdf
+from lexweave.sources import exports
 
 DATA = "/root/testdata/sf0.001"
 
@@ -42,3 +44,16 @@ def test_plain_values_are_those_read_step_by_step(monkeypatch):
     monkeypatch.setattr(pdf, "_CHARS", re.compile(rb"(?!)"))
     for s, want in zip(streams, quick):
         assert (read(s, True), read(s, False), font(s)) == want, s
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_reports_are_written_and_read_once(spark):
+    plan = entry.queries()["exported_reports"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow run") == 1 and plan.count("ArrowEvalPython [run(") == 3
+
+
+def test_short_lines_are_cut_as_textwrap_does():
+    rng = random.Random(8)
+    for _ in range(3000):
+        line = "".join(rng.choice("ab —  \t,.") * rng.randrange(1, 3) for _ in range(rng.randrange(90)))
+        assert exports._wrapped(line) == (textwrap.wrap(line, exports.LINE_CHARS) or [""]), line
