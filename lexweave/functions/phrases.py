@@ -1,7 +1,7 @@
 """Words of whole batches of texts, and a dictionary of phrases as a trie in flat arrays that all words walk at once.
 
 A word reaches from the first to the last letter, digit or underscore of a piece without white space. Words are hashed
-from their code points; a hit is compared with its phrase as text, so hashes decide nothing by themselves.
+from their code points; words of equal hash are compared letter by letter, so hashes decide nothing by themselves.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 LONGEST = 3
 _LETTERS = 0x110000
@@ -60,17 +61,23 @@ class Words:
         self.row = np.searchsorted(self.at, self.begin, "right") - 1
         self.start, self.stop = self.begin - self.at[self.row], self.end - self.at[self.row]
 
+    def letters(self, which: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some words all code points one after another, where each word begins among them, and the places in their words."""
+        sizes = self.end[which] - self.begin[which]
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(which) else sizes
+        place = np.arange(sizes.sum()) - np.repeat(first, sizes)
+        found = self.points[np.repeat(self.begin[which], sizes) + place]
+        return _letters.lower[found] if lower else found, first, place
+
     def hashes(self, lower: bool) -> np.ndarray:
         """Of each word, in lower case if asked."""
         if not len(self.begin):
             return np.zeros(0, np.uint64)
-        points = _letters.lower[self.points] if lower else self.points
-        inside = np.repeat(self.begin - np.concatenate([[0], np.cumsum(self.end - self.begin)[:-1]]), self.end - self.begin) + np.arange((self.end - self.begin).sum())
-        place = inside - np.repeat(self.begin, self.end - self.begin)
-        x = (points[inside].astype(np.uint64) + np.uint64(self.seed + 1)) * _STEP ^ (place.astype(np.uint64) + np.uint64(1)) * _SPREAD
+        points, first, place = self.letters(np.arange(len(self.begin)), lower)
+        x = (points.astype(np.uint64) + np.uint64(self.seed + 1)) * _STEP ^ (place.astype(np.uint64) + np.uint64(1)) * _SPREAD
         x = (x ^ (x >> np.uint64(29))) * _SPREAD
         x = x ^ (x >> np.uint64(32))
-        return np.add.reduceat(x * _STEP, np.concatenate([[0], np.cumsum(self.end - self.begin)[:-1]]))
+        return np.add.reduceat(x * _STEP, first)
 
     def upper(self) -> np.ndarray:
         """Whether each word begins with a capital."""
@@ -80,25 +87,38 @@ class Words:
 class Phrases:
     """Phrases of up to three words as a trie: sorted word hashes, and sorted (node, word) keys with the nodes they lead to."""
 
-    def __init__(self, phrases: Sequence[str], lower: bool = True) -> None:
-        cut = [(p, p.split(" ")) for p in dict.fromkeys(phrases)]
-        cut = [(p, w) for p, w in cut if len(w) <= LONGEST and all(w)]
-        self.lower, self.phrases = lower, pa.array([p for p, _ in cut], pa.large_string())
-        different = list(dict.fromkeys(w for _, words in cut for w in words))
+    def __init__(self, phrases: Sequence[str] | pa.Array, lower: bool = True) -> None:
+        said = pc.unique(pa.array(phrases, pa.large_string()) if not isinstance(phrases, pa.Array) else phrases.cast(pa.large_string()))
+        parts = pc.split_pattern(said, " ")
+        sizes, flat = np.asarray(pc.list_value_length(parts)).astype(np.int64), pc.list_flatten(parts)
+        row = np.repeat(np.arange(len(said)), sizes)
+        fit = sizes <= LONGEST
+        fit[row[np.asarray(pc.equal(flat, "")).astype(bool)]] = False
+        self.lower, self.phrases = lower, said.filter(pa.array(fit))
+        coded = flat.filter(pa.array(fit[row])).dictionary_encode()
+        different, code = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+        sizes = sizes[fit]
+        row = np.repeat(np.arange(len(sizes)), sizes)
         for self.seed in range(100):
             held = Words(different, self.seed)
             # A phrase's words that aren't words of a text, as those with a mark at an end, can't be met.
             whole = np.zeros(len(different), bool)
-            sizes = np.array([len(w) for w in different], np.int64)
-            full = (held.start == 0) & (held.stop == sizes[held.row]) if len(held.row) else np.zeros(0, bool)
+            lengths = np.array([len(w) for w in different], np.int64)
+            full = (held.start == 0) & (held.stop == lengths[held.row]) if len(held.row) else np.zeros(0, bool)
             whole[held.row[full]] = True
             hashes = np.zeros(len(different), np.uint64)
             hashes[held.row[full]] = held.hashes(False)[full]
             self.words = np.unique(hashes[whole])
             if len(self.words) == whole.sum():
                 break
-        number = {w: int(i) for w, ok, i in zip(different, whole, np.searchsorted(self.words, hashes)) if ok}
-        rows = np.array([[number.get(w, -2) for w in words] + [-1] * (LONGEST - len(words)) for _, words in cut], np.int64).reshape(-1, LONGEST)
+        # The words' own code points, in the order of their hashes.
+        order = np.flatnonzero(whole)[np.argsort(hashes[whole])]
+        self.size = np.array([len(different[i]) for i in order], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])[:-1] if len(order) else self.size
+        self.points = np.frombuffer("".join(different[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32)
+        number = np.where(whole, np.searchsorted(self.words, hashes), -2) if len(different) else np.zeros(0, np.int64)
+        rows = np.full((len(sizes), LONGEST), -1, np.int64)
+        rows[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = number[code]
         index = np.flatnonzero((rows != -2).all(axis=1))
         rows = rows[index]
         # Nodes of depth 1 are words; deeper ones are numbered by their sorted keys.
@@ -122,6 +142,13 @@ class Phrases:
         hashes = words.hashes(self.lower)
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         word = np.where(self.words[at] == hashes, at, -1)
+        # Words of equal hash have to be equal.
+        word[(word >= 0) & (words.end - words.begin != self.size[at])] = -1
+        some = np.flatnonzero(word >= 0)
+        if len(some):
+            points, first, place = words.letters(some, self.lower)
+            own = np.repeat(self.first[word[some]], self.size[word[some]]) + place
+            word[some[~np.logical_and.reduceat(points == self.points[own], first)]] = -1
         node = word
         out[:, 0] = np.where(node >= 0, self.ends[0][node], -1)
         for depth in range(1, LONGEST):
@@ -137,6 +164,10 @@ class Phrases:
             out[:, depth] = np.where(node >= 0, self.ends[depth][node], -1)
         return out
 
+    def __getstate__(self) -> dict:
+        """Tasks have no use for the phrases as texts."""
+        return self.__dict__ | {"phrases": None}
+
     def phrase(self, number: int) -> str:
         return self.phrases[number].as_py()
 

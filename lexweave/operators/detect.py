@@ -10,6 +10,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -17,7 +18,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from lexweave.functions import vocabulary as v
 from lexweave.functions.patterns import PATTERNS, TOKEN_TYPES, PatternSpec
-from lexweave.functions.phrases import Phrases, Words, lowered
+from lexweave.functions.phrases import Phrases, Words
 from lexweave.functions.spans import column, find_spans
 from lexweave.functions.text import context_window
 from lexweave.session import settle
@@ -25,8 +26,12 @@ from lexweave.session import settle
 #: What a candidate holds; ordinal settles ties between candidates.
 SPAN = "struct<start:int,end:int,entity_type:string,original:string,source:string,confidence:double,identity_key:string,ordinal:int>"
 NO_SPANS = f"array<{SPAN}>"
+#: What tasks send back of a dictionary's span; the rest is the same for all, or follows from it.
+_FOUND = "array<struct<start:int,end:int,original:string>>"
 #: A dictionary table of at most so many phrases (some 100 MB as a trie) is held by every task; a larger one is joined by shuffle.
 MAX_BROADCAST_ROWS = 2_000_000
+#: A task looks up the words of so many bytes of texts at once, which takes some 30 MB; a longer text is looked up by itself.
+LETTERS_AT_ONCE = 250_000
 
 
 def span(start, end, entity_type, original, source: str, confidence, ordinal, identity_key=None) -> Column:
@@ -127,56 +132,59 @@ def _own_phrases(text: str) -> set[str]:
     return {*words, *(" ".join(lower[i : i + n]) for n in (1, 2, 3) for i in range(len(lower) - n + 1))}
 
 
-def _names_of(texts: list[str | None], gate: np.ndarray, words: Words, known: Phrases) -> list[list[dict]]:
-    """_name_runs() of all texts that pass the gate at once."""
-    out: list[list[dict]] = [[] for _ in texts]
-    found = known.found(words)[:, 0]
-    held = np.flatnonzero((found >= 0) & words.upper() & gate[words.row])
-    run: list[tuple[str, int, int]] = []
-    before = row = -2
-
-    def close() -> None:
-        if run:
-            out[row].append(_found(run[0][1], run[-1][2], "PER", " ".join(w for w, _, _ in run), 0.8, 1_500_000 + run[0][1] % 400_000))
-
-    for i in held:
-        start, stop, here = int(words.start[i]), int(words.stop[i]), int(words.row[i])
-        word = texts[here][start:stop]
-        if known.phrase(int(found[i])) != word:
-            continue
-        if here != row or i != before + 1 or start - run[-1][2] > 2 or len(run) == 3:
-            close()
-            run = []
-        run.append((word, start, stop))
-        before, row = i, here
-    close()
-    return out
+def _spans_of(row: np.ndarray, start: np.ndarray, end: np.ndarray, original: list[str], texts: int) -> pa.Array:
+    """Lists of _FOUND, one for each text, of spans in the order of their texts (row)."""
+    made = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(original, pa.string())], names=["start", "end", "original"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(texts + 1)), pa.int32()), made)
 
 
-def _vehicles_of(texts: list[str | None], gate: np.ndarray, words: Words, known: Phrases, near: re.Pattern, window: int) -> list[list[dict]]:
+def _names_of(texts: list[str | None], gate: np.ndarray, words: Words, known: Phrases) -> pa.Array:
+    """_name_runs() of all texts that pass the gate at once."""
+    held = np.flatnonzero((known.found(words)[:, 0] >= 0) & words.upper() & gate[words.row])
+    row, start, stop = words.row[held], words.start[held], words.stop[held]
+    near = np.concatenate([[False], (row[1:] == row[:-1]) & (held[1:] == held[:-1] + 1) & (start[1:] - stop[:-1] <= 2)]) if len(held) else np.zeros(0, bool)
+    begins = np.flatnonzero(~near)
+    place = np.arange(len(held)) - np.repeat(begins, np.diff(np.append(begins, len(held))))
+    first = np.flatnonzero(place % 3 == 0)
+    after = np.append(first[1:], len(held)) if len(first) else first
+    said = [texts[r][s:e] for r, s, e in zip(row.tolist(), start.tolist(), stop.tolist())]
+    original = [" ".join(said[i:j]) for i, j in zip(first.tolist(), after.tolist())]
+    return _spans_of(row[first], start[first], stop[after - 1], original, len(texts))
+
+
+def _vehicles_of(texts: list[str | None], gate: np.ndarray, words: Words, known: Phrases, near: re.Pattern, window: int) -> pa.Array:
     """_vehicle_runs() of all texts that pass the gate at once; context is looked for only where a phrase is."""
-    out: list[list[dict]] = [[] for _ in texts]
     found = known.found(words)
-    row, context = -1, []
-    for i in np.flatnonzero((found >= 0).any(axis=1) & gate[words.row]):
-        here, start = int(words.row[i]), int(words.start[i])
-        own = out[here]
-        if own and start < own[-1]["end"]:
-            continue
-        for n in (3, 2, 1):
-            if found[i, n - 1] < 0:
-                continue
-            text, end = texts[here], int(words.stop[i + n - 1])
-            said = " ".join(lowered(text[words.start[k] : words.stop[k]]) for k in range(i, i + n))
-            if said != known.phrase(int(found[i, n - 1])):
-                continue
-            if here != row:
-                row, context = here, [m.start() for m in near.finditer(text)]
-            at = bisect_left(context, start - window)
-            if at < len(context) and context[at] <= end + window:
-                own.append(_found(start, end, "МАРКА_ТС", text[start:end], 0.9, 1_000_000 + len(own)))
-                break
-    return out
+    held = np.flatnonzero((found >= 0).any(axis=1) & gate[words.row])
+    row, begin = words.row[held], words.begin[held]
+    # Places of context words, and all others here, count on through the texts.
+    context = np.array([words.at[r] + m.start() for r in np.unique(row).tolist() for m in near.finditer(texts[r])], np.int64)
+    low, high = np.searchsorted(context, np.maximum(begin - window, words.at[row])), words.at[row + 1] - 1
+    end = np.full(len(held), -1, np.int64)
+    for n in (1, 2, 3):
+        stop = words.end[np.minimum(held + n - 1, len(words.end) - 1)]
+        there = np.append(context, np.iinfo(np.int64).max)[low] <= np.minimum(stop + window, high)
+        end = np.where((found[held, n - 1] >= 0) & there, stop, end)
+    kept, last = [], -1
+    for k, (s, e) in enumerate(zip(begin.tolist(), end.tolist())):
+        if e >= 0 and s >= last:
+            kept.append(k)
+            last = e
+    row, begin, end = row[kept], begin[kept], end[kept]
+    start, stop = begin - words.at[row], end - words.at[row]
+    original = [texts[r][s:e] for r, s, e in zip(row.tolist(), start.tolist(), stop.tolist())]
+    return _spans_of(row, start, stop, original, len(texts))
+
+
+def _portions(text: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most LETTERS_AT_ONCE bytes together, or of one text."""
+    sizes, begin, held = pc.fill_null(pc.binary_length(text), 0).to_pylist(), 0, 0
+    for i, size in enumerate(sizes):
+        if i > begin and held + size > LETTERS_AT_ONCE:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    yield begin, len(sizes)
 
 
 def _dictionary(words, default: tuple[str, ...], lower: bool) -> Phrases | DataFrame:
@@ -184,12 +192,13 @@ def _dictionary(words, default: tuple[str, ...], lower: bool) -> Phrases | DataF
     if not isinstance(words, DataFrame):
         return Phrases(list(words or default), lower)
     table = words.select(F.col(f"`{words.columns[0]}`").cast("string").alias("phrase")).where("phrase is not null").distinct()
-    some = table.limit(MAX_BROADCAST_ROWS + 1).toArrow()["phrase"]
-    return Phrases(some.to_pylist(), lower) if len(some) <= MAX_BROADCAST_ROWS else table
+    some = table.limit(MAX_BROADCAST_ROWS + 1).toArrow()["phrase"].combine_chunks()
+    return Phrases(some, lower) if len(some) <= MAX_BROADCAST_ROWS else table
 
 
 def _with_dictionaries(documents: DataFrame, wanted: list[tuple]) -> DataFrame:
-    """documents with columns of spans: for each (name, gate, words, default phrases, lower, whole(texts, gate, words, phrases), runs(text, phrases)).
+    """documents with columns of spans: for each (name, gate, words, default phrases, lower, whole(texts, gate, words, phrases), runs(text, phrases),
+    made(found, number)).
 
     Spans never leave their row, so equal or null ids can't mix texts up. Dictionaries of at most MAX_BROADCAST_ROWS phrases
     are tries which go to every task, and all of them read the words of a text that were cut once. Of a larger
@@ -197,34 +206,36 @@ def _with_dictionaries(documents: DataFrame, wanted: list[tuple]) -> DataFrame:
     """
     none = F.array().cast(NO_SPANS)
     small = []
-    for name, gate, words, default, lower, whole, runs in wanted:
+    for name, gate, words, default, lower, whole, runs, made in wanted:
         phrases = _dictionary(words, default, lower)
         if isinstance(phrases, Phrases):
-            small.append((name, gate, phrases, whole))
+            small.append((name, gate, phrases, whole, made))
         else:
             documents = _with_large_dictionary(documents, name, gate, phrases, runs)
     if not small:
         return documents
-    held = documents.sparkSession.sparkContext.broadcast([phrases for _, _, phrases, _ in small])
-    wholes = [whole for *_, whole in small]
-    kind = pa.struct([(f"spans{k}", to_arrow_type(_parse_datatype_string(NO_SPANS))) for k in range(len(small))])
+    held = documents.sparkSession.sparkContext.broadcast([phrases for _, _, phrases, *_ in small])
+    wholes = [whole for *_, whole, _ in small]
+    kind = pa.struct([(f"spans{k}", to_arrow_type(_parse_datatype_string(_FOUND))) for k in range(len(small))])
 
     def find(text: pa.Array, *gates: pa.Array) -> pa.Array:
-        texts = text.to_pylist()
-        cut: dict[int, Words] = {}
-        columns = []
-        for k, (phrases, whole, gate) in enumerate(zip(held.value, wholes, gates)):
-            if phrases.seed not in cut:
-                cut[phrases.seed] = Words(texts, phrases.seed)
-            columns.append(pa.array(whole(texts, gate.to_numpy(zero_copy_only=False), cut[phrases.seed], phrases), kind.field(k).type))
-        return pa.StructArray.from_arrays(columns, fields=list(kind))
+        passed = [gate.to_numpy(zero_copy_only=False) for gate in gates]
+        columns: list[list[pa.Array]] = [[] for _ in gates]
+        for begin, end in _portions(text):
+            texts = text.slice(begin, end - begin).to_pylist()
+            cut: dict[int, Words] = {}
+            for out, phrases, whole, gate in zip(columns, held.value, wholes, passed):
+                if phrases.seed not in cut:
+                    cut[phrases.seed] = Words(texts, phrases.seed)
+                out.append(whole(texts, gate[begin:end], cut[phrases.seed], phrases))
+        return pa.StructArray.from_arrays([pa.concat_arrays(c).cast(f.type) for c, f in zip(columns, kind)], fields=list(kind))
 
     both = "_lexweave_dictionaries"
-    fields = ",".join(f"spans{k}:{NO_SPANS}" for k in range(len(small)))
-    gates = [F.coalesce(gate, F.lit(False)) for _, gate, _, _ in small]
+    fields = ",".join(f"spans{k}:{_FOUND}" for k in range(len(small)))
+    gates = [F.coalesce(gate, F.lit(False)) for _, gate, *_ in small]
     any_gate = reduce(lambda x, y: x | y, gates)
     found = documents.withColumn(both, F.arrow_udf(find, f"struct<{fields}>")(F.when(any_gate, F.col("text")), *gates))
-    return found.withColumns({name: F.coalesce(F.col(both)[f"spans{k}"], none) for k, (name, *_) in enumerate(small)}).drop(both)
+    return found.withColumns({name: F.coalesce(F.transform(F.col(both)[f"spans{k}"], made), none) for k, (name, *_, made) in enumerate(small)}).drop(both)
 
 
 def _with_large_dictionary(documents: DataFrame, name: str, gate: Column, table: DataFrame, runs) -> DataFrame:
@@ -252,7 +263,8 @@ def _with_large_dictionary(documents: DataFrame, name: str, gate: Column, table:
 
 def _names(name: str, names, gate: str) -> tuple:
     default = (*v.GIVEN_NAMES, *v.SURNAMES, *v.patronymics(), *[s + "а" for s in v.SURNAMES if s[-2:] in ("ов", "ев", "ёв", "ин")])
-    return name, F.col("text").rlike(gate), names, default, False, _names_of, _name_runs
+    made = lambda s, i: span(s["start"], s["end"], "PER", s["original"], "dict", 0.8, s["start"] % 400_000 + 1_500_000)
+    return name, F.col("text").rlike(gate), names, default, False, _names_of, _name_runs, made
 
 
 def _vehicles(name: str, vehicles, context: Sequence[str], window: int) -> tuple:
@@ -260,7 +272,7 @@ def _vehicles(name: str, vehicles, context: Sequence[str], window: int) -> tuple
     near = re.compile(f"(?i)(?={words})")
     gate = F.regexp_like("text", F.lit("(?iu)" + words))
     return (name, gate, vehicles, v.VEHICLES, True, lambda texts, passed, cut, known: _vehicles_of(texts, passed, cut, known, near, window),
-            lambda text, known: _vehicle_runs(text, known, near, window))
+            lambda text, known: _vehicle_runs(text, known, near, window), lambda s, i: span(s["start"], s["end"], "МАРКА_ТС", s["original"], "dict", 0.9, i + 1_000_000))
 
 
 def with_names(documents: DataFrame, name: str, names: DataFrame | Sequence[str] | None = None, gate: str = "[А-ЯЁ][а-яё]") -> DataFrame:

@@ -4,6 +4,8 @@ import os
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +89,19 @@ def test_query_over_whole_table(spark):
     near = re.compile("(?i)(?=en)")
     want = {(d, s["start"], s["end"]) for d, t in texts.items() for s in detect._vehicle_runs(t, phrases, near, 40)}
     assert {(r["doc_id"], r["start_at"], r["end_at"]) for r in entry.queries()["dictionary_phrases"](spark, DATA).collect()} == want and want
+
+
+def test_lookups_take_texts_in_portions(monkeypatch):
+    """As many spans as before whatever the portions, no portion beyond the limit but for single texts, and few bytes a span."""
+    texts = hard_texts(2000)
+    for limit in (1, 700, 10**9):
+        monkeypatch.setattr(detect, "LETTERS_AT_ONCE", limit)
+        ranges = list(detect._portions(pa.array(texts)))
+        assert [i for b, e in ranges for i in range(b, e)] == [*range(len(texts))]
+        assert all(e == b + 1 or sum(len((t or "").encode()) for t in texts[b:e]) <= limit for b, e in ranges)
+    assert list(detect._portions(pa.array([], pa.string()))) == [(0, 0)]
+    known = Phrases(["Иван", "Иванов", "Toyota"], False)
+    spans = detect._names_of(texts, np.ones(len(texts), bool), Words(texts, known.seed), known)
+    assert isinstance(spans, pa.Array) and spans.nbytes < 60 * len(spans.flatten()) + 8 * len(texts)
+    want = [[{k: s[k] for k in ("start", "end", "original")} for s in detect._name_runs(t or "", {"Иван", "Иванов", "Toyota"})] for t in texts]
+    assert spans.to_pylist() == want
