@@ -86,3 +86,26 @@ def test_queries_over_whole_tables(spark):
         turns.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"]))
     want = {(c, a[0]): round(SequenceMatcher(None, a[2], b[2]).ratio(), 4) for c, own in turns.items() for a, b in pairwise(sorted(own))}
     assert {(r["conv_id"], r["turn"]): r["similarity"] for r in entry.queries()["turn_similarity"](spark, DATA).collect()} == want
+
+
+def test_documents_take_a_few_milliseconds():
+    """Steps grow with what can be in a run, not with the letters of every segment: Python's own operations are counted, not time."""
+    import sys
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", [8, 2, 3, 4, 12, 2, 2, 6, 7, 1, 1, 4, 2, 7, 8, 2, 1, 6, 6, 9, 3, 1, 2, 1, 2, 1], k=rng.randrange(2, 9))) for _ in range(800)]
+    a, b = (" ".join(rng.choices(words, k=500)) for _ in "ab")
+    for text in (a, "a" * 300, "ab" * 200, "abc" * 90 + "x"):
+        assert blocks.ratio(text, text) == SequenceMatcher(None, text, text).ratio() == 1.0
+    lines = 0
+
+    def count(frame, event, _):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    found = blocks.matching_blocks(*blocks.coded(a, b))
+    sys.settrace(before)
+    assert found == plain_blocks(a, b) and lines < 2 * (len(a) + len(b)), lines
